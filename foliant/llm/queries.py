@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, neardup, quality
+from . import ann, bpe, chat, html_text, langid, mixing, neardup, quality, sharding, warc
 from .common import table, words_native
 
 
@@ -21,12 +21,21 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return os.path.join(folder, name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.resolved(warc.round_trip(table(spark, sf_dir, "pages")))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     forest = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.judge(docs.select("doc_id", "text"), forest).select("doc_id", "quality.*")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.assign(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,6 +64,26 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
+    rows = chat.read_back(chat.windows(own.unionByName(extra)))
+    return rows.select(
+        "conv_id", "n_turns", F.sha2(F.col("turns").cast("binary"), 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return rows.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, ~langid.held_out() & F.col("doc_id").isNotNull())
@@ -62,5 +91,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", langid.held_out().alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op4_minhash_near_dedup, op5_bpe, op6_source_mixing, op10_language_id)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc, op2_quality_rules, op3_sharding, op4_minhash_near_dedup, op5_bpe, op6_source_mixing, op7_multi_index, op8_chat_windows, op9_main_text, op10_language_id,
+    )
+}
 SQL = {"op6_source_mixing": mixing.oracle()}

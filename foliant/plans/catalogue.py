@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-FLAGSHIP = "micro_accuracy_by_language"
+from . import layout_queries, relational_queries, signal_queries, stream_queries, table_queries, text_queries, token_queries, verify_queries  # noqa: F401
+from .base import QUERIES, SQL
+
+FLAGSHIP = "micro_accuracy_by_role"
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from .layout import let
 
 # Tokens of a grid: row end, filled cell, empty cell, goes on left, up, both.
 TOKENS = ["<nl>", "<fcel>", "<ecel>", "<lcel>", "<ucel>", "<xcel>"]
@@ -77,7 +78,8 @@ def otsl_html(tables: DataFrame, table_id: str = "table_id", otsl: str = "otsl")
         span = lambda name, n: F.when(n > 1, F.concat(F.lit(f' {name}="'), n.cast("string"), F.lit('"'))).otherwise("")
         return F.concat(F.lit("<td"), span("rowspan", x["row_span"]), span("colspan", x["col_span"]), F.lit(">"), X.html_escape(x["text"]), F.lit("</td>"))
 
-    rows = F.transform(F.sequence(F.lit(0), F.array_max(F.transform("cells", lambda x: x["start_row"]))), lambda r: F.concat(F.lit("<tr>"), F.array_join(F.transform(F.filter(shown, lambda x: x["start_row"] == r), cell), ""), F.lit("</tr>")))
+    numbers = F.sequence(F.lit(0), F.array_max(F.transform("cells", lambda x: x["start_row"])))
+    rows = let(shown, lambda s: F.transform(numbers, lambda r: F.concat(F.lit("<tr>"), F.array_join(F.transform(F.filter(s, lambda x: x["start_row"] == r), cell), ""), F.lit("</tr>"))))
     made = held.select(table_id, F.concat(F.lit("<table>"), F.array_join(rows, ""), F.lit("</table>")).alias("html"))
     out = tables.select(table_id, F.when(whole, F.col(otsl)).alias("as_is")).join(made, table_id, "left")
     return out.select(table_id, F.coalesce("as_is", "html", F.lit("")).alias("html"))

@@ -51,22 +51,22 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "element", "marked", "heading"]
 #: The labelled table. Each line stands for blocks with any of the values given: element, marked, heading,
 #: words, link density, kind of the block before, kind of the block after, main text or not.
-#: Kinds: n none, l a few linked words, s a few words, t a paragraph.
+#: Kinds: n none, l a few linked words, s a few words, p a short paragraph, t a paragraph.
 LABELLED = """
-1 0 0,1 1,4,12,40,150 0,10,40,100 n,l,s,t n,l,s,t 1
-1 1 0,1 1,4,12,40,150 0,10,40,100 n,l,s,t n,l,s,t 0
-2 0,1 0,1 1,4,12,40,150 0,10,40,100 n,l,s,t n,l,s,t 0
-0 1 0,1 1,4,12,40,150 0,10,40,100 n,l,s,t n,l,s,t 0
-0 0 0 15,25,40,150 0,10,25 n,l,s,t n,l,s,t 1
-0 0 0 8,12 0,10 t t 1
-0 0 0 8,12 0,10 s,t t 1
-0 0 1 2,6,12 0,10 n,l,s,t t 1
+1 0 0,1 1,4,12,40,150 0,10,40,100 n,l,s,p,t n,l,s,p,t 1
+1 1 0,1 1,4,12,40,150 0,10,40,100 n,l,s,p,t n,l,s,p,t 0
+2 0,1 0,1 1,4,12,40,150 0,10,40,100 n,l,s,p,t n,l,s,p,t 0
+0 1 0,1 1,4,12,40,150 0,10,40,100 n,l,s,p,t n,l,s,p,t 0
+0 0 0 15,25,40,150 0,10,25 n,l,s,p,t n,l,s,p,t 1
+0 0 0 8,12 0,10 p,t p,t 1
+0 0 0 8,12 0,10 s,p,t p,t 1
+0 0 1 2,6,12 0,10 n,l,s,p,t p,t 1
 0 0 0,1 1,2,5 0,10 n,l,s n,l,s 0
-0 0 0 1,2,5 0,10 t t 1
+0 0 0 1,2,5 0,10 p,t p,t 1
 0 0 0,1 8,12 0,10 n,l,s n,l 0
-0 0 0,1 1,4,12,40,150 60,80,100 n,l,s,t n,l,s,t 0
+0 0 0,1 1,4,12,40,150 60,80,100 n,l,s,p,t n,l,s,p,t 0
 """
-_KINDS = {"n": (-1, -1), "l": (2, 100), "s": (9, 0), "t": (80, 0)}
+_KINDS = {"n": (-1, -1), "l": (2, 100), "s": (9, 0), "p": (16, 0), "t": (80, 0)}
 
 
 def labelled() -> np.ndarray:

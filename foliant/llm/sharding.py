@@ -133,12 +133,10 @@ def ranges_of(groups: DataFrame, shards: int) -> Ranges:
         # split the largest first, a bounded number at a time
         todo = todo[np.argsort(-r.size[todo], kind="stable")][:1024]
         cells = [int(x) >> (64 - bits) for x in r.low[todo]]
-        deeper = min(bits + STEP_BITS, 63)
+        deeper = min(bits + STEP_BITS, 64)
         part = groups.where(F.shiftright("group", 64 - bits).isin(cells))
         gone = set(todo.tolist())
         rows = [x for i, x in enumerate(rows) if i not in gone] + read(_sums(part, deeper), deeper)
-        if deeper == bits:
-            return r
 
 
 def cut_points(groups: DataFrame, shards: int) -> list[int]:

@@ -75,7 +75,7 @@ def first_difference(ref: Column, hyp: Column) -> Column:
     def point(c: Column) -> Column:
         x = F.substring(c, n + 1, F.lit(1))
         # UTF-32 has one number for each code point
-        return F.when(n < F.length(c), F.concat(F.lit("U+"), F.lpad(F.regexp_replace(F.hex(F.encode(x, "UTF-32")), "^0{0,4}", ""), 4, "0"))).otherwise("")
+        return F.when(n < F.length(c), F.concat(F.lit("U+"), F.regexp_replace(F.hex(F.encode(x, "UTF-32")), "^0{0,4}", ""))).otherwise("")
 
     def around(c: Column) -> Column:
         begin = F.greatest(F.lit(0), n - 8)

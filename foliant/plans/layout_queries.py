@@ -53,8 +53,8 @@ def _sql_area(a: str) -> str:
 
 
 @query(
-    f"""WITH {BOXES} SELECT a.page, count(*) AS pairs, sum(CASE WHEN {_sql_inter('a', 'b')} / ({_sql_area('a')} + {_sql_area('b')} - {_sql_inter('a', 'b')}) > 0.5 THEN 1 ELSE 0 END) AS alike,
-  sum(CASE WHEN {_sql_inter('a', 'b')} / least({_sql_area('a')}, {_sql_area('b')}) >= 0.7 THEN 1 ELSE 0 END) AS overlapping, round(max({_sql_inter('a', 'b')} / {_sql_area('a')}), 6) AS most_cover
+    f"""WITH {BOXES} SELECT a.page, count(*) AS pairs, sum(CASE WHEN {_sql_inter('a', 'b')} / ({_sql_area('a')} + {_sql_area('b')} - {_sql_inter('a', 'b')}) > 0.5 THEN 1 ELSE 0 END)::BIGINT AS alike,
+  sum(CASE WHEN {_sql_inter('a', 'b')} / least({_sql_area('a')}, {_sql_area('b')}) >= 0.7 THEN 1 ELSE 0 END)::BIGINT AS overlapping, round(max({_sql_inter('a', 'b')} / {_sql_area('a')}), 6) AS most_cover
 FROM boxes a JOIN boxes b ON a.page = b.page AND a.idx < b.idx GROUP BY a.page"""
 )
 def box_overlaps(spark, sf_dir):
@@ -257,7 +257,7 @@ def formula_numbers_attached(spark, sf_dir):
     return B.attach_numbers(own)
 
 
-@query("SELECT o_orderstatus AS status, count(*) AS n, CASE o_orderstatus WHEN 'F' THEN 1.0 ELSE 0.0 END AS progress FROM orders GROUP BY o_orderstatus")
+@query("SELECT o_orderstatus AS status, count(*) AS n, CAST(CASE o_orderstatus WHEN 'F' THEN 1 ELSE 0 END AS DOUBLE) AS progress FROM orders GROUP BY o_orderstatus")
 def status_progress(spark, sf_dir):
     own = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
     return own.withColumn("progress", B.progress(F.when(F.col("status") == "F", "completed").otherwise("queued")))

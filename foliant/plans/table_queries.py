@@ -44,7 +44,7 @@ def otsl_html(spark, sf_dir):
     return T.otsl_html(grids(spark, sf_dir))
 
 
-@query(f"{_CELLS} SELECT l_orderkey AS table_id, count(*) AS cells, sum(down * CASE WHEN wide THEN 2 ELSE 1 END) AS places FROM s WHERE k IN ('f', 'e') GROUP BY 1")
+@query(f"{_CELLS} SELECT l_orderkey AS table_id, count(*) AS cells, sum(down * CASE WHEN wide THEN 2 ELSE 1 END)::BIGINT AS places FROM s WHERE k IN ('f', 'e') GROUP BY 1")
 def html_grid(spark, sf_dir):
     """Back from markup to a grid."""
     html = T.otsl_html(grids(spark, sf_dir))

@@ -19,7 +19,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", own(F.col("text")).alias("ref"), own(F.lead("text").over(w)).alias("hyp")).where("hyp IS NOT NULL")
 
 
-@query(f"WITH {PAIRS} SELECT role, count(*) AS pairs, sum(length(ref)) AS ref_chars, sum(levenshtein(ref, hyp)) AS edits, round(1 - sum(levenshtein(ref, hyp)) / sum(length(ref)), 9) AS accuracy FROM pairs WHERE hyp IS NOT NULL GROUP BY role")
+@query(f"WITH {PAIRS} SELECT role, count(*) AS pairs, sum(length(ref))::BIGINT AS ref_chars, sum(levenshtein(ref, hyp))::BIGINT AS edits, round(1 - sum(levenshtein(ref, hyp)) / sum(length(ref)), 9) AS accuracy FROM pairs WHERE hyp IS NOT NULL GROUP BY role")
 def micro_accuracy_by_role(spark, sf_dir):
     """Micro-averaged character accuracy of each turn against the next of its conversation."""
     own = _pairs(spark, sf_dir).withColumn("edits", F.levenshtein("ref", "hyp"))
@@ -130,7 +130,7 @@ _NESTED = """'{"a": [{"score": ' || (l_discount * 10) || '}, {"confidence": ' ||
 
 @query(
     """SELECT l_orderkey, round(sum(CASE WHEN l_discount * 10 BETWEEN 0 AND 1 THEN l_discount * 10 ELSE 0 END + l_tax), 6) AS total,
-  sum(CASE WHEN l_discount * 10 BETWEEN 0 AND 1 THEN 2 ELSE 1 END) AS n FROM lineitem GROUP BY l_orderkey"""
+  sum(CASE WHEN l_discount * 10 BETWEEN 0 AND 1 THEN 2 ELSE 1 END)::BIGINT AS n FROM lineitem GROUP BY l_orderkey"""
 )
 def scores_at_any_depth(spark, sf_dir):
     own = table(spark, sf_dir, "lineitem").select("l_orderkey", F.to_json(F.struct(F.array(F.struct((F.col("l_discount") * 10).alias("score"), F.lit(None).cast("double").alias("confidence")), F.struct(F.lit(None).cast("double").alias("score"), F.col("l_tax").alias("confidence"))).alias("a"), F.struct(F.lit(2).alias("score")).alias("b"))).alias("j"))
@@ -138,7 +138,7 @@ def scores_at_any_depth(spark, sf_dir):
     return s.groupBy("l_orderkey").agg(F.round(F.sum(F.aggregate("s", F.lit(0.0), lambda a, x: a + x)), 6).alias("total"), F.sum(F.size("s")).alias("n"))
 
 
-@query("SELECT source, count(quality) AS count, coalesce(avg(quality), 0) AS mean, coalesce(min(quality), 0) AS minimum, coalesce(max(quality), 0) AS maximum FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
+@query("SELECT source, count(quality) AS count, coalesce(avg(quality), 0) AS mean, coalesce(min(quality), 0)::DOUBLE AS minimum, coalesce(max(quality), 0)::DOUBLE AS maximum FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
 def confidence_summary(spark, sf_dir):
     own = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
     return own.groupBy("source").agg(*scoring.summary(F.col("quality").cast("double")))

@@ -32,7 +32,7 @@ def first_page_of_host(spark, sf_dir):
     return C.first_by(own, "host", "page_id")
 
 
-@query("SELECT count(*) AS files, sum(octet_length(encode(text))) AS bytes FROM documents")
+@query("SELECT count(*) AS files, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents")
 def checked_totals(spark, sf_dir):
     return C.totals(table(spark, sf_dir, "documents").select(F.octet_length("text").alias("bytes")))
 

@@ -129,7 +129,8 @@ MANIFEST = (
     "schema string, dataset_id string, task_type string, threshold double, normalization struct<remove_whitespace:boolean,ignore_punctuation:boolean,case_sensitive:boolean>,"
     "samples array<struct<id:string,input:string,reference_path:string,reference_text:string,input_sha256:string,reference_sha256:string>>"
 )
-MANIFEST_SCHEMA = "RecognitionStudio-Acceptance/1"
+#: Acceptance manifests of version 1, whatever product wrote them.
+MANIFEST_SCHEMA = r"^\w+-Acceptance/1$"
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -142,7 +143,7 @@ def manifest_samples(raw: DataFrame) -> DataFrame:
         return F.when(F.coalesce(ok, F.lit(False)), value).otherwise(F.raise_error(F.lit(why)).cast("string"))
 
     own = raw.select(
-        required(F.col("schema") == MANIFEST_SCHEMA, F.col("schema"), "unknown manifest schema").alias("schema"),
+        required(F.col("schema").rlike(MANIFEST_SCHEMA), F.col("schema"), "unknown manifest schema").alias("schema"),
         required(F.trim("dataset_id") != "", F.trim("dataset_id"), "dataset_id is missing").alias("dataset_id"),
         required(F.col("task_type").isin("scan", "voice"), F.col("task_type"), "task_type is neither scan nor voice").alias("task_type"),
         F.when(F.coalesce("threshold", F.lit(0.98)).between(0.98, 1.0), F.coalesce("threshold", F.lit(0.98))).otherwise(F.raise_error(F.lit("threshold outside [0.98, 1]")).cast("double")).alias("threshold"),

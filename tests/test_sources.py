@@ -15,7 +15,7 @@ from foliant.operators import verify as C
 from foliant.sources import readers as R
 from foliant.sources import writers as W
 
-GOOD = {"schema": R.MANIFEST_SCHEMA, "dataset_id": " d ", "task_type": "scan", "samples": [{"id": " ", "input": "a.png", "reference_text": "x", "reference_path": "y", "input_sha256": "AB" * 32}, {"id": "k", "input": "b.png", "reference_path": "r.txt"}]}
+GOOD = {"schema": "Any-Acceptance/1", "dataset_id": " d ", "task_type": "scan", "samples": [{"id": " ", "input": "a.png", "reference_text": "x", "reference_path": "y", "input_sha256": "AB" * 32}, {"id": "k", "input": "b.png", "reference_path": "r.txt"}]}
 
 
 def manifest(spark, tmp_path, **change):

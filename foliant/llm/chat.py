@@ -140,3 +140,27 @@ def read_back(made: DataFrame) -> DataFrame:
     # one row for a conversation: its digest needs all of it in order
     all_ = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("window", "turns", "loss"))).alias("w"), F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"))
     return all_.select("conv_id", "n_turns", F.array_join("w.turns", "").alias("turns"), F.array_join("w.loss", "").alias("loss_text"), "formatted_chars")
+
+
+def oracle(extra: str) -> str:
+    """The query's result in DuckDB's SQL: the same windows, their lengths summed. `extra` is a select of more turns."""
+
+    def escaped(c: str) -> str:
+        out = f"replace({c}, chr(92), chr(92) || '0')"
+        for k, control in enumerate(CONTROL, 1):
+            out = f"replace({out}, '{control}', chr(92) || '{k}')"
+        return out
+
+    marks = " ".join(f"WHEN '{r}' THEN {len(a) + len(b)}" for r, (a, b) in MARKS.items())
+    return f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL {extra}),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos, len(regexp_extract_all(text, '\\p{{L}}+|\\p{{N}}{{1,3}}|[^\\s\\p{{L}}\\p{{N}}]+')) + 4 AS tokens FROM t),
+p AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos) - tokens AS start, pos = 0 AND role = 'system' AS head,
+  length({escaped("text")}) + CASE role {marks} ELSE {len(OTHER[0]) + len(OTHER[1]) + len("[ROLE]")} + length({escaped("role")}) END AS size FROM o),
+s AS (SELECT conv_id, start // {FRESH} AS w, min(start) FILTER (WHERE NOT head) AS begins, count(*) FILTER (WHERE NOT head) AS n FROM p GROUP BY ALL),
+k AS (SELECT * FROM (SELECT *, sum(n) OVER (PARTITION BY conv_id) AS every FROM s) WHERE n > 0 OR every = 0),
+x AS (SELECT *, lead(begins) OVER (PARTITION BY conv_id ORDER BY w) AS next_begins FROM k),
+body AS (SELECT p.conv_id, sum(size * CASE WHEN x.next_begins - p.start <= {HISTORY} THEN 2 ELSE 1 END) AS chars FROM p JOIN x ON p.conv_id IS NOT DISTINCT FROM x.conv_id AND p.start // {FRESH} = x.w WHERE NOT p.head GROUP BY 1),
+head AS (SELECT p.conv_id, sum(size) AS chars FROM p JOIN x ON p.conv_id IS NOT DISTINCT FROM x.conv_id WHERE p.head GROUP BY 1),
+d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '') AS loss FROM p GROUP BY conv_id)
+SELECT d.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, (coalesce(body.chars, 0) + coalesce(head.chars, 0))::BIGINT AS formatted_chars
+FROM d LEFT JOIN body ON d.conv_id IS NOT DISTINCT FROM body.conv_id LEFT JOIN head ON d.conv_id IS NOT DISTINCT FROM head.conv_id"""

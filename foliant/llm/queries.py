@@ -97,4 +97,5 @@ QUERIES = {
         op1_warc, op2_quality_rules, op3_sharding, op4_minhash_near_dedup, op5_bpe, op6_source_mixing, op7_multi_index, op8_chat_windows, op9_main_text, op10_language_id,
     )
 }
-SQL = {"op6_source_mixing": mixing.oracle()}
+_EXTRA = " UNION ALL ".join(f"SELECT -1, {k}, '{role}', '</s>[INST] ok [/INST]'" for k, role in enumerate(("user", "assistant")))
+SQL = {"op1_warc": warc.oracle(), "op6_source_mixing": mixing.oracle(), "op8_chat_windows": chat.oracle(_EXTRA)}

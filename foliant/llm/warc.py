@@ -230,3 +230,13 @@ def resolved(records: DataFrame) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
         F.col("kind").alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"),
     )
+
+
+def oracle() -> str:
+    """The query's result in DuckDB's SQL: base32 from each five hexadecimal digits of the SHA-1."""
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    digits = " || ".join(f"substr('{alphabet}', CAST(((CAST('0x' || substr(h, {5 * j + 1}, 5) AS BIGINT) >> {shift}) & 31) + 1 AS BIGINT), 1)" for j in range(8) for shift in (15, 10, 5, 0))
+    return f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS least FROM p)
+SELECT page_id, octet_length(encode(html)) AS payload_bytes, {digits} AS payload_digest, CASE WHEN least IS NULL OR page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> least OR (page_id IS NULL AND least IS NOT NULL) THEN least END AS refers_to FROM q"""

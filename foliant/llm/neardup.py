@@ -12,7 +12,10 @@
    below) go. The rest is confirmed on full sets in rounds: first the best candidate of each
    text, which joins most of a cluster; pairs inside one component need no further test, since
    only reachability counts; the last round tests every pair that still crosses components.
-4. Components by smallest label with pointer jumping, on a written table in each step.
+4. Where a region of four rows or more still has several components, close texts may stand apart in
+   every order. Its rows are compared again by whole signatures, each with the WIDE rows before it, and
+   what agrees well enough is confirmed as in 3.
+5. Components by smallest label with pointer jumping, on a written table in each step.
 
 A pair at similarity 0.75 shares MIN_DEPTH components in one tree with chance 0.32, so all TREES
 miss it with chance 5e-6; closer pairs less.
@@ -45,6 +48,8 @@ HASHES = TREES * MIN_DEPTH
 MIN_AGREE = 0.55
 #: A list of ids up to this length is broadcast; longer ones are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: In a region of several components each row is compared with so many rows before it.
+WIDE = 4096
 #: Rounds that test only the best pair of each text, before the one that tests all that is left.
 BEST_ROUNDS = 2
 
@@ -155,6 +160,16 @@ def neighbours(tree: np.ndarray, key: np.ndarray, node: np.ndarray) -> tuple[np.
     return np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
 
 
+def crowded(tree: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Rows of regions of four or more, and of regions at either end, which may go on elsewhere."""
+    if not len(tree):
+        return np.zeros(0, bool)
+    same = (key[1:, :MIN_DEPTH] == key[:-1, :MIN_DEPTH]).all(axis=1) & (tree[1:] == tree[:-1])
+    region = np.cumsum(np.concatenate([[True], ~same])) - 1
+    size = np.bincount(region)[region]
+    return (size >= 4) | (size > 1) & ((region == 0) | (region == region[-1]))
+
+
 def _key(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 2 * MAX_DEPTH).view(">u2")
 
@@ -173,25 +188,64 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = tuple(np.concatenate([h, x]) for h, x in zip(held, (tree, node, key)))
         a, b = neighbours(seen[0], seen[2], seen[1])
         yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.binary())], names=["tree", "a", "b", "key"])
+        dense = crowded(seen[0], seen[2])
+        yield _edges(*(x[dense] for x in seen), mark=0)
         # the rows of the last region, 64 at most, go on to the next batch
         held = tuple(x[-64:] for x in seen)
     if held is not None:
         yield _edges(*(x[-2:] for x in held))
 
 
-def _edges(tree: np.ndarray, node: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(node, pa.int64()), pa.nulls(len(tree), pa.int64()), pa.array([k.tobytes() for k in key], pa.binary())], names=["tree", "a", "b", "key"])
+def _edges(tree: np.ndarray, node: np.ndarray, key: np.ndarray, mark: int | None = None) -> pa.RecordBatch:
+    marks = pa.array([mark] * len(tree), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(node, pa.int64()), marks, pa.array([k.tobytes() for k in key], pa.binary())], names=["tree", "a", "b", "key"])
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a, b), a < b, of classes (node, sig)."""
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of crowded regions, sorted -> pairs of different labels whose signatures agree well enough."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tree, node, label = (batch[c].to_numpy() for c in ("tree", "node", "label"))
+        key, sig = _key(batch["key"]), np.frombuffer(b"".join(batch["sig"].to_pylist()), ">u2").reshape(-1, HASHES).astype(np.uint16)
+        edge = np.flatnonzero((key[1:, :MIN_DEPTH] != key[:-1, :MIN_DEPTH]).any(axis=1) | (tree[1:] != tree[:-1])) + 1
+        found: list[tuple[np.ndarray, ...]] = []
+        for i, j in zip([0, *edge], [*edge, len(tree)]):
+            name = (tree[i], key[i, :MIN_DEPTH].tobytes())
+            own = (node[i:j], label[i:j], sig[i:j])
+            before = held[1] if held and held[0] == name else tuple(x[:0] for x in own)
+            whole = tuple(np.concatenate([x, y]) for x, y in zip(before, own))
+            n = len(before[0])
+            for at in range(n, len(whole[0]), 32):
+                to = min(at + 32, len(whole[0]))
+                low = max(0, at - WIDE)
+                agree = (whole[2][at:to, None, :] == whole[2][None, low:to, :]).mean(axis=2)
+                later, earlier = np.nonzero((agree >= MIN_AGREE) & (whole[1][at:to, None] != whole[1][None, low:to]) & (np.arange(low, to)[None, :] < np.arange(at, to)[:, None]))
+                found.append((whole[0][at + later], whole[0][low + earlier], agree[later, earlier]))
+            held = (name, tuple(x[-WIDE:] for x in whole))
+        a, b, agree = (np.concatenate(x) for x in zip(*found))
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(agree)], names=["a", "b", "agree"])
+
+
+def crowded_candidates(dense: DataFrame, sig: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs (a, b, agree) across components in the regions of rows (tree, key, node) that have several."""
+    rows = dense.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("prefix", F.substring("key", 1, 2 * MIN_DEPTH))
+    mixed = rows.groupBy("tree", "prefix").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("tree", "prefix")
+    rows = rows.join(mixed, ["tree", "prefix"], "left_semi").join(sig, "node")
+    return rows.repartition("tree", "prefix").sortWithinPartitions("tree", "key", "node").select("tree", "key", "node", "label", "sig").mapInArrow(_alike, "a long, b long, agree double").where("a <> b").distinct()
+
+
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct candidate pairs (a, b), a < b, of classes (node, sig), and the rows (tree, key, node) of crowded regions."""
     twice = F.concat("sig", "sig")
     rows = classes.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring(twice, t * 2 * MIN_DEPTH + 1, F.lit(2 * MAX_DEPTH)))).alias("tree", "key"))
     found = stored(rows.repartitionByRange("tree", "key").sortWithinPartitions("tree", "key", "node").mapInArrow(_pairs, "tree int, a long, b long, key binary"), "forest")
     # edges: four rows of each partition
-    edges = found.where(F.col("key").isNotNull()).select("tree", F.col("a").alias("node"), "key")
+    edges = found.where("key IS NOT NULL AND b IS NULL").select("tree", F.col("a").alias("node"), "key")
     across = edges.coalesce(1).sortWithinPartitions("tree", "key", "node").mapInArrow(_pairs, "tree int, a long, b long, key binary")
-    return found.unionAll(across).where(F.col("key").isNull()).select("a", "b").distinct()
+    pairs = found.unionAll(across).where(F.col("key").isNull()).select("a", "b").distinct()
+    return pairs, found.where("key IS NOT NULL AND b IS NOT NULL").select("tree", "key", F.col("a").alias("node")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -228,38 +282,53 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     node = F.coalesce("rep", F.xxhash64("cls").bitwiseOR(F.lit(-(2**63))))
     classes = stored(classes.withColumn("node", node), "classes")
 
-    found = candidates(classes)
+    found, dense = candidates(classes)
     sig = classes.select("node", "sig")
     for side in ("a", "b"):
         found = found.join(sig.select(F.col("node").alias(side), F.col("sig").alias(f"sig_{side}")), side)
     found = stored(found.select("a", "b", agreement("sig_a", "sig_b").alias("agree")).where(F.col("agree") >= MIN_AGREE), "candidates")
 
-    nodes = found.select(F.col("a").alias("node")).unionAll(found.select(F.col("b").alias("node"))).distinct()
-    nodes = stored(nodes, "nodes")
-    few = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
     shaped = _sets(width)
-    named = own.where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "node").join(few, "node").select("node", shaped("text").alias("s")).select("node", "s.*")
-    unnamed = own.where(F.col("doc_id").isNull()).select(shaped("text").alias("s")).select(F.xxhash64("s.cls").bitwiseOR(F.lit(-(2**63))).alias("node"), "s.*").join(few, "node")
-    sets = stored(named.unionByName(unnamed).groupBy("node", "cls").agg(F.first("shingles").alias("shingles")), "sets")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def sets_of(pairs: DataFrame, held: DataFrame | None) -> DataFrame:
+        """The full sets of the nodes of these pairs, those at hand included."""
+        nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+        if held is not None:
+            nodes = nodes.join(held.select("node").distinct(), "node", "left_anti")
+        nodes = stored(nodes, "nodes")
+        few = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
+        named = own.where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "node").join(few, "node").select("node", shaped("text").alias("s")).select("node", "s.*")
+        unnamed = own.where(F.col("doc_id").isNull()).select(shaped("text").alias("s")).select(F.xxhash64("s.cls").bitwiseOR(F.lit(-(2**63))).alias("node"), "s.*").join(few, "node")
+        new = stored(named.unionByName(unnamed).groupBy("node", "cls").agg(F.first("shingles").alias("shingles")), "sets")
+        return new if held is None else held.unionByName(new)
+
+    def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for side in ("a", "b"):
             pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("shingles").alias(f"s_{side}")), side)
         return stored(pairs.select("a", "b", _similar(percent)("s_a", "s_b").alias("ok")).where("ok").select("a", "b").distinct(), "links")
 
-    links, label, tested = None, None, None
-    for turn in range(BEST_ROUNDS + 1):
-        left = _relabelled(found, label)
-        if tested is not None:
-            left = left.join(tested, ["a", "b"], "left_anti")
-        if turn < BEST_ROUNDS:
-            ends = left.select(F.col("a").alias("n"), F.struct("agree", F.col("b").alias("o")).alias("w")).unionAll(left.select(F.col("b").alias("n"), F.struct("agree", F.col("a").alias("o")).alias("w")))
-            best = ends.groupBy("n").agg(F.max("w").alias("w")).select(F.least("n", "w.o").alias("a"), F.greatest("n", "w.o").alias("b")).distinct()
-            left = stored(best, "best")
-            tested = left if tested is None else tested.unionAll(left)
-        new = confirmed(left.select("a", "b"))
-        links = new if links is None else links.unionAll(new)
-        label = components(links)
+    def rounds(pairs: DataFrame, sets: DataFrame, links: DataFrame | None, label: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Tests all pairs that cross components, the best of each text first."""
+        tested = None
+        for turn in range(BEST_ROUNDS + 1):
+            left = _relabelled(pairs, label)
+            if tested is not None:
+                left = left.join(tested, ["a", "b"], "left_anti")
+            if turn < BEST_ROUNDS:
+                ends = left.select(F.col("a").alias("n"), F.struct("agree", F.col("b").alias("o")).alias("w")).unionAll(left.select(F.col("b").alias("n"), F.struct("agree", F.col("a").alias("o")).alias("w")))
+                best = ends.groupBy("n").agg(F.max("w").alias("w")).select(F.least("n", "w.o").alias("a"), F.greatest("n", "w.o").alias("b")).distinct()
+                left = stored(best, "best")
+                tested = left if tested is None else tested.unionAll(left)
+            new = confirmed(left.select("a", "b"), sets)
+            links = new if links is None else links.unionAll(new)
+            label = components(links)
+        return links, label
+
+    sets = sets_of(found, None)
+    links, label = rounds(found, sets, None, None)
+    wide = stored(crowded_candidates(dense, sig, label).join(found.select("a", "b"), ["a", "b"], "left_anti"), "wide")
+    if wide.limit(1).count():
+        links, label = rounds(wide, sets_of(wide, sets), links, label)
 
     reached = label.join(classes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("least"))
     by_node = label.join(reached, "label").select("node", "least")

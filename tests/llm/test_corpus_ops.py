@@ -184,3 +184,22 @@ def test_sharding_cases(spark):
     named = out[out["doc_id"].notna()]
     assert named.assign(t=[str(by[int(d)]) for d in named["doc_id"]]).groupby("t")["shard"].nunique().max() == 1
     assert sharding.assign(frame(spark, rows).where("false")).count() == 0
+
+
+def test_dense_region_below_the_threshold(spark):
+    """Many texts of one template just below the threshold to each other, and pairs above it among them."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    rows = []
+    for k in range(300):
+        own = list(base)
+        for at in range(10, 300, 37):  # eight changes: about 0.77 of the shingles stay with the base, 0.65 between two texts
+            own[(at + rng.randrange(30)) % 300] = f"x{k}_{at}"
+        rows.append((2 * k + 10, " ".join(own)))
+        if k % 10 == 0:
+            near = list(own)
+            for at in (40, 140, 240):
+                near[at] = f"y{k}_{at}"
+            rows.append((2 * k + 11, " ".join(near)))
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(frame(spark, [(d, t, "en", "s") for d, t in rows])).collect())
+    assert got == sorted(brute_components(rows))

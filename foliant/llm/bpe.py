@@ -32,6 +32,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: A leaf has about so many characters.
 LEAF = 1 << 15
 #: An unsplit piece longer than this is encoded by halves.
@@ -172,6 +174,7 @@ def codec(path: str) -> Codec:
 
 def encode_docs(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """`docs` with the ids of the whole text as array<int> in `out`."""
+    small_batches(docs)
 
     @F.arrow_udf("array<int>")
     def encoded(texts: pa.Array) -> pa.Array:

@@ -34,6 +34,17 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
+#: Texts in one Arrow batch: whole texts may be long, so memory is bounded by few of them.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> None:
+    """Lowers the session's rows of an Arrow batch to BATCH_ROWS, before texts go to Python workers."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written once as Parquet in the shared folder and read back: short lineage that
     survives the loss of any executor."""

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Elements whose content is no text of the page.
 RAW = "script|style|noscript|template|textarea|title|select|svg|iframe|object|math|canvas|audio|video"
 TOKEN = re.compile(
@@ -252,6 +254,7 @@ def main_text(page: str | None, tree: Tree) -> str:
 
 def extract(pages: DataFrame, page: str = "html", out: str = "main_text", tree: Tree | None = None) -> DataFrame:
     """`pages` with the main text in `out`."""
+    small_batches(pages)
     own = tree or train(labelled())
 
     @F.arrow_udf("string")

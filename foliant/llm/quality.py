@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: So many labelled documents are used at most to fit the trees.
 MAX_LABELLED = 20_000
 TREES, DEPTH, BINS, RATE, LEAF, L2 = 60, 3, 32, 0.2, 20, 1.0
@@ -187,6 +189,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, text: str = "text") -> Forest:
     """Fits the trees on the labelled documents whose ids have the smallest hashes."""
+    small_batches(docs)
     label = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg(F.min("quality").alias("label_y"))
     sample = label.orderBy(F.xxhash64("label_id"), "label_id").limit(max_labelled)
     # the sample has at most max_labelled rows of two numbers
@@ -203,6 +206,7 @@ STRUCT = "struct<n_words:long,word_chars:long,n_symbols:long,n_dup_lines:long,n_
 
 def judge(docs: DataFrame, forest: Forest, text: str = "text", out: str = "quality", keep_from: float = KEEP_FROM) -> DataFrame:
     """`docs` with a struct column `out`: the base counts, base_failed, p_good and kept."""
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 
     @F.arrow_udf(STRUCT)

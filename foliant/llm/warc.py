@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, stored
+from .common import shared_dir, small_batches, stored
 
 SEGMENT_BYTES = 32 * 1024
 CHUNK_BYTES = 8 * 1024
@@ -107,6 +107,7 @@ def _written(limit: int):
 
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", payload: str = "html", min_revisit: int = 0, segment_bytes: int = SEGMENT_BYTES) -> None:
     """Writes pages to gzipped WARC files under `path`."""
+    small_batches(pages)
     own = pages.select(F.col(page_id).alias("page_id"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
     own = own.withColumn("sha", F.sha1("payload"))
     # the digests that occur under more than one page; one row for each and task before the shuffle

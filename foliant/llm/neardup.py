@@ -12,10 +12,16 @@
    below) go. The rest is confirmed on full sets in rounds: first the best candidate of each
    text, which joins most of a cluster; pairs inside one component need no further test, since
    only reachability counts; the last round tests every pair that still crosses components.
-4. Components by smallest label with pointer jumping, on a written table in each step.
+4. Where a region of CROWDED rows or more still has several components, close texts may stand apart
+   in every order. All rows of such regions are joined exactly (`prefix_pairs`): two sets above the
+   threshold share a shingle among the first of each in one order of all shingles, rarest first.
+   Texts of one template that stay below the threshold have more shingles of their own than such a
+   prefix holds, so what they have in common makes no pairs. The pairs are confirmed as in 3.
+5. Components by smallest label with pointer jumping, on a written table in each step.
 
 A pair at similarity 0.75 shares MIN_DEPTH components in one tree with chance 0.32, so all TREES
-miss it with chance 5e-6; closer pairs less.
+miss it with chance 5e-6; closer pairs less. A pair that shares them is either tested, or in one
+component already.
 
 Cases: a text that is null or without words has an empty set (0), no link, and is its own
 component; fewer than `width` words make one shingle; a doc_id on several rows is one document
@@ -45,6 +51,8 @@ HASHES = TREES * MIN_DEPTH
 MIN_AGREE = 0.55
 #: A list of ids up to this length is broadcast; longer ones are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Smaller regions are compared in full by adjacent rows and second neighbours.
+CROWDED = 4
 #: Rounds that test only the best pair of each text, before the one that tests all that is left.
 BEST_ROUNDS = 2
 
@@ -155,12 +163,22 @@ def neighbours(tree: np.ndarray, key: np.ndarray, node: np.ndarray) -> tuple[np.
     return np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
 
 
+def crowded(tree: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Rows of regions of CROWDED or more, and of regions at either end, which may go on elsewhere."""
+    if not len(tree):
+        return np.zeros(0, bool)
+    same = (key[1:, :MIN_DEPTH] == key[:-1, :MIN_DEPTH]).all(axis=1) & (tree[1:] == tree[:-1])
+    region = np.cumsum(np.concatenate([[True], ~same])) - 1
+    return (np.bincount(region)[region] >= CROWDED) | (region == 0) | (region == region[-1])
+
+
 def _key(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 2 * MAX_DEPTH).view(">u2")
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (tree, key, node) -> candidates (a, b, null) and the partition's edge rows (tree, node, key)."""
+    """Sorted (tree, key, node) -> candidates (a, b, null), the partition's edge rows (tree, node, key)
+    and the rows of crowded regions (tree, node, 0, key)."""
     held = None
     for batch in batches:
         if not batch.num_rows:
@@ -173,25 +191,113 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = tuple(np.concatenate([h, x]) for h, x in zip(held, (tree, node, key)))
         a, b = neighbours(seen[0], seen[2], seen[1])
         yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.binary())], names=["tree", "a", "b", "key"])
+        dense = crowded(seen[0], seen[2])
+        yield _edges(*(x[dense] for x in seen), mark=0)
         # the rows of the last region, 64 at most, go on to the next batch
         held = tuple(x[-64:] for x in seen)
     if held is not None:
         yield _edges(*(x[-2:] for x in held))
 
 
-def _edges(tree: np.ndarray, node: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(node, pa.int64()), pa.nulls(len(tree), pa.int64()), pa.array([k.tobytes() for k in key], pa.binary())], names=["tree", "a", "b", "key"])
+def _edges(tree: np.ndarray, node: np.ndarray, key: np.ndarray, mark: int | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(node, pa.int64()), pa.array([mark] * len(tree), pa.int64()), pa.array([k.tobytes() for k in key], pa.binary())], names=["tree", "a", "b", "key"])
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a, b), a < b, of classes (node, sig)."""
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct candidate pairs (a, b), a < b, of classes (node, sig), and the rows (tree, key, node) of crowded regions."""
     twice = F.concat("sig", "sig")
     rows = classes.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring(twice, t * 2 * MIN_DEPTH + 1, F.lit(2 * MAX_DEPTH)))).alias("tree", "key"))
     found = stored(rows.repartitionByRange("tree", "key").sortWithinPartitions("tree", "key", "node").mapInArrow(_pairs, "tree int, a long, b long, key binary"), "forest")
     # edges: four rows of each partition
-    edges = found.where(F.col("key").isNotNull()).select("tree", F.col("a").alias("node"), "key")
+    edges = found.where("key IS NOT NULL AND b IS NULL").select("tree", F.col("a").alias("node"), "key")
     across = edges.coalesce(1).sortWithinPartitions("tree", "key", "node").mapInArrow(_pairs, "tree int, a long, b long, key binary")
-    return found.unionAll(across).where(F.col("key").isNull()).select("a", "b").distinct()
+    pairs = found.unionAll(across).where(F.col("key").isNull()).select("a", "b").distinct()
+    return pairs, found.where("key IS NOT NULL AND b IS NOT NULL").select("tree", "key", F.col("a").alias("node")).distinct()
+
+
+def mixed_nodes(dense: DataFrame, label: DataFrame) -> DataFrame:
+    """(node, label) of all rows in crowded regions that have several components."""
+    rows = dense.join(label, "node", "left").select("tree", F.substring("key", 1, 2 * MIN_DEPTH).alias("prefix"), "node", F.coalesce("label", "node").alias("label"))
+    mixed = rows.groupBy("tree", "prefix").agg(F.count("*").alias("k"), F.min("label").alias("low"), F.max("label").alias("high")).where(f"k >= {CROWDED} and low < high")
+    return rows.join(mixed.select("tree", "prefix"), ["tree", "prefix"], "left_semi").select("node", "label").distinct()
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _longs(shingles: pa.Array) -> pa.Array:
+    parts = shingles.to_pylist()
+    ends = np.cumsum([0, *(len(x) // 8 for x in parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), np.int64)))
+
+
+def _across(percent: int):
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Prefix rows sorted by (shingle, label) -> pairs of different labels that may be above the threshold."""
+        names = ("shingle", "label", "node", "n", "at", "short")
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [batch[c].to_numpy(zero_copy_only=False) for c in names]
+            if held is not None:
+                rows = [np.concatenate([h, x]) for h, x in zip(held, rows)]
+            # the last shingle may go on in the next batch
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            yield from _joined([x[:cut] for x in rows], percent)
+            held = [x[cut:] for x in rows]
+        if held is not None:
+            yield from _joined(held, percent)
+
+    return across
+
+
+def _joined(rows: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
+    shingle, label, node, n, at, short = rows
+    if len(shingle) < 2:
+        return
+    new = np.flatnonzero((shingle[1:] != shingle[:-1]) | (label[1:] != label[:-1])) + 1
+    starts = np.concatenate([[0], new, [len(shingle)]])
+    group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    # each row meets the rows after its own label, to the end of its shingle
+    low, high = starts[group + 1], np.searchsorted(shingle, shingle, side="right")
+    left = np.maximum(high - low, 0)
+    ends = np.cumsum(left)
+    i = 0
+    while i < len(left):
+        # about a million pairs at once
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + 1_000_000, side="right")))
+        x = np.repeat(np.arange(i, j), left[i:j])
+        y = np.arange(len(x)) - np.repeat(np.cumsum(left[i:j]) - left[i:j], left[i:j]) + low[x]
+        i = j
+        small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+        ok = (n[x] < n[y]) & short[x] | (n[y] < n[x]) & short[y] | (n[x] == n[y]) & (short[x] | short[y])
+        ok &= 100 * small >= percent * large
+        # what can still be common from this shingle on, if it is the first common one
+        ok &= (100 + percent) * np.minimum(n[x] - at[x], n[y] - at[y]) >= percent * (n[x] + n[y])
+        a, b = node[x[ok]], node[y[ok]]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def prefix_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of different labels, among them every one of `sets` (node, cls,
+    shingles) above the threshold.
+
+    Of sets x and y, x not the larger, with at least t of the union in common, the first common
+    shingle in any order of all shingles is among the first n - ceil(t n) + 1 of y and the first
+    n - ceil(2 t n / (1 + t)) + 1 of x. The order is by the number of sets that have the shingle.
+    """
+    rows = sets.join(label, "node").select("node", "cls", "label", _longs("shingles").alias("s"))
+    rows = stored(rows.select("node", "cls", "label", F.size("s").cast("long").alias("n"), F.explode("s").alias("shingle")), "shingles")
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("label").alias("low"), F.max("label").alias("high")).where("df > 1")
+    own = rows.join(shared.select("shingle", "df", (F.col("low") < F.col("high")).alias("mixed")), "shingle")
+    # a shingle of one set alone comes first and makes no pair: it only takes a place
+    own = own.groupBy("node", "cls", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle", "mixed"))).alias("w"))
+    own = own.select("node", "label", "n", F.size("w").alias("k"), F.posexplode("w").alias("i", "w")).withColumn("at", F.col("n") - F.col("k") + F.col("i"))
+    own = own.where(F.expr(f"w.mixed and at <= n - (n * {percent} + 99) div 100"))
+    short = F.expr(f"at <= n - (2 * {percent} * n + {99 + percent}) div {100 + percent}")
+    own = own.select(F.col("w.shingle").alias("shingle"), "label", "node", "n", "at", short.alias("short"))
+    return own.repartition("shingle").sortWithinPartitions("shingle", "label").mapInArrow(_across(percent), "a long, b long").where("a <> b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -229,38 +335,52 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     node = F.coalesce("rep", F.xxhash64("cls").bitwiseOR(F.lit(-(2**63))))
     classes = stored(classes.withColumn("node", node), "classes")
 
-    found = candidates(classes)
+    found, dense = candidates(classes)
     sig = classes.select("node", "sig")
-    for side in ("a", "b"):
-        found = found.join(sig.select(F.col("node").alias(side), F.col("sig").alias(f"sig_{side}")), side)
-    found = stored(found.select("a", "b", agreement("sig_a", "sig_b").alias("agree")).where(F.col("agree") >= MIN_AGREE), "candidates")
-
-    nodes = found.select(F.col("a").alias("node")).unionAll(found.select(F.col("b").alias("node"))).distinct()
-    nodes = stored(nodes, "nodes")
-    few = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
-    shaped = _sets(width)
-    named = own.where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "node").join(few, "node").select("node", shaped("text").alias("s")).select("node", "s.*")
-    unnamed = own.where(F.col("doc_id").isNull()).select(shaped("text").alias("s")).select(F.xxhash64("s.cls").bitwiseOR(F.lit(-(2**63))).alias("node"), "s.*").join(few, "node")
-    sets = stored(named.unionByName(unnamed).groupBy("node", "cls").agg(F.first("shingles").alias("shingles")), "sets")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
+
+    def agreeing(pairs: DataFrame) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(sig.select(F.col("node").alias(side), F.col("sig").alias(f"sig_{side}")), side)
+        return stored(pairs.select("a", "b", agreement("sig_a", "sig_b").alias("agree")).where(F.col("agree") >= MIN_AGREE), "candidates")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        nodes = stored(nodes, "nodes")
+        few = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
+        shaped = _sets(width)
+        named = own.where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "node").join(few, "node").select("node", shaped("text").alias("s")).select("node", "s.*")
+        unnamed = own.where(F.col("doc_id").isNull()).select(shaped("text").alias("s")).select(F.xxhash64("s.cls").bitwiseOR(F.lit(-(2**63))).alias("node"), "s.*").join(few, "node")
+        return stored(named.unionByName(unnamed).groupBy("node", "cls").agg(F.first("shingles").alias("shingles")), "sets")
+
+    def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for side in ("a", "b"):
             pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("shingles").alias(f"s_{side}")), side)
         return stored(pairs.select("a", "b", _similar(percent)("s_a", "s_b").alias("ok")).where("ok").select("a", "b").distinct(), "links")
 
-    links, label, tested = None, None, None
-    for turn in range(BEST_ROUNDS + 1):
-        left = _relabelled(found, label)
-        if tested is not None:
-            left = left.join(tested, ["a", "b"], "left_anti")
-        if turn < BEST_ROUNDS:
-            ends = left.select(F.col("a").alias("n"), F.struct("agree", F.col("b").alias("o")).alias("w")).unionAll(left.select(F.col("b").alias("n"), F.struct("agree", F.col("a").alias("o")).alias("w")))
-            best = ends.groupBy("n").agg(F.max("w").alias("w")).select(F.least("n", "w.o").alias("a"), F.greatest("n", "w.o").alias("b")).distinct()
-            left = stored(best, "best")
-            tested = left if tested is None else tested.unionAll(left)
-        new = confirmed(left.select("a", "b"))
-        links = new if links is None else links.unionAll(new)
-        label = components(links)
+    def rounds(pairs: DataFrame, sets: DataFrame, links: DataFrame | None, label: DataFrame | None, best_rounds: int) -> tuple[DataFrame, DataFrame]:
+        """Tests all pairs that cross components, the best of each text first."""
+        tested = None
+        for turn in range(best_rounds + 1):
+            left = _relabelled(pairs, label)
+            if tested is not None:
+                left = left.join(tested, ["a", "b"], "left_anti")
+            if turn < best_rounds:
+                ends = left.select(F.col("a").alias("n"), F.struct("agree", F.col("b").alias("o")).alias("w")).unionAll(left.select(F.col("b").alias("n"), F.struct("agree", F.col("a").alias("o")).alias("w")))
+                best = ends.groupBy("n").agg(F.max("w").alias("w")).select(F.least("n", "w.o").alias("a"), F.greatest("n", "w.o").alias("b")).distinct()
+                left = stored(best, "best")
+                tested = left if tested is None else tested.unionAll(left)
+            new = confirmed(left.select("a", "b"), sets)
+            links = new if links is None else links.unionAll(new)
+            label = components(links)
+        return links, label
+
+    found = agreeing(found)
+    links, label = rounds(found, sets_of(found.select(F.col("a").alias("node")).unionAll(found.select(F.col("b").alias("node"))).distinct()), None, None, BEST_ROUNDS)
+    dense = stored(mixed_nodes(dense, label), "dense")
+    if dense.limit(1).count():
+        sets = sets_of(dense.select("node"))
+        wide = agreeing(prefix_pairs(sets, dense, percent).join(found.select("a", "b"), ["a", "b"], "left_anti"))
+        if wide.limit(1).count():
+            links, label = rounds(wide, sets, links, label, 1)
 
     reached = label.join(classes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("least"))
     by_node = label.join(reached, "label").select("node", "least")

@@ -203,3 +203,24 @@ def test_dense_region_below_the_threshold(spark):
             rows.append((2 * k + 11, " ".join(near)))
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(frame(spark, [(d, t, "en", "s") for d, t in rows])).collect())
     assert got == sorted(brute_components(rows))
+
+
+def test_links_far_apart_in_a_crowded_region(spark, monkeypatch):
+    """Texts of one template at 0.71 to each other, some with a partner at 0.76 that others stand before.
+
+    With 12 orders instead of 32, a few hundred texts crowd their regions as very many do otherwise: neighbours
+    alone miss two of the 38 links."""
+    monkeypatch.setattr(neardup, "TREES", 12)
+    rng = random.Random(19)
+    rows = []
+    for k in range(300):
+        own = [f"w{i}" for i in range(250)] + [f"x{k}_{i}" for i in range(50)]
+        rows.append((2 * k + 10, " ".join(own)))
+        if k % 8 == 0:
+            for part in range(8):
+                own[part * 37 + 5 + rng.randrange(27)] = f"y{k}_{part}"
+            rows.append((2 * k + 11, " ".join(own)))
+    want = sorted(brute_components(rows))
+    assert sum(d != c for d, _, c in want) >= 20
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(frame(spark, [(d, t, "en", "s") for d, t in rows])).collect())
+    assert got == want

@@ -2,7 +2,8 @@
 
 Training counts character n-grams of the highest order over *all* learnable documents, in
 Spark: each task reduces its batches to distinct n-grams, so the shuffle carries distinct
-n-grams only. Lower orders follow from those counts by continuation (Kneser-Ney). The
+n-grams only. No n-gram is left out of the model, so it grows with the distinct n-grams of the
+corpus, on the driver and in the broadcast. Lower orders follow from those counts by continuation (Kneser-Ney). The
 model is a sorted array of n-gram hashes per order with one column of log-probabilities per
 language: one search prices an n-gram in every language at once.
 
@@ -32,9 +33,6 @@ from .common import mix64, small_batches
 
 #: Highest n-gram order.
 ORDER = 4
-#: Bound of the model: so many n-grams of the highest order (over all languages) at most. Where
-#: a corpus has more, the rarest counts are left out of the *model*; every document is still counted.
-MAX_GRAMS = 1_500_000
 #: A symbol takes so many bits: ORDER of them fit one integer.
 SYMBOL_BITS = 14
 #: Ideographs and Hangul syllables share a symbol by blocks of this many code points.
@@ -204,24 +202,12 @@ class Finder:
         return at
 
 
-def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", max_grams: int = MAX_GRAMS) -> Model:
+def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang") -> Model:
     """A model from the texts and non-null languages of the rows where `learn` holds."""
     small_batches(docs)
     own = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     counts = own.mapInArrow(_count_batches, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = counts.persist()
-    try:
-        # the smallest count for which the model keeps its bound; 1 unless the corpus has very many n-grams
-        sizes = counts.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect()
-        least, total = 1, 0
-        for r in sizes:
-            total += r["k"]
-            if total > max_grams:
-                least = r["n"] + 1
-                break
-        rows = counts.where(F.col("n") >= least).toArrow()
-    finally:
-        counts.unpersist()
+    rows = counts.toArrow()
     return build(rows["lang"].to_pylist(), rows["gram"].to_numpy(), rows["n"].to_numpy())
 
 

@@ -45,6 +45,18 @@ def test_language_cases(spark):
     assert not out[3]["rejected"] and out[5]["rejected"]
 
 
+def test_small_language_beside_very_many_grams(spark):
+    """A language of a single text stays in the model beside one with more than 1.5 million n-grams."""
+    rng = np.random.default_rng(5)
+    letters = np.array([chr(c) for c in range(0x250, 0x3400) if chr(c).isalpha() and chr(c).lower() == chr(c)])
+    long = ["".join(rng.choice(letters, 40_000)) for _ in range(42)]
+    train = docs(spark, long, "zz").unionByName(docs(spark, ["fox jumps quickly"], "qq"))
+    model = langid.fit(train, F.lit(True))
+    assert model.langs == ["qq", "zz"] and len(model.grams[-1][0]) > 1_500_000
+    scorer = langid.Scorer(model)
+    assert scorer.score(["fox jumps quickly", long[0][:400]])[0] == ["qq", "zz"]
+
+
 def test_language_without_training(spark):
     empty = docs(spark, ["a"]).where("false")
     model = langid.fit(empty, F.lit(True))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,11 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a local one is made and set.
+    Only where the session names none (tests on one machine) a local one is made and set; on a
+    cluster that is an error, since executors would not see it.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
         known = spark.sparkContext.getCheckpointDir()
+        if not known and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         conf = known or tempfile.mkdtemp(prefix="foliant-")
         spark.conf.set("spark.checkpoint.dir", conf)
     if not spark.sparkContext.getCheckpointDir():
@@ -34,26 +38,50 @@ def shared_dir(spark: SparkSession) -> str:
     return conf.rstrip("/")
 
 
-#: Texts in one Arrow batch: whole texts may be long, so memory is bounded by few of them.
-BATCH_ROWS = 1000
+#: Bytes of one Arrow batch of texts: a batch of very long texts has fewer of them.
+BATCH_BYTES = 8 << 20
 
 
 def small_batches(df: DataFrame) -> None:
-    """Lowers the session's rows of an Arrow batch to BATCH_ROWS, before texts go to Python workers."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    """Bounds the bytes of the session's Arrow batches, before whole texts go to Python workers.
 
+    Spark reads the bound when it plans a query, so it stays set; no result depends on it."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", conf.get(key, "67108864b").lower())
+    if not now or not 0 < int(now[1]) <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """`df` written once as Parquet in the shared folder and read back: short lineage that
     survives the loss of any executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables written on the way to one result; they go when the result is written."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        return stored(df, name, self.folder)
+
+    def done(self, result: DataFrame, name: str) -> DataFrame:
+        out = stored(result, name)
+        removed(self.spark, self.folder)
+        return out
+
+
 def words_native(text: Column) -> Column:
     """Number of words of a text; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -5,9 +5,10 @@
    group of exact copies is one row however large it is.
 2. Forest: TREES sorted orders of the signatures, each beginning at another of its components.
    All orders are range-partitioned and sorted; rows that stand next to each other share the
-   longest prefix. A neighbour is a candidate from MIN_DEPTH common components on; second
-   neighbours need a depth that adapts to the number of rows in the region (those sharing
-   MIN_DEPTH components). Rows at the partitions' edges are paired in a second, tiny pass.
+   longest prefix, and are candidates from MIN_DEPTH common components on. How deep a row is
+   matched adapts to its region (the rows that share MIN_DEPTH components): two or three rows are
+   compared with each other at that depth, in a larger region a row meets those with which it has
+   the deepest prefix. Rows at the partitions' edges are paired in a second, tiny pass.
 3. Candidates whose signatures agree too little for the threshold (more than five standard errors
    below) go. The rest is confirmed on full sets in rounds: first the best candidate of each
    text, which joins most of a cluster; pairs inside one component need no further test, since
@@ -25,7 +26,7 @@ component already.
 
 Cases: a text that is null or without words has an empty set (0), no link, and is its own
 component; fewer than `width` words make one shingle; a doc_id on several rows is one document
-that has the links of all its texts; rows without doc_id take part, their component_id is the
+that has the links of all its texts (and is linked by them); rows without doc_id take part, their component_id is the
 smallest id reachable (null if there is none) and kept is true only then; an empty table gives an
 empty result. Extra columns are not read. Nothing is capped or sampled.
 """
@@ -34,15 +35,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, mix64, small_batches, stored
+from .common import LOWER, UPPER, Scratch, mix64, small_batches
 
 WIDTH, PERCENT = 5, 75
 TREES, MIN_DEPTH, MAX_DEPTH = 32, 4, 12
@@ -51,7 +53,7 @@ HASHES = TREES * MIN_DEPTH
 MIN_AGREE = 0.55
 #: A list of ids up to this length is broadcast; longer ones are joined by shuffle.
 BROADCAST_IDS = 1_000_000
-#: Smaller regions are compared in full by adjacent rows and second neighbours.
+#: Smaller regions are compared in full.
 CROWDED = 4
 #: Rounds that test only the best pair of each text, before the one that tests all that is left.
 BEST_ROUNDS = 2
@@ -118,6 +120,16 @@ def _sets(width: int):
     return sets
 
 
+def _digested():
+    @F.arrow_udf("binary")
+    def digested(texts: pa.Array) -> pa.Array:
+        """The class of a text; null without words."""
+        words = [words_of(t) for t in texts.to_pylist()]
+        return pa.array([digest(w) if w else None for w in words], pa.binary())
+
+    return digested
+
+
 @F.arrow_udf(T.DoubleType())
 def agreement(a: pa.Array, b: pa.Array) -> pa.Array:
     """Share of equal signature components."""
@@ -137,88 +149,116 @@ def _similar(percent: int):
     return similar
 
 
-def neighbours(tree: np.ndarray, key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of rows sorted by (tree, key); key: [rows, MAX_DEPTH] components."""
-    n = len(tree)
-    if n < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def common(shift: int) -> np.ndarray:
-        same = (key[shift:] == key[:-shift]) & (tree[shift:] == tree[:-shift])[:, None]
-        return np.logical_and.accumulate(same, axis=1).sum(axis=1)
-
-    near = common(1)
-    starts = np.concatenate([[True], near < MIN_DEPTH])
-    region = np.cumsum(starts) - 1
-    size = np.bincount(region)[region]
-    # a region of up to 4 rows is searched at MIN_DEPTH, each fourfold size one component deeper
-    depth = np.minimum(MIN_DEPTH + np.ceil(np.log(np.maximum(size, 4) / 4) / np.log(4)), MAX_DEPTH)
-    first = np.flatnonzero(near >= MIN_DEPTH)
-    a, b = [node[first]], [node[first + 1]]
-    if n > 2:
-        second = np.flatnonzero(common(2) >= depth[:-2])
-        a.append(node[second])
-        b.append(node[second + 2])
-    a, b = np.concatenate(a), np.concatenate(b)
-    return np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
-
-
-def crowded(tree: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Rows of regions of CROWDED or more, and of regions at either end, which may go on elsewhere."""
-    if not len(tree):
-        return np.zeros(0, bool)
-    same = (key[1:, :MIN_DEPTH] == key[:-1, :MIN_DEPTH]).all(axis=1) & (tree[1:] == tree[:-1])
-    region = np.cumsum(np.concatenate([[True], ~same])) - 1
-    return (np.bincount(region)[region] >= CROWDED) | (region == 0) | (region == region[-1])
+PAIRED = "tree int, a long, b long, key binary"
 
 
 def _key(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 2 * MAX_DEPTH).view(">u2")
 
 
+class Regions:
+    """Sorted rows (tree, key, node), batch by batch, to candidate pairs and rows of crowded regions.
+
+    A region is a run of rows of one tree that share MIN_DEPTH components. Only the unfinished
+    region is held: all of it below CROWDED rows, its last row beyond. What is found does not
+    depend on where batches end."""
+
+    def __init__(self):
+        self.tree, self.key, self.node = np.zeros(0, np.int32), np.zeros((0, MAX_DEPTH), ">u2"), np.zeros(0, np.int64)
+        self.first = True  # the region that is held began the partition, so it may go on before it
+        self.told = False  # its held rows are known as crowded
+
+    def add(self, tree: np.ndarray, key: np.ndarray, node: np.ndarray, last: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ends a and b of new pairs, and the positions in self of rows of crowded regions."""
+        held = len(self.tree)
+        self.tree, self.key, self.node = (np.concatenate(x) for x in ((self.tree, tree), (self.key, key), (self.node, node)))
+        n = len(self.tree)
+        if not n:
+            return self.node, self.node, np.zeros(0, np.int64)
+        same = (self.key[1:, :MIN_DEPTH] == self.key[:-1, :MIN_DEPTH]).all(axis=1) & (self.tree[1:] == self.tree[:-1])
+        start = np.flatnonzero(np.concatenate([[True], ~same]))
+        size = np.diff(np.append(start, n))
+        i = np.flatnonzero(same)
+        i = i[i + 1 >= held]
+        pairs = [(i, i + 1)]
+        # a region of three rows is searched in full
+        done = len(start) if last else len(start) - 1
+        three = start[:done][size[:done] == 3]
+        if self.told:
+            three = three[three > 0]
+        pairs.append((three, three + 2))
+        crowd = size >= CROWDED
+        crowd[0] |= self.first or self.told
+        crowd[-1] |= last
+        rows = np.flatnonzero(np.repeat(crowd, size))
+        if self.told:
+            rows = rows[rows >= held]
+        a, b = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+        return self.node[a], self.node[b], rows
+
+    def cut(self) -> None:
+        """Lets go what later rows cannot meet."""
+        n = len(self.tree)
+        if not n:
+            return
+        same = (self.key[:, :MIN_DEPTH] == self.key[-1, :MIN_DEPTH]).all(axis=1) & (self.tree == self.tree[-1])
+        other = np.flatnonzero(~same)
+        at = int(other[-1]) + 1 if len(other) else 0
+        self.told = self.told and at == 0
+        self.first = self.first and at == 0
+        if self.told or self.first or n - at >= CROWDED:
+            self.told, at = True, n - 1
+        self.tree, self.key, self.node = self.tree[at:].copy(), self.key[at:].copy(), self.node[at:].copy()
+
+
+def _batch(tree, a, b, key) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(key, pa.binary())], names=["tree", "a", "b", "key"])
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (tree, key, node) -> candidates (a, b, null), the partition's edge rows (tree, node, key)
-    and the rows of crowded regions (tree, node, 0, key)."""
-    held = None
+    """Sorted (tree, key, node) -> candidates (null, a, b, null), rows of crowded regions and of the
+    partition's first and last (tree, node, 0, key), and its two outermost rows (tree, node, null, key)."""
+    found, edge = Regions(), None
     for batch in batches:
         if not batch.num_rows:
             continue
         tree, node, key = batch["tree"].to_numpy(), batch["node"].to_numpy(), _key(batch["key"])
-        if held is None:
-            yield _edges(tree[:2], node[:2], key[:2])
-            seen = (tree, node, key)
-        else:
-            seen = tuple(np.concatenate([h, x]) for h, x in zip(held, (tree, node, key)))
-        a, b = neighbours(seen[0], seen[2], seen[1])
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.binary())], names=["tree", "a", "b", "key"])
-        dense = crowded(seen[0], seen[2])
-        yield _edges(*(x[dense] for x in seen), mark=0)
-        # the rows of the last region, 64 at most, go on to the next batch
-        held = tuple(x[-64:] for x in seen)
-    if held is not None:
-        yield _edges(*(x[-2:] for x in held))
-
-
-def _edges(tree: np.ndarray, node: np.ndarray, key: np.ndarray, mark: int | None = None) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(node, pa.int64()), pa.array([mark] * len(tree), pa.int64()), pa.array([k.tobytes() for k in key], pa.binary())], names=["tree", "a", "b", "key"])
-
-
-def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        if edge is None:
+            yield _batch(tree[:2], node[:2], [None] * len(tree[:2]), [k.tobytes() for k in key[:2]])
+            edge = tree[:0], node[:0], key[:0]
+        a, b, rows = found.add(tree, key, node)
+        a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+        yield _batch([None] * len(a), a, b, [None] * len(a))
+        yield _batch(found.tree[rows], found.node[rows], [0] * len(rows), [k.tobytes() for k in found.key[rows]])
+        found.cut()
+        edge = tuple(np.concatenate(x)[-2:] for x in zip(edge, (tree, node, key)))
+    if edge is not None:
+        none = edge[0][:0]
+        a, b, rows = found.add(none, edge[2][:0], edge[1][:0], last=True)
+        yield _batch([None] * len(a), np.minimum(a, b), np.maximum(a, b), [None] * len(a))
+        yield _batch(found.tree[rows], found.node[rows], [0] * len(rows), [k.tobytes() for k in found.key[rows]])
+        yield _batch(edge[0], edge[1], [None] * len(edge[0]), [k.tobytes() for k in edge[2]])
+
+
+def candidates(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Distinct candidate pairs (a, b), a < b, of classes (node, sig), and the rows (tree, key, node) of crowded regions."""
     twice = F.concat("sig", "sig")
     rows = classes.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring(twice, t * 2 * MIN_DEPTH + 1, F.lit(2 * MAX_DEPTH)))).alias("tree", "key"))
-    found = stored(rows.repartitionByRange("tree", "key").sortWithinPartitions("tree", "key", "node").mapInArrow(_pairs, "tree int, a long, b long, key binary"), "forest")
-    # edges: four rows of each partition
-    edges = found.where("key IS NOT NULL AND b IS NULL").select("tree", F.col("a").alias("node"), "key")
-    across = edges.coalesce(1).sortWithinPartitions("tree", "key", "node").mapInArrow(_pairs, "tree int, a long, b long, key binary")
-    pairs = found.unionAll(across).where(F.col("key").isNull()).select("a", "b").distinct()
-    return pairs, found.where("key IS NOT NULL AND b IS NOT NULL").select("tree", "key", F.col("a").alias("node")).distinct()
+    found = scratch(rows.repartitionByRange("tree", "key").sortWithinPartitions("tree", "key", "node").mapInArrow(_pairs, PAIRED), "forest")
+    # four rows of each partition: their neighbours may stand in the next one
+    edges = found.where("key IS NOT NULL AND b IS NULL").select("tree", F.col("a").alias("node"), "key").distinct()
+    beside = Window.partitionBy("tree").orderBy("key", "node")
+    across = [edges.select(F.col("node").alias("a"), F.lead("node", k).over(beside).alias("b"), "key", F.lead("key", k).over(beside).alias("far")) for k in (1, 2)]
+    across = across[0].unionAll(across[1]).where(F.substring("key", 1, 2 * MIN_DEPTH) == F.substring("far", 1, 2 * MIN_DEPTH)).where("a <> b")
+    pairs = found.where(F.col("key").isNull()).select("a", "b").unionAll(across.select(F.least("a", "b"), F.greatest("a", "b")))
+    return pairs.distinct(), found.where("key IS NOT NULL AND b IS NOT NULL").select("tree", "key", F.col("a").alias("node")).distinct()
 
 
 def mixed_nodes(dense: DataFrame, label: DataFrame) -> DataFrame:
-    """(node, label) of all rows in crowded regions that have several components."""
+    """(node, label) of all rows in crowded regions that have several components; three rows that a
+    partition's edge parts count as crowded."""
     rows = dense.join(label, "node", "left").select("tree", F.substring("key", 1, 2 * MIN_DEPTH).alias("prefix"), "node", F.coalesce("label", "node").alias("label"))
-    mixed = rows.groupBy("tree", "prefix").agg(F.count("*").alias("k"), F.min("label").alias("low"), F.max("label").alias("high")).where(f"k >= {CROWDED} and low < high")
+    mixed = rows.groupBy("tree", "prefix").agg(F.count("*").alias("k"), F.min("label").alias("low"), F.max("label").alias("high")).where("k > 2 and low < high")
     return rows.join(mixed.select("tree", "prefix"), ["tree", "prefix"], "left_semi").select("node", "label").distinct()
 
 
@@ -279,7 +319,7 @@ def _joined(rows: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def prefix_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+def prefix_pairs(sets: DataFrame, label: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Distinct pairs (a, b), a < b, of different labels, among them every one of `sets` (node, cls,
     shingles) above the threshold.
 
@@ -288,7 +328,7 @@ def prefix_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     n - ceil(2 t n / (1 + t)) + 1 of x. The order is by the number of sets that have the shingle.
     """
     rows = sets.join(label, "node").select("node", "cls", "label", _longs("shingles").alias("s"))
-    rows = stored(rows.select("node", "cls", "label", F.size("s").cast("long").alias("n"), F.explode("s").alias("shingle")), "shingles")
+    rows = scratch(rows.select("node", "cls", "label", F.size("s").cast("long").alias("n"), F.explode("s").alias("shingle")), "shingles")
     shared = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("label").alias("low"), F.max("label").alias("high")).where("df > 1")
     own = rows.join(shared.select("shingle", "df", (F.col("low") < F.col("high")).alias("mixed")), "shingle")
     # a shingle of one set alone comes first and makes no pair: it only takes a place
@@ -300,104 +340,146 @@ def prefix_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     return own.repartition("shingle").sortWithinPartitions("shingle", "label").mapInArrow(_across(percent), "a long, b long").where("a <> b").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, label): the smallest node reachable over links (a, b). Only nodes that have a link."""
-    both = stored(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    scratch = scratch or Scratch(links.sparkSession, "components")
+    both = scratch(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    label = scratch(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
         step = both.join(label.select(F.col("node").alias("b"), F.col("label").alias("seen")), "b").groupBy(F.col("a").alias("node")).agg(F.min("seen").alias("seen"))
         low = label.join(step, "node").select("node", "label", F.least("label", "seen").alias("next"))
         # pointer jumping: the label's own label
         jump = low.join(label.select(F.col("node").alias("next"), F.col("label").alias("far")), "next").select("node", F.col("label").alias("before"), F.least("next", "far").alias("label"))
-        jump = stored(jump, "labels")
+        jump = scratch(jump, "labels")
         changed = jump.where("label < before").limit(1).count()
         label = jump.select("node", "label")
         if not changed:
             return label
 
 
-def _relabelled(pairs: DataFrame, label: DataFrame | None) -> DataFrame:
-    """Pairs that cross components, with the components as la and lb."""
-    if label is None:
-        return pairs.withColumns({"la": F.col("a"), "lb": F.col("b")})
+def _crossing(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs whose ends lie in different components."""
     for side in ("a", "b"):
         pairs = pairs.join(label.select(F.col("node").alias(side), F.col("label").alias(f"l{side}")), side, "left").withColumn(f"l{side}", F.coalesce(f"l{side}", side))
-    return pairs.where("la <> lb")
+    return pairs.where("la <> lb").select("a", "b", "agree")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, kept."""
+def _node() -> Column:
+    """A class by its smallest doc_id; without one, a negative number that no id has."""
+    return F.coalesce("rep", F.xxhash64("cls").bitwiseOR(F.lit(-(2**63))))
+
+
+def resolved(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Per row of docs: doc_id, cls (digest of the words), n_shingles, component_id, and `part`, a
+    number for the component that it has without ids too (null without words)."""
     small_batches(docs)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = stored(own.select("doc_id", _signed(width)("text").alias("s")).select("doc_id", "s.*"), "signed")
+    signed = scratch(own.select("doc_id", _signed(width)("text").alias("s")).select("doc_id", "s.*"), "signed")
     classes = signed.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
-    # rows without an id: a number that no other class has
-    node = F.coalesce("rep", F.xxhash64("cls").bitwiseOR(F.lit(-(2**63))))
-    classes = stored(classes.withColumn("node", node), "classes")
-
-    found, dense = candidates(classes)
+    classes = scratch(classes.withColumn("node", _node()), "classes")
+    signed = signed.select("doc_id", "cls", F.col("n").alias("n_shingles"))
+
+    # an id on rows of several classes is one document: its classes are linked
+    blank = F.coalesce("cls", F.lit(b""))
+    several = signed.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(blank).alias("low"), F.max(blank).alias("high")).where("low < high").select("doc_id")
+    several = scratch(several, "several")
+    links, repeated = [], several.limit(1).count() > 0
+    if repeated:
+        members = signed.join(several, "doc_id").join(classes.select("cls", "node"), "cls").select("doc_id", "node").distinct()
+        least = members.groupBy("doc_id").agg(F.min("node").alias("a"))
+        links.append(scratch(members.join(least, "doc_id").where("a < node").select("a", F.col("node").alias("b")).distinct(), "links"))
+
+    pairs, dense = candidates(classes, scratch)
     sig = classes.select("node", "sig")
 
     def agreeing(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
             pairs = pairs.join(sig.select(F.col("node").alias(side), F.col("sig").alias(f"sig_{side}")), side)
-        return stored(pairs.select("a", "b", agreement("sig_a", "sig_b").alias("agree")).where(F.col("agree") >= MIN_AGREE), "candidates")
+        return scratch(pairs.select("a", "b", agreement("sig_a", "sig_b").alias("agree")).where(F.col("agree") >= MIN_AGREE), "candidates")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        nodes = stored(nodes, "nodes")
+        nodes = scratch(nodes, "nodes")
         few = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
         shaped = _sets(width)
         named = own.where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "node").join(few, "node").select("node", shaped("text").alias("s")).select("node", "s.*")
-        unnamed = own.where(F.col("doc_id").isNull()).select(shaped("text").alias("s")).select(F.xxhash64("s.cls").bitwiseOR(F.lit(-(2**63))).alias("node"), "s.*").join(few, "node")
-        return stored(named.unionByName(unnamed).groupBy("node", "cls").agg(F.first("shingles").alias("shingles")), "sets")
+        unnamed = own.where(F.col("doc_id").isNull()).select(shaped("text").alias("s")).select(F.lit(None).cast("long").alias("rep"), "s.*").select(_node().alias("node"), "cls", "shingles").join(few, "node")
+        return scratch(named.unionByName(unnamed).where(F.length("shingles") > 0).groupBy("node", "cls").agg(F.first("shingles").alias("shingles")), "sets")
 
     def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for side in ("a", "b"):
             pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("shingles").alias(f"s_{side}")), side)
-        return stored(pairs.select("a", "b", _similar(percent)("s_a", "s_b").alias("ok")).where("ok").select("a", "b").distinct(), "links")
+        return scratch(pairs.select("a", "b", _similar(percent)("s_a", "s_b").alias("ok")).where("ok").select("a", "b").distinct(), "links")
+
+    def joined() -> DataFrame:
+        return reduce(DataFrame.unionAll, links)
 
-    def rounds(pairs: DataFrame, sets: DataFrame, links: DataFrame | None, label: DataFrame | None, best_rounds: int) -> tuple[DataFrame, DataFrame]:
-        """Tests all pairs that cross components, the best of each text first."""
-        tested = None
+    def rounds(left: DataFrame, sets: DataFrame, best_rounds: int) -> DataFrame:
+        """Tests pairs that cross components, the best of each text first; each round keeps only those that still cross."""
         for turn in range(best_rounds + 1):
-            left = _relabelled(pairs, label)
-            if tested is not None:
-                left = left.join(tested, ["a", "b"], "left_anti")
-            if turn < best_rounds:
+            if turn == best_rounds:
+                now = left
+            else:
                 ends = left.select(F.col("a").alias("n"), F.struct("agree", F.col("b").alias("o")).alias("w")).unionAll(left.select(F.col("b").alias("n"), F.struct("agree", F.col("a").alias("o")).alias("w")))
-                best = ends.groupBy("n").agg(F.max("w").alias("w")).select(F.least("n", "w.o").alias("a"), F.greatest("n", "w.o").alias("b")).distinct()
-                left = stored(best, "best")
-                tested = left if tested is None else tested.unionAll(left)
-            new = confirmed(left.select("a", "b"), sets)
-            links = new if links is None else links.unionAll(new)
-            label = components(links)
-        return links, label
-
-    found = agreeing(found)
-    links, label = rounds(found, sets_of(found.select(F.col("a").alias("node")).unionAll(found.select(F.col("b").alias("node"))).distinct()), None, None, BEST_ROUNDS)
-    dense = stored(mixed_nodes(dense, label), "dense")
+                now = scratch(ends.groupBy("n").agg(F.max("w").alias("w")).select(F.least("n", "w.o").alias("a"), F.greatest("n", "w.o").alias("b")).distinct(), "best")
+            links.append(confirmed(now.select("a", "b"), sets))
+            label = components(joined(), scratch)
+            if turn < best_rounds:
+                left = scratch(_crossing(left.join(now, ["a", "b"], "left_anti"), label), "left")
+                if not left.limit(1).count():
+                    break
+        return label
+
+    found = agreeing(pairs)
+    label = rounds(found, sets_of(found.select(F.col("a").alias("node")).unionAll(found.select(F.col("b").alias("node"))).distinct()), BEST_ROUNDS)
+    dense = scratch(mixed_nodes(dense, label), "dense")
     if dense.limit(1).count():
         sets = sets_of(dense.select("node"))
-        wide = agreeing(prefix_pairs(sets, dense, percent).join(found.select("a", "b"), ["a", "b"], "left_anti"))
+        wide = agreeing(prefix_pairs(sets, dense, percent, scratch).join(found.select("a", "b"), ["a", "b"], "left_anti"))
         if wide.limit(1).count():
-            links, label = rounds(wide, sets, links, label, 1)
+            label = rounds(wide, sets, 1)
 
     reached = label.join(classes.select("node", "rep"), "node").groupBy("label").agg(F.min("rep").alias("least"))
-    by_node = label.join(reached, "label").select("node", "least")
-    of_class = classes.select("cls", "rep", "node").join(by_node, "node", "left").select("cls", F.coalesce("least", "rep").alias("least"))
-    out = signed.select("doc_id", "cls", F.col("n").alias("n_shingles")).join(of_class, "cls", "left")
-    out = out.withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("least")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    by_node = label.join(reached, "label").select("node", "label", "least")
+    of_class = classes.select("cls", "rep", "node").join(by_node, "node", "left").select("cls", F.coalesce("least", "rep").alias("least"), F.coalesce("label", "node").alias("part"))
+    out = signed.join(of_class, "cls", "left").withColumn("component_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("least")))
+    if repeated:  # an id on a row without words too
+        least = out.join(several, "doc_id").groupBy("doc_id").agg(F.min("component_id").alias("lowest"))
+        out = out.join(least, "doc_id", "left").withColumn("component_id", F.coalesce("lowest", "component_id"))
+    return out.select("doc_id", "cls", "n_shingles", "component_id", "part")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id, kept."""
+    scratch = Scratch(docs.sparkSession, "near")
+    out = resolved(docs, scratch, text, doc_id, width, percent)
+    return scratch.done(out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), "near")
 
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
-    """`docs` without the rows that near_duplicates does not keep; of rows repeated with the same
-    id and text, one stays. Rows without an id all stay."""
-    result = stored(near_duplicates(docs, **how), "near")
-    gone = result.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = docs.join(few, docs["doc_id"] == few["doc_id"], "left_anti")
-    if result.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count():
-        named = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"])
-        kept = named.unionByName(kept.where(F.col("doc_id").isNull()))
+    """`docs` with one document of each component: that with the smallest id; without any id, the text
+    with the smallest digest. Of rows repeated with one id and equal words, one stays. Rows without id
+    and words all stay."""
+    scratch = Scratch(docs.sparkSession, "near")
+    own = resolved(docs, scratch, **how)
+    own = scratch.done(own.select("doc_id", "cls", "component_id", "part"), "near")
+    named, unnamed = docs.where(F.col("doc_id").isNotNull()), docs.where(F.col("doc_id").isNull())
+
+    def few(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+    gone = own.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = few(gone)
+    kept = named.join(gone, named["doc_id"] == gone["gone_id"], "left_anti")
+    digest_of = _digested()
+    again = own.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("again_id")).count().where("count > 1").select("again_id")
+    if again.limit(1).count():
+        again = few(again)
+        twice = kept.join(again, kept["doc_id"] == again["again_id"], "left_semi").select(F.struct("*").alias("row"), F.coalesce(digest_of("text"), F.lit(b"")).alias("cls"))
+        twice = twice.select("row", F.col("row.doc_id").alias("again_id"), "cls").dropDuplicates(["again_id", "cls"]).select("row.*")
+        kept = kept.join(again, kept["doc_id"] == again["again_id"], "left_anti").unionByName(twice)
+    if own.where(F.col("doc_id").isNull()).limit(1).count():
+        first = few(own.where(F.col("component_id").isNull() & F.col("cls").isNotNull()).groupBy("part").agg(F.min("cls").alias("cls")).select("cls"))
+        rows = unnamed.select(F.struct("*").alias("row"), digest_of("text").alias("cls"))
+        blank = rows.where(F.col("cls").isNull()).select("row.*")
+        kept = kept.unionByName(blank).unionByName(rows.join(first, "cls", "left_semi").dropDuplicates(["cls"]).select("row.*"))
     return kept

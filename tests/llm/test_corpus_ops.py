@@ -92,7 +92,46 @@ def test_neardup_empty_and_filter(spark):
     text = "a b c d e f g h"
     rows = frame(spark, [(4, text, "en", "s"), (2, text, "de", "s"), (2, text, "de", "s"), (9, None, None, None), (None, text, "en", "s"), (7, "other words stand here alone", "en", "s")])
     kept = neardup.keep_first(rows).collect()
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == [(False, 2), (False, 7), (False, 9), (True, 0)]
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept) == [(False, 2), (False, 7), (False, 9)]
+    # without any id one text of a component stays; rows without words all stay; of one id and equal words one stays
+    more = neardup.keep_first(frame(spark, [(None, "A b c d e f g h", "en", "s"), (None, text, "en", "s"), (None, " ", "en", "s"), (None, None, "en", "s"), (3, "x Y", "en", "s"), (3, "x y", "en", "s")])).collect()
+    assert sorted((r["doc_id"] or 0, len((r["text"] or "").split())) for r in more) == [(0, 0), (0, 0), (0, 8), (3, 2)]
+
+
+def test_one_id_under_several_texts(spark):
+    """An id links all its texts: 3-5 by one text, 5-9 by another, and its row without words."""
+    one, two = "a b c d e f g h i", "other words that stand here by themselves alone"
+    rows = frame(spark, [(3, one, "en", "s"), (5, one, "en", "s"), (5, two, "en", "s"), (9, two, "en", "s"), (9, None, "en", "s"), (4, None, "en", "s")])
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(rows).collect())
+    assert got == [(3, 3, True), (4, 4, True), (5, 3, False), (5, 3, False), (9, 3, False), (9, 3, False)]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_regions_do_not_depend_on_batches(seed):
+    """Pairs and crowded rows of sorted rows, in one batch and in many."""
+    rng = np.random.default_rng(seed)
+    n = 400
+    key = np.sort(rng.integers(0, 60, n)).astype(">u2")[:, None] * np.ones(neardup.MAX_DEPTH, ">u2")
+    tree, node = np.zeros(n, np.int32), np.arange(n)
+    wanted, crowd = set(), set()
+    for v in np.unique(key[:, 0]):
+        own = np.flatnonzero(key[:, 0] == v)
+        wanted |= {(int(a), int(a) + 1) for a in own[:-1]} | ({(int(own[0]), int(own[2]))} if len(own) == 3 else set())
+        if len(own) >= neardup.CROWDED or v in (key[0, 0], key[-1, 0]):
+            crowd |= set(own.tolist())
+    for step in (1, 3, 7, 400):
+        found, pairs, rows = neardup.Regions(), [], []
+        for at in range(0, n, step):
+            a, b, r = found.add(tree[at : at + step], key[at : at + step].astype(">u2"), node[at : at + step])
+            pairs += zip(a.tolist(), b.tolist())
+            rows += found.node[r].tolist()
+            found.cut()
+        a, b, r = found.add(tree[:0], key[:0].astype(">u2"), node[:0], last=True)
+        pairs += zip(a.tolist(), b.tolist())
+        rows += found.node[r].tolist()
+        first = set(np.flatnonzero(key[:, 0] == key[0, 0]).tolist())
+        assert len(rows) == len(set(rows)) and set(rows) == crowd
+        assert {p for p in pairs if not set(p) <= first} == {p for p in wanted if not set(p) <= first} and set(pairs) <= wanted and len(pairs) == len(set(pairs))
 
 
 def test_components_by_labels(spark):

@@ -39,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Bytes of one Arrow batch of texts: a batch of very long texts has fewer of them.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 1 << 20
 
 
 def small_batches(df: DataFrame) -> None:
@@ -52,6 +52,14 @@ def small_batches(df: DataFrame) -> None:
         conf.set(key, str(BATCH_BYTES))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, or the first of name_, name__ ... that no column of df has in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared store."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

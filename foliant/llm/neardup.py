@@ -403,7 +403,7 @@ def resolved(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str
         shaped = _sets(width)
         named = own.where(F.col("doc_id").isNotNull()).withColumnRenamed("doc_id", "node").join(few, "node").select("node", shaped("text").alias("s")).select("node", "s.*")
         unnamed = own.where(F.col("doc_id").isNull()).select(shaped("text").alias("s")).select(F.lit(None).cast("long").alias("rep"), "s.*").select(_node().alias("node"), "cls", "shingles").join(few, "node")
-        return scratch(named.unionByName(unnamed).where(F.length("shingles") > 0).groupBy("node", "cls").agg(F.first("shingles").alias("shingles")), "sets")
+        return scratch(named.unionByName(unnamed).groupBy("node", "cls").agg(F.first("shingles").alias("shingles")), "sets")
 
     def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for side in ("a", "b"):

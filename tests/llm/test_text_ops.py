@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -17,20 +19,90 @@ def docs(spark, texts, lang="en"):
     return spark.createDataFrame([(i, t, lang, "s", None) for i, t in enumerate(texts)], DOCS)
 
 
-def test_kneser_ney_sums_to_one():
-    """For any context the model's probabilities over all symbols and the unknown one sum to 1."""
-    rng = random.Random(3)
-    texts = ["".join(rng.choice("abc ") for _ in range(40)) for _ in range(30)]
-    parts = [langid._windows(*langid._codes(texts))]
-    grams, n = parts[0]
-    model = langid.build(["x"] * len(grams), grams, n)
-    scorer = langid.Scorer(model)
-    symbols = np.array([0, *map(ord, "abc")], dtype=np.uint32)
-    for context in ((0, 97, 98), (97, 97, 97), (99, 0, 122)):
-        cols = [np.full(4, c, np.uint32) for c in context] + [symbols]
-        known = np.exp(scorer._order(cols, 4)[:, 0]).sum()
-        unknown = np.exp(scorer._order([np.full(1, c, np.uint32) for c in context] + [np.array([120], np.uint32)], 4)[0, 0])
-        assert abs(known + unknown - 1) < 1e-4
+def sequences(text):
+    """Symbols of a text by the rule: lower case, each run of non-letters one blank, one at either end."""
+    out = [" "]
+    for c in text.lower():
+        if c.isalpha():
+            out.append(c)
+        elif out[-1] != " ":
+            out.append(" ")
+    return out if out[-1] == " " else [*out, " "]
+
+
+def plain_kneser_ney(texts):
+    """Interpolated Kneser-Ney with dictionaries: the cost of a text."""
+    top = Counter()
+    for t in texts:
+        s = [" "] * 3 + sequences(t)[0:]
+        top.update(tuple(s[i - 3 : i + 1]) for i in range(4, len(s)))
+    counts = {4: top}
+    for order in (3, 2, 1):
+        counts[order] = Counter(g[1:] for g in counts[order + 1])
+    d, total, kinds = {}, {}, {}
+    for order, own in counts.items():
+        n1, n2 = sum(v == 1 for v in own.values()), sum(v == 2 for v in own.values())
+        d[order] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        total[order], kinds[order] = Counter(), Counter()
+        for g, v in own.items():
+            total[order][g[:-1]] += v
+            kinds[order][g[:-1]] += 1
+    vocabulary = len(counts[1]) + 1
+
+    def p(g):
+        order = len(g)
+        if order == 0:
+            return 1 / vocabulary
+        if not total[order][g[:-1]]:
+            return p(g[1:])
+        t = total[order][g[:-1]]
+        return max(counts[order][g] - d[order], 0) / t + d[order] * kinds[order][g[:-1]] / t * p(g[1:])
+
+    def cost(text):
+        s = [" "] * 3 + sequences(text)
+        return -sum(np.log(p(tuple(s[i - 3 : i + 1]))) for i in range(4, len(s)))
+
+    return cost
+
+
+def scorers(spark, model):
+    return [langid.Scorer(model, langid.shard(spark, model, k), k) for k in range(model.shards)]
+
+
+@pytest.mark.parametrize("cells", [langid.SHARD_CELLS, 300])
+def test_costs_against_plain_kneser_ney(spark, cells):
+    """One shard or many: every text's cost in every language equals that of a plain model."""
+    rng = random.Random(4)
+    words = {"en": "the cat and dog are here with all others of them now", "de": "der hund und die katze sind nicht hier mit ändern", "fr": "le chat été ça où est-il", "xx": chr(0x30000) + "ab " + chr(0x31350) + " q"}
+    texts = {lang: [" ".join(rng.choices(w.split(), k=rng.randrange(1, 12))) for _ in range(25)] for lang, w in words.items()}
+    rows = [(i, t, lang, "s", None) for i, (lang, t) in enumerate((lang, t) for lang, own in texts.items() for t in own)]
+    model = langid.fit(spark.createDataFrame(rows, DOCS), F.lit(True), shard_cells=cells)
+    assert model.langs == sorted(words) and (model.shards > 5 if cells == 300 else model.shards == 1)
+    asked = ["the dog, the CAT!", "hund katze", "zzz öö", "", "12", "a" * 50, chr(0x30000), *texts["fr"][:5]]
+    got = sum((s.sums(asked)[:, : len(words)] for s in scorers(spark, model)), np.zeros((len(asked), len(words))))
+    for k, lang in enumerate(model.langs):
+        cost = plain_kneser_ney(texts[lang])
+        assert np.allclose(got[:, k], [cost(t) if any(c.isalpha() for c in t) else got[i, k] for i, t in enumerate(asked)], rtol=1e-4, atol=1e-4)
+    out = [r["language"] for r in langid.identify(docs(spark, asked), model).orderBy("doc_id").collect()]
+    assert [x["lang"] for x in out[:2]] == ["en", "de"] and out[3]["lang"] == out[4]["lang"] == "und" and out[6]["lang"] == "xx"
+
+
+def test_shards_agree_with_one(spark):
+    """Many shards give the answers of one, whatever other columns there are; ties go to the first language."""
+    rows = [(i, t, lang, "s", None) for i, (t, lang) in enumerate([("one text here", "b"), ("one text here", "a"), ("ganz anders", "c")])]
+    train = spark.createDataFrame(rows, DOCS)
+    one, many = langid.fit(train, F.lit(True)), langid.fit(train, F.lit(True), shard_cells=20)
+    asked = docs(spark, ["one text", "anders", None, "text " * 200_000]).withColumnsRenamed({"source": "sums", "lang": "language"})
+    a, b = ({r["doc_id"]: r["language"] for r in langid.identify(asked, m).collect()} for m in (one, many))
+    assert many.shards > 3 and a[0]["lang"] == "a" and a[1]["lang"] == "c"
+    assert all(a[k]["lang"] == b[k]["lang"] and a[k]["rejected"] == b[k]["rejected"] and abs(a[k]["score"] - b[k]["score"]) < 1e-4 for k in a)
+
+
+def test_held_out_is_crc32(spark):
+    import zlib
+
+    got = spark.range(200).select(F.col("id").alias("doc_id")).withColumn("held", langid.held_out()).collect()
+    assert all(r["held"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
 
 
 def test_language_cases(spark):
@@ -52,9 +124,9 @@ def test_small_language_beside_very_many_grams(spark):
     long = ["".join(rng.choice(letters, 40_000)) for _ in range(42)]
     train = docs(spark, long, "zz").unionByName(docs(spark, ["fox jumps quickly"], "qq"))
     model = langid.fit(train, F.lit(True))
-    assert model.langs == ["qq", "zz"] and len(model.grams[-1][0]) > 1_500_000
-    scorer = langid.Scorer(model)
-    assert scorer.score(["fox jumps quickly", long[0][:400]])[0] == ["qq", "zz"]
+    assert model.langs == ["qq", "zz"] and model.shards == 1 and len(langid.shard(spark, model, 0).grams[1][0]) > 1_500_000
+    asked = docs(spark, ["fox jumps quickly", long[0][:400]])
+    assert [r["language"]["lang"] for r in langid.identify(asked, model).orderBy("doc_id").collect()] == ["qq", "zz"]
 
 
 def test_language_without_training(spark):
@@ -144,7 +216,7 @@ def library():
 
 
 def test_bpe_equals_library(library):
-    small, plain = bpe.Codec(queries.tokenizer_path(), leaf=64, long_piece=16, window=1), bpe.codec(queries.tokenizer_path())
+    small, plain = bpe.Codec(queries.tokenizer_path(), leaf=16, long_piece=16, window=1, reach=4), bpe.codec(queries.tokenizer_path())
     rng = random.Random(2)
     letters = ["a", "é", "th", "ing", "漢字", " ", "  ", "\n", "'s", "'re", "1", "!!", "#", " \n\t", "<|endoftext|>", "𝔘", "　", "\x00", "the"]
     for _ in range(600):
@@ -157,8 +229,20 @@ def test_bpe_equals_library(library):
 
 def test_bpe_long_unsplit(library):
     rng = random.Random(4)
-    text = "".join(rng.choice("abcdethn") for _ in range(60_000)) + " " + "a" * 30_000 + " " * 5000 + "漢字" * 8000
-    assert bpe.codec(queries.tokenizer_path()).encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+    runs = ["".join(rng.choice("abcdethn") for _ in range(60_000)), " ", "a" * 30_000, " " * 25_000, "漢字" * 8000, "don't" * 4000, "?!" * 9000, "7" * 20_000, "é " * 9000, "x,y" * 5000]
+    with ThreadPoolExecutor(2) as pool:
+        for text in ("".join(runs), *runs):
+            assert bpe.codec(queries.tokenizer_path()).encode(text, pool).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_tree_is_taken(spark, library, monkeypatch):
+    """Texts of the tables longer than a leaf go through joins, with the library's ids."""
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").where(f"length(text) > {bpe.LEAF}").collect()]
+    own, joins = bpe.codec(queries.tokenizer_path()), []
+    join = bpe.Codec.join
+    monkeypatch.setattr(bpe.Codec, "join", lambda *a: joins.append(1) or join(*a))
+    assert len(texts) > 10 and all(own.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids for t in texts)
+    assert len(joins) >= len(texts)
 
 
 def test_bpe_invalid_ids_decode_like_library(library):

@@ -1,19 +1,19 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
 A page is cut into blocks of text at block-level tags. Each block is described by its words and link
-density, those of its neighbours, and the kind of element it stands in; a decision tree, trained on the
-small labelled table below, says whether it is main text. Blocks that are keep their order.
+density, those of its neighbours, the kind of element it stands in, and whether class words mark it; a
+decision tree, trained on the small labelled table below (blocks of hand-labelled pages, in page order,
+so that neighbours are real ones), says whether it is main text. Blocks that are keep their order.
 A vectorised UDF: no shuffle, a lost executor costs its own batches only.
 
 Cases: a null or empty page, or one without main text, gives ''; markup may be cut off anywhere, nested
 wrongly or left open; character references are decoded once; repeated rows get equal answers. Nothing is
-dropped by length. Extra columns are carried, never read.
+dropped by length. Extra columns are carried, never read; one named as `out` gives way.
 """
 
 from __future__ import annotations
 
 import html
-import itertools
 import re
 from dataclasses import dataclass
 
@@ -25,22 +25,30 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 #: Elements whose content is no text of the page.
-RAW = "script|style|noscript|template|textarea|title|select|svg|iframe|object|math|canvas|audio|video"
+RAW = "script|style|noscript|template|textarea|title|select|iframe|object|canvas|audio|video"
+_ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>]){_ATTRIBUTES}>.*?(?:</(?P=raw)\s*>|\Z)|<svg(?=[\s>]){_ATTRIBUTES}(?<!/)>.*?(?:</svg\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>{_ATTRIBUTES})>|<(?P<end_>/?)(?P<tag_>[a-zA-Z][^\s/>]*)(?P<attributes_>[^>]*)(?:>|\Z)",
     re.S | re.I,
 )
-HINTED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+HINTED = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Words of class, id or role that mark what is not the article.
 BOILER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments contentinfo cookie cookies consent copyright disclaimer discussion "
     "disqus footer form header login masthead menu menus nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related reply replies "
     "search share sharing sidebar signup social sponsor sponsored subscribe subscription teaser toolbar widget widgets complementary legal modal alert dialog".split()
 )
-BOILER_TAGS = frozenset({"nav", "footer", "aside", "form", "menu", "dialog", "button"})
+COMMENT_WORDS = frozenset({"comment", "comments", "discussion", "disqus", "reply", "replies"})
+#: In front of such a word they say what a page has, not what the element is.
+ABOUT = frozenset({"has", "with", "no", "without", "is", "show", "hide"})
+#: Elements that are not the article; an article within the first ones is none either.
+ASIDE_TAGS = frozenset({"nav", "footer", "aside", "menu", "dialog", "button"})
+BOILER_TAGS = ASIDE_TAGS | {"form"}
 MAIN_TAGS = frozenset({"article", "main"})
-CONTEXT_TAGS = BOILER_TAGS | MAIN_TAGS | {"header", "section", "div", "ul", "ol", "dl", "table", "tbody", "tr", "td", "th", "li", "p", "blockquote", "figure", "figcaption", "details", "fieldset", "span", "a", "center", "h1", "h2", "h3", "h4", "h5", "h6"}
+TEXT_TAGS = frozenset({"p", "li", "td", "th", "dd", "dt", "blockquote", "pre", "figcaption", "caption", "summary"})
+HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
+CONTEXT_TAGS = BOILER_TAGS | MAIN_TAGS | TEXT_TAGS | HEADINGS | {"header", "section", "div", "ul", "ol", "dl", "table", "tbody", "tr", "figure", "details", "fieldset", "span", "a", "center", "address"}
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li "
     "main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul label input".split()
@@ -49,36 +57,91 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 
 #: Words and link density (percent) of the block, of the block before and after (-1: none), the
 #: element that it stands in (0 none, 1 article or main, 2 menu, header, footer, aside or form), whether
-#: its class marks it as no article, heading.
-FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "element", "marked", "heading"]
-#: The labelled table. Each line stands for blocks with any of the values given: element, marked, heading,
-#: words, link density, kind of the block before, kind of the block after, main text or not.
-#: Kinds: n none, l a few linked words, s a few words, p a short paragraph, t a paragraph.
+#: class words mark it (0 no, 1 a part of a name, 2 a whole name), kind (0 other, 1 paragraph, item or cell, 2 heading).
+FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "element", "marked", "kind"]
+#: The labelled table: a page on each line, its blocks in order. A block: where it stands (a article or
+#: main, b menu, header, footer, aside or form, o elsewhere), kind (h heading, p paragraph, item or cell,
+#: d other), words, :linked words, ? marked in part, ! marked, and + main text or - not.
 LABELLED = """
-1 0 0,1 1,4,12,40,150 0,10,40,100 n,l,s,p,t n,l,s,p,t 1
-1 1 0,1 1,4,12,40,150 0,10,40,100 n,l,s,p,t n,l,s,p,t 0
-2 0,1 0,1 1,4,12,40,150 0,10,40,100 n,l,s,p,t n,l,s,p,t 0
-0 1 0,1 1,4,12,40,150 0,10,40,100 n,l,s,p,t n,l,s,p,t 0
-0 0 0 15,25,40,150 0,10,25 n,l,s,p,t n,l,s,p,t 1
-0 0 0 8,12 0,10 p,t p,t 1
-0 0 0 8,12 0,10 s,p,t p,t 1
-0 0 1 2,6,12 0,10 n,l,s,p,t p,t 1
-0 0 0,1 1,2,5 0,10 n,l,s n,l,s 0
-0 0 0 1,2,5 0,10 p,t p,t 1
-0 0 0,1 8,12 0,10 n,l,s n,l 0
-0 0 0,1 1,4,12,40,150 60,80,100 n,l,s,p,t n,l,s,p,t 0
+bp2:2- bp1:1- bp3:3- bd9- ah7+ ap60+ ap25:3+ ap4+ ap80+ bd12:4- bd6-
+bp1:1- bp1:1- od6!- ah8+ ap8+ ap32+ ap3+ ap120+ ap45+ bd9-
+bd30- bp12- ah3+ ad15+ ap2:2+ ap6:6+ ap4:4+ ap9:8+ ad3+ bp40- bp18:2-
+ah5+ ad4:1+ ap22?+ ap5?+ ap40+ ap7!- ad30!- ap2:2!- ap51+ ad14:9!- bd3-
+ap1+ ap1+ ap2+ ap1+ ap14+ bd2:2- bd2:2-
+bh2- bp6:6- bp50- ap1+ bh3- bp70- bp33:2-
+bp25- bd7:7- bd4- ad60+ ah2+ ad5?+ ad1:1+ bp90- bd16:3-
+op9+
+od5+
+od14+
+oh6+
+oh3+ op7+
+oh4+ op3+ op2+ op4+ op3+
+oh5+ op1+ op1+ op2+ op1+ op6+ op1+
+op3+ op5+ op2+
+od7+ od12+ od4+
+op2:2- op2:2- op3:3- op1:1- oh5+ op50+ op12+ op4+ op80:3+ op6:6- op7:7- op5:5-
+op1:1- op2:2- op1:1- oh9+ op16+ op9+ op5+ op30+ op2+ op22+ od3:3- od2:2-
+od1:1- od2:2- od3:3- oh6+ op45+ op80:2+ op12+ op60+ od8:3- od4-
+od3:3- od2:2- op30+ op5+ op40+ od8:6- od5-
+od4:4- oh4+ op3+ op2+ op4+ od2:2-
+od5:5- od2:2- oh5+ op8+ op3+ op11+ op6+ od4:4- od3:3-
+od2:2- od2:2- od120+ od90:4+ od3:3- od1:1-
+od6:4- od35+ od20+ od8+ od66+ od4:4- od7-
+op70+ oh2- op6:6- op7:7- op5:5-
+oh7+ op33+ op20+ oh1- op4:4- op5:5- op6:6-
+oh3+ op60+ oh2+ op14+ oh2+ op28+ oh2- od3:3- od4:4- od4:4-
+op60+ op14:9+ op70+ op35+ op6:4+ op40+
+op25+ op10:8+ op48+ op3:3- op3:3-
+oh6+ od5+ op40+ op7+ op3+ op55+ op2+
+oh8+ od4+ op24+ op10+ op18+ od2:2- od2:2-
+op4:4- op4:4- op4:4- od3- od2:2- od6:5-
+od2:2- od4- od3:3- od2- od1:1- od5:5-
+od1:1- od3- od1:1- od2- op2:2- op18+ op26+ od2:2- od3- od1:1-
+od6?- od10?- op3?- od12:3?- oh4+ op40+ op30+ od20?- od8?-
+oh5+ op33?+ op45?+ op60?+ od5?-
+op20+ op44?+ op36+ od9?- od2:2?-
+od9!- od30!- op60!- oh4!- op44!- op12!- oh3+ op38+ op21+ od40!- op25!- op9!-
+op70+ op40!- op35!- op6!- op90!-
+oh5!- op15:15!- od3!- op2:1!- od100!-
+bp80- bp60- oh4+ op50+ op31+ bp70- bh3- bp9:1-
+op28+ bd5- bp14- bp44- op19+ op37+ bd3:3-
+op12:12- op15:15- op9:9- op20:19- op11:11-
+op30:28- op26:22- op18:17- op40:36-
+op3+ op40+ op3+ op52+ op3+ op44+
+op1:1- op1:1- op1:1- op10+ op11+ op1:1- op1:1-
+op8:8- op8:8- op15+ op8:8- op8:8-
+oh3+ op18+ op2+ op17:2+ op5:5- op4:4- od2-
+od1:1- od1:1- oh1+ od17+ od2+ od17:1+ od5:5- od3:1-
+op19:4+ op30:6+ op12:2+ od3:3-
+op16:2+ od2:2- od2:2- od2-
+od3:3- od17:3+ od25:5+ od40:10+ od2:2-
+op50+ od22:1+ od30:3+ od6:6- od7:7-
+ah3:3+ ad3+ ad2:2+ ad5+ ad9:9+ ad20+ ad6?+ ad2:2?+ ad4+ ad60+ ad11?+ ad8:1+ ad1?+ ad30:30+ ad2+ bd3:3-
+ap2+ ap6:6+ ap1+ ap3:3+ ap3+ ad2:2+ ah2+ ap5:5+ ap1?+ ap2:2+ ah1+ ad4:4+ ad3?+ ap9:9+ ad12?+ bd12-
+ad10:3+ ad4?+ ad9:9+ ad7+ ad13:13+ ad12?+ ad3:3+ ad1+ ah1?+ ap3:3?+ ap2?+ ad5:5+
+ap60+ ah2+ ap6:6+ ap30+ ah3+ ad4:4+ ap25+ ap3+ ap8:8+ ap2:2+ ah6+ ad7:2+ ap4+ ap9:3+
+ap40+ ah5+ ap12:4+ ap22+ ah2?+ ap30:9+ ap50+ ap2?+ ap7:7+ ap3+ ap8:2+ ah4+ ap10:3+ ap90+ ap12+ ap10:3+ ap33+ ap17+ ap2:2+
+op1:1- op2:2- op60+ op50+ op1:1- op1:1-
+od2:2- od3:3- od70+ od41+ od2:2-
+od4:4- od1:1- op52+ od2:2- od2:2- od64+
+op40+ od15:15!- op50+ od4:4!- op70+ op20:12!- op45+ op12:6!- op60+ od9:7?- op38+
+ap90+ ap2+ ap40+ ah1+ ap70+ ah2+ ap80+ ap3+ ap100+ ap1?+ ap75+ ah2+ ap3:3+ ad1+
+op80+ oh2+ op30+ op70+ op3+ op90+ oh1+ op40+ op120+ op1+ op2+ op9+ op66+ op2+
+ah4+ ap7:7+ ap30+ ap5:5+ ap12:6+ ap60?+ ap100:80+ ad2:2?+ ap9:9?+ bd4:4- bp12- bp90:80- bh5-
+bp3:3- ap10:10+ ap10:10+ ap8:8+ ap2:2+ ad1:1+ ah3:3+ ad12:12?+ bd20- bp7- bp150-
+oh2!- op3!- od33!- ah5+ ap20?+ ap9!- ah2!- ap33+ ad2:2+ ad1+ ap150!- ap80!- ap41?+ ad3!- ap6+
 """
-_KINDS = {"n": (-1, -1), "l": (2, 100), "s": (9, 0), "p": (16, 0), "t": (80, 0)}
+_PLACES, _KINDS = {"o": 0, "a": 1, "b": 2, "d": 0}, {"d": 0, "p": 1, "h": 2}
 
 
-def labelled() -> np.ndarray:
-    """The labelled table, one row for each combination of a line's values: FEATURES and label."""
-    rows = []
+def labelled() -> list[np.ndarray]:
+    """The labelled table: for each page FEATURES and label of its blocks."""
+    pages = []
     for line in LABELLED.strip().splitlines():
-        *values, label = line.split()
-        for element, marked, heading, words, links, before, after in itertools.product(*(v.split(",") for v in values)):
-            rows.append([float(words), float(links), *_KINDS[before], *_KINDS[after], float(element), float(marked), float(heading), float(label)])
-    return np.array(rows)
+        found = [re.fullmatch(r"([abod])([dph])(\d+)(?::(\d+))?([?!]?)([+-])", x).groups() for x in line.split()]
+        own = [Block("", int(n), int(linked or 0), _PLACES[place], " ?!".index(mark or " "), _KINDS[kind]) for place, kind, n, linked, mark, _ in found]
+        pages.append(np.column_stack([describe(own), [float(x[-1] == "+") for x in found]]))
+    return pages
 
 
 @dataclass
@@ -100,7 +163,7 @@ class Tree:
             at = np.where(inner, np.where(go, a[at], b[at]), at)
 
 
-def train(rows: np.ndarray, depth: int = 10) -> Tree:
+def train(rows: np.ndarray, depth: int = 12) -> Tree:
     """A tree by Gini impurity; ties go to the later feature (the element before the counts), then the smaller cut."""
     tree = Tree([], [], [], [], [])
 
@@ -142,25 +205,57 @@ class Block:
     words: int
     linked: int
     element: int
-    marked: bool
-    heading: bool
+    marked: int
+    kind: int
 
 
-def _marked(attributes: str) -> bool:
+@dataclass(frozen=True)
+class State:
+    """What holds inside an element."""
+
+    tag: str = ""
+    element: int = 0
+    aside: bool = False  # no article within
+    marked: int = 0
+    comments: bool = False
+    kind: int = 0
+
+
+def _marks(attributes: str) -> tuple[int, bool]:
+    """2 if a whole name of class, id or role is one of BOILER_WORDS, 1 if a part of one is; whether it is of comments."""
+    most, comments = 0, False
     for m in HINTED.finditer(attributes):
-        if not BOILER_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())):
-            return True
-    return False
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            parts = re.split(r"[^a-z0-9]+", name)
+            if name in BOILER_WORDS:
+                most, found = 2 if m[1].lower() != "aria-label" else max(most, 1), {name}
+            else:
+                found = {x for x, before in zip(parts, ["", *parts]) if x in BOILER_WORDS and before not in ABOUT} if parts[0] not in ABOUT else set()
+                most = max(most, int(bool(found)))
+            comments |= bool(found & COMMENT_WORDS)
+    return most, comments
+
+
+def entered(state: State, tag: str, attributes: str) -> State:
+    """What holds inside an element that begins in `state`. Class words outside an article say nothing
+    about it, but for those of comments."""
+    marked, comments = _marks(attributes) if "=" in attributes else (0, False)
+    element, aside, before = state.element, state.aside, state.marked
+    if tag in MAIN_TAGS:
+        element, before = (2, before) if aside else (1, 2 if state.comments and before == 2 else 0)
+    elif tag in BOILER_TAGS or (tag == "header" and element != 1):
+        element, aside = 2, aside or tag in ASIDE_TAGS
+    kind = 2 if tag in HEADINGS else 1 if tag in TEXT_TAGS else state.kind if tag in ("span", "a") else 0
+    return State(tag, element, aside, max(before, marked), state.comments or comments, kind)
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool, bool]] = []  # tag, element, marked, heading as they hold inside it
+    stack = [State()]
     buffer: list[str] = []
     links: list[str] = []
     in_link = False
-    state = ("", 0, False, False)
 
     def flush() -> None:
         if buffer:
@@ -169,7 +264,7 @@ def blocks(page: str) -> list[Block]:
             if text:
                 linked = len(html.unescape(" ".join(links)).split()) if links else 0
                 n = text.count(" ") + 1
-                out.append(Block(text, n, min(linked, n), state[1], state[2], state[3]))
+                out.append(Block(text, n, min(linked, n), stack[-1].element, stack[-1].marked, stack[-1].kind))
             links.clear()
 
     at = 0
@@ -180,48 +275,38 @@ def blocks(page: str) -> list[Block]:
             if in_link:
                 links.append(piece)
         at = m.end()
-        tag = m[3] or m[6]
+        tag = m["tag"] or m["tag_"]
         if tag is None:
-            if m[1] and m[1].lower() in ("title", "iframe", "video", "audio", "object"):
+            if m["raw"] and m["raw"].lower() in ("title", "iframe", "video", "audio", "object"):
                 flush()
             continue
         tag = tag.lower()
-        closing = bool(m[2] or m[5])
-        if tag == "br" or tag == "wbr":
+        if tag in ("br", "wbr"):
             buffer.append(" " if tag == "br" else "")
             continue
         if tag in BLOCK_TAGS:
             flush()
+        closing = bool(m["end"] or m["end_"])
         if tag == "a":
             in_link = not closing
         if tag in VOID or tag not in CONTEXT_TAGS:
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if tag not in BLOCK_TAGS and stack[k][2] != (stack[k - 1][2] if k else False):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k].tag == tag:
+                    if tag not in BLOCK_TAGS and stack[k].marked != stack[k - 1].marked:
                         flush()
                     del stack[k:]
-                    state = stack[-1] if stack else ("", 0, False, False)
                     break
-        else:
-            attributes = m[4] or m[7] or ""
-            if tag in ("p", "li", "tr", "td", "th") and stack and stack[-1][0] == tag:
-                stack.pop()  # closed by the next of its kind
-                state = stack[-1] if stack else ("", 0, False, False)
-            _, element, marked, heading = state
-            if tag in MAIN_TAGS:
-                element = 2 if element == 2 else 1
-            elif tag in BOILER_TAGS or (tag == "header" and element != 1):
-                element = 2
-            own = tag not in MAIN_TAGS and "=" in attributes and _marked(attributes)
-            if own and tag not in BLOCK_TAGS and not marked:
-                flush()
-            state = (tag, element, marked or own, heading or (len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()))
-            if not attributes.rstrip().endswith("/") or tag not in ("div", "span", "a", "p"):
-                stack.append(state)
-            else:
-                state = stack[-1] if stack else ("", 0, False, False)
+            continue
+        attributes = m["attributes"] or m["attributes_"] or ""
+        if tag in ("p", "li", "tr", "td", "th", "dd", "dt") and stack[-1].tag == tag:
+            stack.pop()  # closed by the next of its kind
+        inside = entered(stack[-1], tag, attributes)
+        if tag not in BLOCK_TAGS and inside.marked != stack[-1].marked:
+            flush()
+        if not (attributes.rstrip().endswith("/") and tag in ("div", "span", "a", "p")):
+            stack.append(inside)
     if at < len(page):
         buffer.append(page[at:])
         if in_link:
@@ -240,7 +325,7 @@ def describe(found: list[Block]) -> np.ndarray:
     if n > 1:
         x[1:, 2], x[1:, 3] = words[:-1], density[:-1]
         x[:-1, 4], x[:-1, 5] = words[1:], density[1:]
-    x[:, 6], x[:, 7], x[:, 8] = [b.element for b in found], [b.marked for b in found], [b.heading for b in found]
+    x[:, 6], x[:, 7], x[:, 8] = [b.element for b in found], [b.marked for b in found], [b.kind for b in found]
     return x
 
 
@@ -255,7 +340,7 @@ def main_text(page: str | None, tree: Tree) -> str:
 def extract(pages: DataFrame, page: str = "html", out: str = "main_text", tree: Tree | None = None) -> DataFrame:
     """`pages` with the main text in `out`."""
     small_batches(pages)
-    own = tree or train(labelled())
+    own = tree or train(np.vstack(labelled()))
 
     @F.arrow_udf("string")
     def text(batch: pa.Array) -> pa.Array:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -71,15 +72,53 @@ FLAT = """<div id="menu"><a>Home</a> <a>About</a></div><div id="content"><h1>Hea
 
 
 def test_main_text():
-    tree = html_text.train(html_text.labelled())
+    tree = html_text.train(np.vstack(html_text.labelled()))
     assert html_text.main_text(PAGE, tree) == "My title & more\n\nFirst paragraph with link, emphasis here.\n\nSecond one.\n\nitem one\n\nitem two"
     assert html_text.main_text(FLAT, tree) == (
         "Heading\n\nThis is the long text of the page that has many words in it and no links.\n\nShort one.\n\nAnother long text of the page that has many words in it with one link inside the text."
     )
-    rows = html_text.labelled()
+    rows = np.vstack(html_text.labelled())
     assert (tree.predict(rows[:, :-1]) == rows[:, -1]).all()
 
 
+def test_tree_uses_neighbours_and_generalises():
+    """Left out page by page, most blocks are still told apart; both neighbours and the block's own counts are asked."""
+    pages = html_text.labelled()
+    tree = html_text.train(np.vstack(pages))
+    asked = {html_text.FEATURES[f] for f in tree.feature if f >= 0}
+    assert {"words", "links"} <= asked and asked & {"words_before", "links_before"} and asked & {"words_after", "links_after"}
+    right = total = 0
+    for i, page in enumerate(pages):
+        own = html_text.train(np.vstack(pages[:i] + pages[i + 1 :])).predict(page[:, :-1]) == page[:, -1]
+        right, total = right + own.sum(), total + len(own)
+    assert right / total > 0.9
+    # whatever else holds, an article's blocks stay, those of menus and of marked elements go
+    rng = np.random.default_rng(1)
+    x = np.column_stack([rng.integers(1, 200, 3000), rng.integers(0, 101, 3000), *[rng.integers(-1, 200, 3000), rng.integers(-1, 101, 3000)] * 2, rng.integers(0, 3, 3000), rng.integers(0, 3, 3000), rng.integers(0, 3, 3000)]).astype(float)
+    keep = tree.predict(x)
+    assert keep[(x[:, 6] == 1) & (x[:, 7] < 2)].all() and not keep[(x[:, 6] == 2) | (x[:, 7] == 2)].any()
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<div class="layout with-sidebar"><article><p>one two</p></article></div>', "one two"),
+        ("<form><article>text here</article></form>", "text here"),
+        ('<div class="has-header"><main>abc def</main></div>', "abc def"),
+        ("<div><ul><li>one</li><li>two words</li><li>three</li></ul></div>", "one\n\ntwo words\n\nthree"),
+        ("<div><p>a lone paragraph of nine words that stands alone</p></div>", "a lone paragraph of nine words that stands alone"),
+        ('<article><p class="notice-period">kept</p><p>x <math><mi>a</mi></math> y</p></article>', "kept\n\nx a y"),
+        ('<body class="search"><div class="site has-sidebar no-comments"><article>Z</article></div>', "Z"),
+        ('<article>A<section class="comments"><article class="comment"><p>bad</p></article><div><article>bad two</article></div></section></article>', "A"),
+        ('<svg viewBox="0"/><article>ok <svg><text>gone</text></svg>more</article>', "ok more"),
+        ("<aside><article>no</article></aside><nav><a href=x>Home</a></nav><p>yes it is here today</p>", "yes it is here today"),
+        ("<ul><li><a>Home</a></li><li><a>News</a></li></ul><h2>Title of it</h2><p>" + "word " * 40 + "</p><h3>Related</h3><p><a>one two three four</a></p><p><a>five six seven</a></p>", "Title of it\n\n" + ("word " * 40).strip()),
+    ],
+)
+def test_main_text_of_layouts(page, text):
+    assert html_text.main_text(page, html_text.train(np.vstack(html_text.labelled()))) == text
+
+
 def test_main_text_cases(spark):
     rows = [(1, None), (2, ""), (3, "<nav>only menus</nav>"), (4, "<article><p>" + "word " * 50_000), (5, "<article><p>a &lt;b&gt; &amp;amp; c</p><p>a \"quote' > here</article"), (6, "<"), (6, "<article>x</article>"), (7, "<article>y<script>z")]
     pages = spark.createDataFrame(rows, "page_id long, html string").withColumn("url", F.lit(None).cast("string")).withColumn("text", F.lit("clash"))
@@ -141,6 +180,23 @@ def test_search_cases(spark):
     assert ann.nearest(vectors.where("false"), F.lit(True)).count() == 0
 
 
+def test_structured_vectors_are_pruned():
+    """Where vectors have structure, a query walks a few hundredths of the entries and still finds its neighbours."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((150, 32))
+    x = centres[rng.integers(0, 150, 12_000)] + 0.25 * rng.standard_normal((12_000, 32))
+    index = ann.fit(x[: ann.SAMPLE].tolist(), len(x))
+    cells = index.cells(x)
+    held = np.bincount(cells, minlength=len(index.first) * len(index.second)).tolist()
+    assert index.share < 0.05
+    found = []
+    for i in range(0, 12_000, 100):
+        scores = x @ x[i]
+        scores[i] = -np.inf
+        found.append(np.isin(cells[np.argsort(-scores)[:20]], ann.walk(x[i], index, held, index.share * len(x))).mean())
+    assert np.mean(found) >= 0.9
+
+
 def test_search_recall(spark):
     d = "/root/testdata/sf0.01"
     t = spark.read.parquet(f"{d}/embeddings.parquet").toPandas()
@@ -173,9 +229,9 @@ def test_chat_round_trip(spark):
         for t in range(turns):
             role = "system" if t == 0 and c % 3 == 0 else rng.choice(["user", "assistant", "system", "tool"]) if c % 4 == 1 else ("user", "assistant")[t % 2]
             rows.append((c, t, role, "".join(rng.choice(bits) for _ in range(rng.randint(0, 40)))))
-    rows += [(50, 0, "user", None), (50, 1, "assistant", None), (51, 0, "system", "alone"), (None, 0, "user", "x"), (None, 1, "assistant", "y"), (52, None, "user", "a"), (52, 0, None, "b"), (52, 0, None, "b"), (53, 0, "assistant", "w " * 3000), (53, 1, "assistant", "end")]
+    rows += [(50, 0, "user", None), (50, 1, "assistant", None), (51, 0, "system", "alone"), (None, 0, "user", "x"), (None, 1, "assistant", "y"), (54, 0, "system", "long " * 90), (54, 1, "user", "q"), (54, 2, "assistant", "r"), (52, None, "user", "a"), (52, 0, None, "b"), (52, 0, None, "b"), (53, 0, "assistant", "w " * 3000), (53, 1, "assistant", "end")]
     turns = spark.createDataFrame(rows, CONV).withColumn("key", F.lit(1)).withColumn("w", F.lit("x"))
-    made = chat.windows(turns, fresh=40, history=20)
+    made = chat.windows(turns, budget=120, history=20)
     got = {r["conv_id"]: r for r in chat.read_back(made).collect()}
     want = expected(rows)
     assert set(got) == set(want)
@@ -191,9 +247,41 @@ def test_chat_round_trip(spark):
         for span in p["loss"]:
             assert p["text"][: span["start"]].endswith("<s>") and p["text"][span["end"] :].startswith("</s>")
     assert any(p["repeats"] for p in parts)
+    # a window exceeds its budget only by a system turn or one turn that alone leaves no room
+    sizes = {(c, i): len(re.findall(r"[^\W\d_]+|\d{1,3}|[^\s\w]+", x or "")) + 4 for c, own in want.items() for i, (_, x) in enumerate(own)}
+    small = {c for c, own in want.items() if max(sizes[c, i] for i in range(len(own))) <= 25}
+    assert len(small) > 3 and all(p["n_tokens"] <= 120 for p in parts if p["conv_id"] in small)
     assert chat.read_back(chat.windows(turns.where("false"))).count() == 0
 
 
+def test_chat_budget(spark):
+    """Windows fit the budget with system turn and history; history is the latest turns that fit; strings and nulls are apart."""
+    rng = random.Random(8)
+    rows = [(c, t, "system" if t == 0 and c else ("user", "assistant")[t % 2], "w " * (rng.randint(1, 80) if t else 30)) for c in range(4) for t in range(120)]
+    rows += [(7, 0, "user", "w " * 500), (7, 1, "assistant", "w " * 10), (7, 2, "user", "w " * 300), (7, 3, "assistant", "w " * 5)]
+    parts = chat.windows(spark.createDataFrame(rows, CONV), budget=400, history=60).collect()
+    by = {}
+    for p in parts:
+        by.setdefault(p["conv_id"], []).append(p)
+    for c, own in by.items():
+        own.sort(key=lambda p: p["window"])
+        if c != 7:
+            assert max(p["n_tokens"] for p in own) <= 400 and sum(p["n_turns"] - p["repeats"] for p in own) == 120
+        turns = [(r, x) for a, _, r, x in rows if a == c]
+        done = 1 if c and c != 7 else 0
+        for p in own:
+            fresh = sum(not a for a in p["again"]) - (1 if p is own[0] and done else 0)
+            past = p["repeats"] - (1 if done and p is not own[0] and c != 7 and c else 0)
+            kept, at = 0, done - 1
+            least = 1 if c and c != 7 else 0
+            while at >= least and kept + len(turns[at][1].split()) + 4 <= min(60, (400 - 60 - (34 if least else 0)) // 4):
+                kept, at = kept + len(turns[at][1].split()) + 4, at - 1
+            assert past == (done - 1 - at if p is not own[0] else 0)
+            done += fresh
+    odd = spark.createDataFrame([("(null)", 0, "user", "a"), (None, 0, "user", "b")], CONV.replace("conv_id long", "conv_id string"))
+    assert sorted((r["conv_id"] or "", r["turns"]) for r in chat.read_back(chat.windows(odd)).collect()) == [("", "user\nb\n"), ("(null)", "user\na\n")]
+
+
 def test_chat_query_and_plan(spark):
     d = "/root/testdata/sf0.001"
     out = queries.op8_chat_windows(spark, d)

@@ -7,10 +7,12 @@ smallest that holds TARGET of the true neighbours in a bounded sample, so it ada
 the cells hold is reranked exactly, in double precision on the original vectors.
 
 The quantiser is fitted on a bounded sample (SAMPLE rows with the smallest hash of their id); every
-row is indexed. Cells are packed into blocks of about BLOCK entries, a larger cell is dealt over
-several, so a third of all rows in one cell is many blocks. Entries and the queries that walk one of
-a block's cells meet in one task, entries first, queries streaming past them in batches; each block
-gives at most k rows for a query, and a window takes the best k.
+row is indexed. Centroids are numbered along their main direction, and cells are packed in that order
+into blocks of about BLOCK entries, so that cells near each other share a block; a larger cell is dealt
+over several, so a third of all rows in one cell is many blocks. Entries and the queries that walk one
+of a block's cells meet in one task, entries first, queries streaming past them in batches. Products
+are taken with the entries of the cells that a query walks only; each block gives at most k rows for a
+query, and a window takes the best k.
 
 Cases: vectors that are null, zero, of another length than most of the sample, or hold null or
 non-finite components take no part, nor do rows without id; repeated ids are one query each and all
@@ -34,8 +36,12 @@ from .common import stored
 
 SAMPLE = 16_384
 #: Queries of the sample used to calibrate the share, and the share of their neighbours to hold.
-PROBES, TARGET = 256, 0.96
-BLOCK = 8192
+PROBES, TARGET = 256, 0.94
+BLOCK = 4096
+#: A walk takes milliseconds, so few queries make a task.
+QUERIES_PER_TASK = 256
+#: Centroids of a half: 2 to the power of a quarter of the binary digits of the number of rows, and four more.
+LEAST_BITS, MOST_BITS = 2, 8
 K = 20
 ROUNDS = 12
 
@@ -51,7 +57,10 @@ def kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
         np.add.at(sums, near, x)
         n = np.bincount(near, minlength=k)
         c[n > 0] = sums[n > 0] / n[n > 0, None]
-    return c
+    # numbered along the direction in which they differ most
+    _, _, axes = np.linalg.svd(c - c.mean(axis=0), full_matrices=False)
+    along = (c - c.mean(axis=0)) @ axes[0] if len(axes) else np.zeros(len(c))
+    return c[np.argsort(along, kind="stable")]
 
 
 def assign(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -113,7 +122,7 @@ def fit(rows: list[list[float]], total: int) -> Index | None:
         return None
     dim = Counter(map(len, rows)).most_common(1)[0][0]
     x = np.array([r for r in rows if len(r) == dim], dtype=float)
-    k = 2 ** int(np.clip(round(np.log2(max(total, 2)) / 3), 2, 8))
+    k = 2 ** int(np.clip(np.log2(max(total, 2)) // 4 + 4, LEAST_BITS, MOST_BITS))
     index = Index(kmeans(x[:, : dim // 2], k, 1), kmeans(x[:, dim // 2 :], k, 2), 1.0, dim)
     cells = index.cells(x)
     held = np.bincount(cells, minlength=len(index.first) * len(index.second)).tolist()
@@ -210,13 +219,12 @@ def _search(dim: int, k: int):
                     own_cells, cell_of = np.unique(ready[2], return_inverse=True)
                 vids, v, _ = ready
                 found: list[tuple] = []
-                for at in range(0, len(ids), 64):
-                    scores = x[at : at + 64] @ v.T
-                    for i in range(len(scores)):
-                        seen = np.isin(own_cells, np.array(cells[at + i].as_py()))
-                        s = np.where(seen[cell_of] & (vids != ids[at + i]), scores[i], -np.inf)
-                        got, exact = top(s, vids, x[at + i], v, k)
-                        found += [(int(ids[at + i]), int(g), float(e)) for g, e in zip(got, exact)]
+                for i in range(len(ids)):
+                    seen = np.isin(own_cells, np.array(cells[i].as_py()))
+                    near = np.flatnonzero(seen[cell_of] & (vids != ids[i]))
+                    w = v[near]
+                    got, exact = top(w @ x[i], vids[near], x[i], w, k)
+                    found += [(int(ids[i]), int(g), float(e)) for g, e in zip(got, exact)]
                 yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
     return search
@@ -264,7 +272,8 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, vec_id: str = "vec_
     shared = spark.sparkContext.broadcast((index, held.tolist(), first, parts, None))
 
     entries = rows.select("id", "vec", "salt").mapInArrow(_entries(shared), ROWS)
-    asked = rows.where("asked").dropDuplicates(["id"]).select("id", "vec")
+    asked = stored(rows.where("asked").dropDuplicates(["id"]).select("id", "vec"), "queries")
+    asked = asked.repartition(max(1, -(-asked.count() // QUERIES_PER_TASK)), "id")
     visits = asked.mapInArrow(_visits(shared, index.share * float(held.sum())), ROWS)
     met = entries.unionByName(visits).repartition("block").sortWithinPartitions("block", "kind")
     found = met.mapInArrow(_search(index.dim, k), "query_id long, vec_id long, score double")

@@ -1,22 +1,26 @@
 """Chat formatting in budgeted windows. DataFrame functions only.
 
-A conversation becomes windows of turns that fit a budget of tokens. Prefix sums of the turns' tokens
-choose turn-aligned spans: a turn is new in the window in whose stretch of `fresh` tokens its prefix
-sum begins. Each window repeats the system turn that opens the conversation and, before its new turns,
-the latest earlier ones that together take at most `history` tokens. Only new assistant turns carry
-loss, so each assistant text is a target once; what is repeated is masked.
+A conversation becomes windows of turns that fit a budget of tokens: the system turn that opens the
+conversation, at most `history` tokens of the latest earlier turns, and new turns. What the system turn and
+the history leave of the budget is the room for new turns. Prefix sums of the turns' tokens choose
+turn-aligned spans: the sums are cut into units of half a room, a turn is new in the window of the unit in
+which it begins, and a turn that would end beyond the room has a window of its own. So no window exceeds the
+budget, unless a turn alone is larger than the room: it is not cut. (The history takes a quarter of the room
+at most, so that it never reaches beyond the window before.) Only new assistant turns carry loss, so each
+assistant text is a target once; what is repeated is masked.
 
 Control strings that occur inside texts are escaped, reversibly: a backslash becomes \\0 and the k-th
 control string \\k. The output is read back by splitting it at its marks.
 
 Prefix sums have two levels: sums of blocks of turns per conversation, then within a block, so that
 the sort of a conversation with very many turns is spread over tasks; windows are collected by
-(conversation, window), whose size the budget bounds (one turn alone may exceed it; it is not cut).
+(conversation, window), whose size the budget bounds.
 
 Cases: null texts and roles are empty; roles other than system, user and assistant are kept and carry
 no loss; turns are ordered by turn (nulls first), then role and text, so repeated rows stand side by
 side and are turns of their own; null conv_ids are one conversation; an empty table gives an empty
-result; a system turn later on is an ordinary turn. Extra columns are not read.
+result; a system turn later on is an ordinary turn; an opening system turn that leaves less than
+LEAST_ROOM tokens is repeated all the same. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -26,8 +30,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Tokens of new turns in a window, and of repeated ones.
-FRESH, HISTORY = 1024, 256
+#: Tokens of a window, of repeated turns in it, and of new ones whatever the system turn takes.
+BUDGET, HISTORY, LEAST_ROOM = 1280, 256, 64
 TURN_BLOCK = 256
 #: Control strings of the template, in the order of their escapes \1, \2, ...
 CONTROL = ["<<SYS>>", "<</SYS>>", "[INST]", "[/INST]", "<s>", "</s>", "[TURN]", "[/TURN]", "[ROLE]"]
@@ -62,37 +66,40 @@ def rendered(role: Column, text: Column) -> Column:
     return F.concat(_by_role(role, 0), body, _by_role(role, 1))
 
 
-def windows(turns: DataFrame, fresh: int = FRESH, history: int = HISTORY) -> DataFrame:
-    """conv_id, window, text, loss (array of start and end in code points), n_repeated, n_turns, n_tokens."""
-    if history > fresh:
-        raise ValueError("history may not exceed fresh")
+def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+    """conv_id, window, text, loss (array of start and end in code points), repeats, again, n_turns, n_tokens."""
+    if 2 * history > budget:
+        raise ValueError("history may not exceed half of the budget")
     own = turns.select(F.col("conv_id").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    own = own.withColumns({"key": F.coalesce(F.col("conv_id").cast("string"), F.lit("(null)")), "tokens": token_count(F.col("text")), "part": F.coalesce(F.floor(F.col("turn") / TURN_BLOCK), F.lit(-(2**62)))})
+    own = own.withColumns({"key": F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("")), "tokens": token_count(F.col("text")), "part": F.coalesce(F.floor(F.col("turn") / TURN_BLOCK), F.lit(-(2**62)))})
     order = ["turn", "role", "text"]
     # two levels of prefix sums: over blocks of a conversation, then over the turns of a block
-    parts = own.groupBy("key", "part").agg(F.sum("tokens").alias("sum"), F.count("*").alias("n"))
-    by_part = Window.partitionBy("key").orderBy("part")
-    parts = parts.select("key", "part", (F.sum("sum").over(by_part) - F.col("sum")).alias("before_part"), (F.sum("n").over(by_part) - F.col("n")).alias("n_before"))
     inside = Window.partitionBy("key", "part").orderBy(*order)
     own = own.withColumns({"within": F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens"), "at": F.row_number().over(inside) - 1})
-    own = own.join(parts, ["key", "part"]).select("conv_id", "key", "role", "text", "tokens", (F.col("before_part") + F.col("within")).alias("start"), (F.col("n_before") + F.col("at")).alias("pos"))
-    own = own.withColumn("head", (F.col("pos") == 0) & (F.col("role") == "system"))
-    own = own.withColumn("w", F.floor(F.col("start") / fresh))
+    lead = F.max(F.when((F.col("at") == 0) & (F.col("role") == "system"), F.col("tokens")))
+    parts = own.groupBy("key", "part").agg(F.sum("tokens").alias("sum"), F.count("*").alias("n"), lead.alias("lead"))
+    by_part = Window.partitionBy("key").orderBy("part")
+    parts = parts.select("key", "part", (F.sum("sum").over(by_part) - F.col("sum")).alias("before_part"), (F.sum("n").over(by_part) - F.col("n")).alias("n_before"), F.coalesce(F.first("lead").over(by_part), F.lit(0)).alias("opens"))
+    parts = parts.withColumn("room", F.greatest(F.lit(budget - history) - F.col("opens"), F.lit(LEAST_ROOM)).cast("long"))
+    own = own.join(parts, ["key", "part"]).select("conv_id", "key", "role", "text", "tokens", "room", (F.col("before_part") + F.col("within") - F.col("opens")).alias("start"), (F.col("n_before") + F.col("at")).alias("pos"))
+    own = own.withColumns({"head": (F.col("pos") == 0) & (F.col("role") == "system"), "unit": F.expr("room div 2")})
+    beyond = F.pmod("start", "unit") + F.col("tokens") > F.col("room")
+    own = own.withColumn("w", F.when(F.col("head"), 0).otherwise(2 * F.expr("start div unit") + beyond.cast("long")))
     # windows with at least one new turn; the opening system turn alone makes none unless nothing follows
-    spans = own.groupBy("key", "w").agg(F.min(F.when(~F.col("head"), F.col("start"))).alias("from"), F.count(F.when(~F.col("head"), 1)).alias("n"), F.max(F.when(F.col("head"), F.col("text"))).alias("head_text"))
+    spans = own.groupBy("key", "w").agg(F.min(F.when(~F.col("head"), F.col("start"))).alias("from"), F.count(F.when(~F.col("head"), 1)).alias("n"), F.max(F.when(F.col("head"), F.col("text"))).alias("head_text"), F.least(F.lit(history).cast("long"), F.expr("any_value(unit) div 2")).alias("past"), F.first("conv_id").alias("conv_id"))
     whole = Window.partitionBy("key")
     spans = spans.withColumns({"all": F.sum("n").over(whole), "opening": F.max("head_text").over(whole)})
     spans = spans.where((F.col("n") > 0) | (F.col("all") == 0))
     nxt = Window.partitionBy("key").orderBy("w")
-    spans = spans.withColumns({"next_w": F.lead("w").over(nxt), "next_from": F.lead("from").over(nxt)}).select("key", "w", "from", "opening", "all", "next_w", "next_from")
-    body = own.where(~F.col("head")).join(spans.select("key", "w", "next_w", "next_from"), ["key", "w"])
-    repeated = F.col("next_w").isNotNull() & (F.col("next_from") - F.col("start") <= history)
+    spans = spans.withColumns({"next_w": F.lead("w").over(nxt), "next_from": F.lead("from").over(nxt)}).select("conv_id", "key", "w", "opening", "next_w", "next_from", "past")
+    body = own.where(~F.col("head")).join(spans.select("key", "w", "next_w", "next_from", "past"), ["key", "w"])
+    repeated = F.col("next_w").isNotNull() & (F.col("next_from") - F.col("start") <= F.col("past"))
     place = F.when(repeated, F.array(F.struct(F.col("w").alias("w"), F.lit(False).alias("again")), F.struct(F.col("next_w").alias("w"), F.lit(True).alias("again")))).otherwise(F.array(F.struct(F.col("w").alias("w"), F.lit(False).alias("again"))))
     placed = body.withColumn("place", F.explode(place)).select("conv_id", "key", F.col("place.w").alias("w"), F.col("pos"), F.col("place.again").alias("again"), "role", "text", "tokens")
     # the opening system turn in front of every window
     opening = spans.where(F.col("opening").isNotNull()).withColumn("first", F.row_number().over(nxt) == 1)
     opening = opening.select(
-        F.when(F.col("key") == "(null)", F.lit(None)).otherwise(F.col("key")).cast(turns.schema["conv_id"].dataType).alias("conv_id"), "key", "w", F.lit(-1).cast("long").alias("pos"),
+        "conv_id", "key", "w", F.lit(-1).cast("long").alias("pos"),
         (~F.col("first")).alias("again"), F.lit("system").alias("role"), F.col("opening").alias("text"), token_count(F.col("opening")).alias("tokens"),
     )
     every = placed.select("conv_id", "key", "w", F.col("pos").cast("long").alias("pos"), "again", "role", "text", "tokens").unionByName(opening)
@@ -154,12 +161,14 @@ def oracle(extra: str) -> str:
     marks = " ".join(f"WHEN '{r}' THEN {len(a) + len(b)}" for r, (a, b) in MARKS.items())
     return f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL {extra}),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos, len(regexp_extract_all(text, '\\p{{L}}+|\\p{{N}}{{1,3}}|[^\\s\\p{{L}}\\p{{N}}]+')) + 4 AS tokens FROM t),
-p AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos) - tokens AS start, pos = 0 AND role = 'system' AS head,
-  length({escaped("text")}) + CASE role {marks} ELSE {len(OTHER[0]) + len(OTHER[1]) + len("[ROLE]")} + length({escaped("role")}) END AS size FROM o),
-s AS (SELECT conv_id, start // {FRESH} AS w, min(start) FILTER (WHERE NOT head) AS begins, count(*) FILTER (WHERE NOT head) AS n FROM p GROUP BY ALL),
+g AS (SELECT *, pos = 0 AND role = 'system' AS head, max(CASE WHEN pos = 0 AND role = 'system' THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id) AS opens FROM o),
+h AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos) - tokens - opens AS start, greatest({BUDGET - HISTORY} - opens, {LEAST_ROOM}) AS room, greatest({BUDGET - HISTORY} - opens, {LEAST_ROOM}) // 2 AS unit FROM g),
+p AS (SELECT *, CASE WHEN head THEN 0 ELSE 2 * (start // unit) + CASE WHEN start % unit + tokens > room THEN 1 ELSE 0 END END AS w, least({HISTORY}, unit // 2) AS past,
+  length({escaped("text")}) + CASE role {marks} ELSE {len(OTHER[0]) + len(OTHER[1]) + len("[ROLE]")} + length({escaped("role")}) END AS size FROM h),
+s AS (SELECT conv_id, w, min(start) FILTER (WHERE NOT head) AS begins, count(*) FILTER (WHERE NOT head) AS n FROM p GROUP BY ALL),
 k AS (SELECT * FROM (SELECT *, sum(n) OVER (PARTITION BY conv_id) AS every FROM s) WHERE n > 0 OR every = 0),
 x AS (SELECT *, lead(begins) OVER (PARTITION BY conv_id ORDER BY w) AS next_begins FROM k),
-body AS (SELECT p.conv_id, sum(size * CASE WHEN x.next_begins - p.start <= {HISTORY} THEN 2 ELSE 1 END) AS chars FROM p JOIN x ON p.conv_id IS NOT DISTINCT FROM x.conv_id AND p.start // {FRESH} = x.w WHERE NOT p.head GROUP BY 1),
+body AS (SELECT p.conv_id, sum(size * CASE WHEN x.next_begins - p.start <= p.past THEN 2 ELSE 1 END) AS chars FROM p JOIN x ON p.conv_id IS NOT DISTINCT FROM x.conv_id AND p.w = x.w WHERE NOT p.head GROUP BY 1),
 head AS (SELECT p.conv_id, sum(size) AS chars FROM p JOIN x ON p.conv_id IS NOT DISTINCT FROM x.conv_id WHERE p.head GROUP BY 1),
 d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '') AS loss FROM p GROUP BY conv_id)
 SELECT d.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, (coalesce(body.chars, 0) + coalesce(head.chars, 0))::BIGINT AS formatted_chars

@@ -35,7 +35,10 @@ from .common import shared_dir, small_batches, stored
 
 SEGMENT_BYTES = 32 * 1024
 CHUNK_BYTES = 8 * 1024
+#: A record's block has SEGMENT_BYTES at most, so a file has some 34 MB at most.
 RECORDS_PER_FILE = 1000
+#: So many repeated digests (of some 100 bytes) are broadcast at most.
+BROADCAST_DIGESTS = 500_000
 CRLF = "\r\n"
 
 
@@ -111,8 +114,10 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", payloa
     own = pages.select(F.col(page_id).alias("page_id"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
     own = own.withColumn("sha", F.sha1("payload"))
     # the digests that occur under more than one page; one row for each and task before the shuffle
-    many = own.where(F.length("payload") >= min_revisit).groupBy("sha").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("sha", "least")
-    rows = own.join(many, "sha", "left").withColumn("number", F.monotonically_increasing_id())
+    many = stored(own.where(F.length("payload") >= min_revisit).groupBy("sha").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("sha", "least"), "digests")
+    # few repeated digests go to the payloads; else payloads are shuffled, where a common one can be split
+    few = F.broadcast(many) if many.count() <= BROADCAST_DIGESTS else many
+    rows = own.join(few, "sha", "left").withColumn("number", F.monotonically_increasing_id())
     rows = rows.select("page_id", "payload", "least", "number", _digest("payload").alias("digest"))
     # bytes pass through a string column unchanged; the separator is the records' end
     lines = rows.mapInArrow(_written(segment_bytes), "value binary").select(F.col("value").cast("string"))

@@ -107,35 +107,27 @@ def cuts(x: np.ndarray, rate: int = RATE, target: float = TARGET, longest: float
     rms = np.sqrt(power / np.diff(np.append(edges, n))).astype(np.float32)
     limit = max(np.float32(FLOOR), np.sort(rms)[len(rms) // 2] * np.float32(SHARE_OF_MEDIAN))
     silent = np.append(rms < limit, False)
-    # first frame of the silence that each frame lies in
-    run = np.arange(len(silent))
-    for f in range(1, len(run)):
-        if silent[f] and silent[f - 1]:
-            run[f] = run[f - 1]
+    # the sample before the silence that a frame lies in
+    at = np.arange(len(silent))
+    before = np.maximum.accumulate(np.where(silent & ~np.append(False, silent[:-1]), at, 0)) * frame - 1
+
+    def end_of(begin: int) -> int:
+        goal = begin + size
+        if goal >= n:
+            return n
+        low = goal - quiet if goal > quiet else begin
+        late = np.arange(-(-(low + 2) // frame) - 1, goal // frame + 1)[::-1] if goal > low else at[:0]
+        late = late[silent[late]]
+        edge = np.maximum(before[late], begin)
+        edge = edge[goal - edge >= quiet // 2]
+        return max(begin + frame, min(n, int(edge[0]) + quiet // 4)) if len(edge) else goal
+
     out, begin = [], 0
-    while begin < n:
-        end = min(n, begin + size)
-        if end < n:
-            p = end
-            low = end - quiet if end > quiet else begin
-            while p > low:
-                f = p // frame
-                if silent[f]:
-                    # the sample before that silence, or the piece's begin
-                    q = max(run[f] * frame - 1, begin) if run[f] else begin
-                    if end - q >= quiet // 2:
-                        end = max(begin + frame, min(n, q + quiet // 4))
-                        break
-                    p -= 1
-                else:
-                    p = f * frame - 1  # nothing else in this frame is silent either
-        end = min(end, begin + most) if end - begin > most else end
-        end = min(n, begin + frame) if end <= begin else end
-        out.append((begin, end))
-        if end >= n:
-            return out
-        after = end - over if over > 0 and end > begin + over else end
-        begin = end if after <= begin else after
+    while not out or out[-1][1] < n:
+        end = min(end_of(begin), begin + most)
+        out.append((begin, end if end > begin else min(n, begin + frame)))
+        length = out[-1][1] - begin
+        begin = out[-1][1] - (over if 0 < over < length else 0)
     return out
 
 

@@ -42,47 +42,61 @@ def grid(c: Column) -> Column:
     return F.transform(rows, lambda r: F.concat(r, F.array_repeat(empty, widest - F.size(r))))
 
 
+_CELL = T.StructType([T.StructField(n, k) for n, k in (("token", T.StringType()), ("text", T.StringType()), ("row_span", T.IntegerType()), ("col_span", T.IntegerType()))])
+_NUMBERS = T.ArrayType(T.IntegerType())
+
+
+def _runs(values: Column, start: Column, step) -> Column:
+    """For each value from the last to the first what `step` has made of those after it, in the order of the values."""
+    kind = T.ArrayType(_NUMBERS) if step.__name__ == "down" else _NUMBERS
+    state = F.struct(start.alias("run"), F.array().cast(kind).alias("out"))
+    return F.reverse(F.aggregate(F.reverse(values), state, lambda s, v: F.struct(step(s["run"], v).alias("run"), F.concat(s["out"], F.array(s["run"])).alias("out")), lambda s: s["out"]))
+
+
+def spanned(c: Column) -> Column:
+    """The grid's rows as arrays of (token, text, row_span, col_span): spans are runs of tokens that go on to the right
+    and down, counted from the end of each row and from the last row up."""
+
+    def right(run: Column, cell: Column) -> Column:
+        return F.when(cell["token"].isin("<lcel>", "<xcel>"), run + 1).otherwise(0)
+
+    def down(runs: Column, row: Column) -> Column:
+        return F.zip_with(runs, row, lambda n, cell: F.when(cell["token"].isin("<ucel>", "<xcel>"), n + 1).otherwise(0))
+
+    def rows(g: Column) -> Column:
+        below = _runs(g, F.transform(F.get(g, 0), lambda x: F.lit(0)), down)
+        cell = lambda x, n: F.struct(x["cell"]["token"].alias("token"), F.when(x["cell"]["token"] == "<ecel>", "").otherwise(x["cell"]["text"]).alias("text"), (1 + n).alias("row_span"), (1 + x["n"]).alias("col_span"))
+        with_right = lambda row: F.zip_with(row, _runs(row, F.lit(0), right), lambda x, n: F.struct(x.alias("cell"), n.alias("n")))
+        return F.when(F.size(g) > 0, F.zip_with(g, below, lambda row, ns: F.zip_with(with_right(row), ns, cell))).otherwise(F.array().cast(T.ArrayType(T.ArrayType(_CELL))))
+
+    return let(grid(c), rows)
+
+
+def _is_cell(x: Column) -> Column:
+    return x["token"].isin("<fcel>", "<ecel>")
+
+
 def otsl_cells(tables: DataFrame, table_id: str = "table_id", otsl: str = "otsl") -> DataFrame:
-    """A row for each cell: table_id, start_row, start_col, row_span, col_span, text. The spans are runs of tokens that
-    go on to the right and down, found in the grid itself."""
-    own = tables.select(table_id, grid(F.col(otsl)).alias("g"))
-    at = own.select(table_id, "g", F.posexplode("g").alias("r", "row")).select(table_id, "g", "r", F.posexplode("row").alias("c", "cell"))
-    cells = at.where(F.col("cell.token").isin("<fcel>", "<ecel>"))
-
-    def run(values: Column, goes_on: list[str]) -> Column:
-        stop = F.array_position(F.transform(values, lambda x: F.when(x.isin(*goes_on), F.lit(0)).otherwise(F.lit(1))), 1)
-        return F.when(stop == 0, F.size(values)).otherwise(stop - 1).cast("int")
-
-    row = F.transform(F.get("g", F.col("r")), lambda x: x["token"])
-    right = F.slice(row, F.col("c") + 2, F.size(row))
-    column = F.transform("g", lambda x: F.get(x, F.col("c"))["token"])
-    down = F.slice(column, F.col("r") + 2, F.size(column))
-    text = F.when(F.col("cell.token") == "<ecel>", "").otherwise(F.col("cell.text"))
-    return cells.select(
-        table_id, F.col("r").alias("start_row"), F.col("c").alias("start_col"), (1 + run(down, ["<ucel>", "<xcel>"])).alias("row_span"),
-        (1 + run(right, ["<lcel>", "<xcel>"])).alias("col_span"), text.alias("text"),
-    )
+    """A row for each cell: table_id, start_row, start_col, row_span, col_span, text."""
+    rows = tables.select(table_id, F.posexplode(spanned(F.col(otsl))).alias("start_row", "row"))
+    cells = rows.select(table_id, "start_row", F.posexplode("row").alias("start_col", "cell")).where(_is_cell(F.col("cell")))
+    return cells.select(table_id, "start_row", "start_col", "cell.row_span", "cell.col_span", "cell.text")
 
 
 def otsl_html(tables: DataFrame, table_id: str = "table_id", otsl: str = "otsl") -> DataFrame:
-    """table_id, html. A cell shows where no later cell covers its first place; markup passes through; no cell gives ''."""
+    """table_id, html, within the table's own row. Markup passes through; no cell gives ''; rows end with the last that has a cell."""
     whole = F.col(otsl).startswith("<table") & F.col(otsl).endswith("</table>")
-    cells = otsl_cells(tables.where(~whole), table_id, otsl)
-    number = F.col("start_row") * 100_000 + F.col("start_col")
-    # the cells of one table meet in one row: a table is one value anyway
-    held = cells.groupBy(table_id).agg(F.array_sort(F.collect_list(F.struct(number.alias("n"), "start_row", "start_col", "row_span", "col_span", "text"))).alias("cells"))
-    covers = lambda o, x: (o["n"] > x["n"]) & x["start_row"].between(o["start_row"], o["start_row"] + o["row_span"] - 1) & x["start_col"].between(o["start_col"], o["start_col"] + o["col_span"] - 1)
-    shown = F.filter("cells", lambda x: ~F.exists("cells", lambda o: covers(o, x)))
 
     def cell(x: Column) -> Column:
         span = lambda name, n: F.when(n > 1, F.concat(F.lit(f' {name}="'), n.cast("string"), F.lit('"'))).otherwise("")
         return F.concat(F.lit("<td"), span("rowspan", x["row_span"]), span("colspan", x["col_span"]), F.lit(">"), X.html_escape(x["text"]), F.lit("</td>"))
 
-    numbers = F.sequence(F.lit(0), F.array_max(F.transform("cells", lambda x: x["start_row"])))
-    rows = let(shown, lambda s: F.transform(numbers, lambda r: F.concat(F.lit("<tr>"), F.array_join(F.transform(F.filter(s, lambda x: x["start_row"] == r), cell), ""), F.lit("</tr>"))))
-    made = held.select(table_id, F.concat(F.lit("<table>"), F.array_join(rows, ""), F.lit("</table>")).alias("html"))
-    out = tables.select(table_id, F.when(whole, F.col(otsl)).alias("as_is")).join(made, table_id, "left")
-    return out.select(table_id, F.coalesce("as_is", "html", F.lit("")).alias("html"))
+    def made(rows: Column) -> Column:
+        last = F.array_max(F.transform(rows, lambda row, i: F.when(F.exists(row, _is_cell), i + 1)))
+        lines = F.transform(F.slice(rows, F.lit(1), F.coalesce(last, F.lit(0))), lambda row: F.concat(F.lit("<tr>"), F.array_join(F.transform(F.filter(row, _is_cell), cell), ""), F.lit("</tr>")))
+        return F.when(last.isNull(), "").otherwise(F.concat(F.lit("<table>"), F.array_join(lines, ""), F.lit("</table>")))
+
+    return tables.select(table_id, F.when(whole, F.col(otsl)).otherwise(F.coalesce(let(spanned(F.col(otsl)), made), F.lit(""))).alias("html"))
 
 
 def table_blocks(blocks: DataFrame) -> DataFrame:

@@ -1,13 +1,16 @@
 """Speech segments from a stream of window energies, and sessions of events.
 
-The segmenter is one state machine for both uses: over a finished clip, and per clip in a streaming query whose
-state is a handful of numbers. Time is the counter of frames pushed, so there is no late data within a clip.
+A clip is followed by one pure transition, `step`: from what is known of the open segment (`Voice`) and one
+more window to what is known then and the events that this makes. The same function serves a finished clip and,
+per clip, a streaming query whose state is that tuple of numbers. All rules read times, not counters: a pause is the
+time since the last voiced window. Time is the sum of windows pushed, so there is no late data within a clip.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -38,99 +41,95 @@ class Params:
         return self
 
 
-@dataclass
-class State:
-    total: int = 0  # ms pushed
-    start: int = 0  # begin of what is pending
-    segment: int = 1
-    parent: int = 0  # segment whose sound this one repeats
-    speaking: bool = False
-    silence: int = 0
-    idle: int = 0
-    next_chunk: int = 0
-    low_at: int = 0
-    low: float = float("inf")
-    shown: bool = False  # the segment has given an event
+class Voice(NamedTuple):
+    """The open segment of a clip, times in ms."""
+
+    now: int = 0  # sound so far
+    begin: int = 0  # where the segment would begin
+    number: int = 1
+    parent: int = 0  # the segment whose end this one repeats
+    loud: int = -1  # end of the last voiced window; -1: nothing voiced yet
+    told: int = 0  # chunks that a PARTIAL has shown
+    dip: float = float("inf")  # weakest window late in the segment, and its end
+    dip_at: int = -1
+
+
+class Close(NamedTuple):
+    """How a segment ends: where, where the next begins, and whether that repeats its sound and goes on speaking."""
+
+    end: int
+    then: int
+    bridged: bool = False
 
 
 EVENT = ["kind", "segment", "begin_ms", "end_ms", "parent", "bridged"]
 
 
-class Segmenter:
-    def __init__(self, params: Params | None = None, state: State | None = None):
-        self.p = (params or Params()).check()
-        self.s = state or State(next_chunk=self.p.chunk)
-
-    def push(self, rms: float) -> list[tuple]:
-        """Events of one more window: PARTIAL with all of the segment so far, or FINAL."""
-        p, s = self.p, self.s
-        s.total += p.window
-        if rms >= p.threshold:
-            s.speaking, s.silence, s.idle = True, 0, 0
-        elif s.speaking:
-            s.silence += p.window
-        elif s.parent:
-            s.idle += p.window
-            if s.idle >= p.endpoint:
-                s.parent = s.idle = 0
-        if not s.speaking:
-            s.start = max(s.start, s.total - p.pre_roll)
-            return []
-        out = self._partial()
-        out += self._roll(rms)
-        if s.speaking and s.silence >= p.endpoint:
-            out += self._final()
-        return out
-
-    def finish(self) -> list[tuple]:
-        return self._final() if self.s.speaking or self.s.shown else []
-
-    def _event(self, kind: str, end: int, bridged: bool = False) -> tuple:
-        self.s.shown = True
-        return (kind, self.s.segment, self.s.start, end, self.s.parent, bridged)
-
-    def _partial(self) -> list[tuple]:
-        s = self.s
-        if s.total - s.start < s.next_chunk:
-            return []
-        out = [self._event("PARTIAL", s.total)]
-        s.next_chunk += ((s.total - s.start - s.next_chunk) // self.p.chunk + 1) * self.p.chunk
-        return out
-
-    def _roll(self, rms: float) -> list[tuple]:
-        p, s = self.p, self.s
-        length = s.total - s.start
-        if length >= p.roll_hard - p.roll_search and rms < s.low:
-            s.low, s.low_at = rms, s.total
-        if length >= p.roll_target and s.silence >= p.roll_pause:
-            return self._cut(s.total, pause=True)
-        if length < p.roll_hard:
-            return []
-        at = s.low_at if s.start < s.low_at <= s.total else min(s.start + p.roll_hard, s.total)
-        return self._cut(at, pause=False)
-
-    def _cut(self, at: int, pause: bool) -> list[tuple]:
-        p, s = self.p, self.s
-        out = [self._event("FINAL", at, bridged=not pause)]
-        own = s.segment
-        begin = at if pause else at - min(p.roll_overlap, at - s.start)
-        s.start, s.segment, s.parent, s.idle, s.shown, s.next_chunk = begin, own + 1, 0 if pause else own, 0, False, p.chunk
-        s.low, s.low_at = float("inf"), 0
-        s.speaking = not pause
-        s.silence = 0 if pause else s.silence
-        return out + self._partial()
-
-    def _final(self) -> list[tuple]:
-        s = self.s
-        out = [self._event("FINAL", s.total)]
-        self.s = State(total=s.total, start=s.total, segment=s.segment + 1, next_chunk=self.p.chunk)
-        return out
+def rolled(p: Params, v: Voice) -> Close | None:
+    """A long segment ends at a pause, or, at the limit, at its weakest late window with a bridge to the next."""
+    length = v.now - v.begin
+    if length >= p.roll_target and v.now - v.loud >= p.roll_pause:
+        return Close(v.now, v.now)
+    if length < p.roll_hard:
+        return None
+    end = v.dip_at if v.dip_at > v.begin else min(v.begin + p.roll_hard, v.now)
+    return Close(end, max(v.begin, end - p.roll_overlap), True)
+
+
+def ended(p: Params, v: Voice) -> Close | None:
+    """Silence as long as the endpoint ends a segment."""
+    return Close(v.now, v.now) if v.now - v.loud >= p.endpoint else None
+
+
+def partial(p: Params, v: Voice) -> tuple[Voice, list[tuple]]:
+    """A PARTIAL with all of the segment so far, each time that another chunk is full."""
+    chunks = (v.now - v.begin) // p.chunk
+    if chunks <= v.told:
+        return v, []
+    return v._replace(told=chunks), [("PARTIAL", v.number, v.begin, v.now, v.parent, False)]
+
+
+def closed(v: Voice, how: Close) -> tuple[Voice, tuple]:
+    """The FINAL of a segment, and the voice that begins after it."""
+    after = Voice(v.now, how.then, v.number + 1, v.number if how.bridged else 0, v.loud if how.bridged else -1)
+    return after, ("FINAL", v.number, v.begin, how.end, v.parent, how.bridged)
+
+
+def step(p: Params, v: Voice, rms: float) -> tuple[Voice, list[tuple]]:
+    """One more window."""
+    now = v.now + p.window
+    v = v._replace(now=now, loud=now if rms >= p.threshold else v.loud)
+    if v.loud < 0:  # only the pre-roll is kept before speech
+        return v._replace(begin=max(v.begin, now - p.pre_roll)), []
+    v, out = partial(p, v)
+    if now - v.begin >= p.roll_hard - p.roll_search and rms < v.dip:
+        v = v._replace(dip=rms, dip_at=now)
+    for rule in (rolled, ended):
+        how = rule(p, v) if v.loud >= 0 else None
+        if how:
+            v, final = closed(v, how)
+            out.append(final)
+            if v.loud >= 0:
+                v, more = partial(p, v)
+                out += more
+    return v, out
+
+
+def flush(v: Voice) -> tuple[Voice, list[tuple]]:
+    """Ends what is open."""
+    if v.loud < 0:
+        return v, []
+    v, final = closed(v, Close(v.now, v.now))
+    return v, [final]
 
 
 def segments(energies: Iterable[float], params: Params | None = None) -> list[tuple]:
     """Events of a whole clip, the last segment closed."""
-    own = Segmenter(params)
-    return [e for x in energies for e in own.push(float(x))] + own.finish()
+    p, v, out = (params or Params()).check(), Voice(), []
+    for x in energies:
+        v, more = step(p, v, float(x))
+        out += more
+    return out + flush(v)[1]
 
 
 OUT = "clip {}, kind string, segment int, begin_ms long, end_ms long, parent int, bridged boolean"
@@ -146,28 +145,51 @@ def segment_clips(frames: DataFrame, params: Params | None = None) -> DataFrame:
     return frames.select("clip", "frame", "rms").groupBy("clip").applyInPandas(work, OUT.format(frames.schema["clip"].dataType.simpleString()))
 
 
-STATE = "total long, start long, segment int, parent int, speaking boolean, silence long, idle long, next_chunk long, low_at long, low double, shown boolean, seen long"
+STATE = "now long, begin long, number int, parent int, loud long, told long, dip double, dip_at long, seen long"
+#: Energies that are no sound: the clip ends with a FINAL of what is open, or is given up without one.
+FINISH, CANCEL = -1.0, -2.0
 
 
-def segment_stream(frames: DataFrame, params: Params | None = None) -> DataFrame:
+def segment_stream(frames: DataFrame, params: Params | None = None, idle: int | None = None) -> DataFrame:
     """The same over a stream of (clip, frame, rms); windows must reach a clip in order. A window that was seen
-    before is left out, so a batch that is run again adds nothing. A negative rms ends the clip."""
+    before is left out, so a batch that is run again adds nothing. FINISH and CANCEL end a clip, whose state
+    then goes; so does that of a clip without windows for `idle` ms of processing time, after a FINAL."""
+    p = (params or Params()).check()
+
+    def rows(key: tuple, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *e) for e in out], columns=["clip", *EVENT])
 
     def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get) if state.exists else None
-        seen = held.pop() if held else -1
-        own = Segmenter(params, State(*held) if held else None)
+        *held, seen = state.get if state.exists else (*Voice(), -1)
+        v = Voice(*held)
+        if state.hasTimedOut:
+            state.remove()
+            yield rows(key, flush(v)[1])
+            return
         out: list[tuple] = []
-        rows = pd.concat(list(batches)).sort_values("frame")
-        for frame, rms in zip(rows["frame"], rows["rms"]):
+        new = pd.concat(list(batches)).sort_values("frame")
+        over = False
+        for frame, rms in zip(new["frame"], new["rms"]):
             if frame <= seen:
                 continue
-            seen = int(frame)
-            out += own.push(float(rms)) if rms >= 0 else own.finish()
-        state.update((*(getattr(own.s, f.name) for f in fields(State)), seen))
-        yield pd.DataFrame([(key[0], *e) for e in out], columns=["clip", *EVENT])
-
-    return frames.groupBy("clip").applyInPandasWithState(work, OUT.format(frames.schema["clip"].dataType.simpleString()), STATE, "append", GroupStateTimeout.NoTimeout)
+            seen, over = int(frame), rms < 0
+            if over:
+                out += flush(v)[1] if rms > CANCEL else []
+                v = Voice()
+            else:
+                v, more = step(p, v, float(rms))
+                out += more
+        if over:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((*v, seen))
+            if idle:
+                state.setTimeoutDuration(idle)
+        yield rows(key, out)
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return frames.groupBy("clip").applyInPandasWithState(work, OUT.format(frames.schema["clip"].dataType.simpleString()), STATE, "append", timeout)
 
 
 def latest(events: DataFrame) -> DataFrame:

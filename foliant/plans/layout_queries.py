@@ -146,12 +146,42 @@ def margin_anchors(spark, sf_dir):
     return pages.select("page", F.col("h.ymax").alias("header_edge"), F.col("h.index").alias("header_index"), F.col("f.ymin").alias("footer_edge"), F.col("f.index").alias("footer_index"))
 
 
-@query()
+_APART = "(a.label <> b.label AND (a.visual OR b.visual) AND NOT ((a.label = 'table' OR b.label = 'table') AND NOT (a.visual AND b.visual)))"
+
+
+@query(
+    f"""WITH RECURSIVE {BOXES}, v AS (SELECT *, label IN ('image', 'table', 'seal', 'chart') AS visual, label = 'inline_formula' AS inl, row_number() OVER (PARTITION BY page ORDER BY idx) AS i FROM boxes WHERE label <> 'reference'),
+l AS (SELECT a.page, a.i, any_value(least(a.x1 - a.x0, a.y1 - a.y0) < 6 AND NOT a.inl) AS speck,
+  coalesce(list(struct_pack(j := b.i, own := {_sql_area('a')} < {_sql_area('b')}) ORDER BY b.i) FILTER (b.i IS NOT NULL AND NOT a.inl AND NOT b.inl AND {_sql_inter('a', 'b')} / least({_sql_area('a')}, {_sql_area('b')}) > 0.7 AND NOT {_APART}), []) AS p
+  FROM v a LEFT JOIN v b ON a.page = b.page AND b.i > a.i GROUP BY a.page, a.i),
+r AS (SELECT DISTINCT page, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS gone FROM v
+  UNION ALL SELECT page, i, CASE WHEN list_contains(gone, i) THEN gone WHEN speck THEN list_append(gone, i)
+    WHEN len(ends) > 0 THEN list_concat(gone, [x.j FOR x IN live IF NOT x.own AND x.j < ends[1].j], [i]) ELSE list_concat(gone, [x.j FOR x IN live]) END
+  FROM (SELECT *, [x FOR x IN live IF x.own] AS ends FROM (SELECT l.page, l.i, gone, speck, [x FOR x IN p IF NOT list_contains(gone, x.j)] AS live FROM r JOIN l ON l.page = r.page AND l.i = r.i + 1)))
+SELECT v.page, CAST(row_number() OVER (PARTITION BY v.page ORDER BY v.i) AS INTEGER) AS index, label, x0 AS xmin, y0 AS ymin
+FROM v JOIN (SELECT page, max_by(gone, i) AS gone FROM r GROUP BY page) g ON g.page = v.page WHERE NOT list_contains(gone, v.i)"""
+)
 def overlap_filtered(spark, sf_dir):
     return L.rows_of(L.pages_of(boxes(spark, sf_dir)).withColumn("boxes", L.overlap_filter("boxes"))).select("page", "index", "label", "xmin", "ymin")
 
 
-@query()
+def _common(a: str, b: str) -> str:
+    return f"greatest(0, least({a}.x1, {b}.x1) - greatest({a}.x0, {b}.x0)) * greatest(0, least({a}.y1, {b}.y1) - greatest({a}.y0, {b}.y0))"
+
+
+
+@query(
+    f"""WITH RECURSIVE {BOXES}, g AS (SELECT page, list(struct_pack(idx := idx, label := label, score := CAST(score AS DOUBLE), x0 := CAST(x0 AS DOUBLE), y0 := CAST(y0 AS DOUBLE), x1 := CAST(x1 AS DOUBLE), y1 := CAST(y1 AS DOUBLE)) ORDER BY idx) AS s FROM boxes GROUP BY page),
+r AS (SELECT page, 0 AS k, s FROM g
+  UNION ALL SELECT page, k + 1, list_transform(list_filter(range(1, len(s) + 1), lambda x: x <> low), lambda x: CASE WHEN x = keep THEN struct_pack(idx := s[x].idx, label := s[x].label, score := CAST(format('{{:.4f}}', greatest(a.score, b.score)) AS DOUBLE),
+      x0 := floor(least(a.x0, b.x0)), y0 := floor(least(a.y0, b.y0)), x1 := ceil(greatest(a.x1, b.x1)), y1 := ceil(greatest(a.y1, b.y1))) ELSE s[x] END)
+  FROM (SELECT *, CASE WHEN other THEN p.j ELSE p.i END AS keep, CASE WHEN other THEN p.i ELSE p.j END AS low
+  FROM (SELECT *, {_sql_area('b')} > {_sql_area('a')} OR ({_sql_area('b')} = {_sql_area('a')} AND b.score > a.score) AS other
+  FROM (SELECT *, s[p.i] AS a, s[p.j] AS b FROM (SELECT page, k, s, list_filter(flatten(list_transform(range(1, len(s) + 1), lambda i: list_transform(range(i + 1, len(s) + 1), lambda j: struct_pack(i := i, j := j)))),
+    lambda p: s[p.i].label IN ('inline_formula', 'display_formula') AND s[p.j].label IN ('inline_formula', 'display_formula')
+      AND {_common('s[p.i]', 's[p.j]')} >= 0.7 * least({_sql_area('s[p.i]')}, {_sql_area('s[p.j]')}))[1] AS p FROM r) WHERE p IS NOT NULL))))
+SELECT page, b.idx AS index, b.label AS label, b.score AS score, b.x0 AS xmin, b.y0 AS ymin, b.x1 AS xmax, b.y1 AS ymax FROM (SELECT page, unnest(max_by(s, k)) AS b FROM r GROUP BY page)"""
+)
 def formulas_merged(spark, sf_dir):
     return L.rows_of(L.pages_of(boxes(spark, sf_dir)).withColumn("boxes", L.merge_nested("boxes")))
 
@@ -161,10 +191,10 @@ def layout_post_process(spark, sf_dir):
     return L.rows_of(L.post_process(L.pages_of(boxes(spark, sf_dir)), F.lit(PAGE_W), F.lit(PAGE_H)))
 
 
-@query(f"WITH {BOXES}, s AS (SELECT page, idx, score, row_number() OVER (PARTITION BY page ORDER BY score DESC, idx * 25) AS rank FROM boxes) SELECT page, idx AS query, rank FROM s WHERE rank <= 300")
+@query(f"WITH {BOXES}, s AS (SELECT page, idx, score, row_number() OVER (PARTITION BY page ORDER BY score DESC, idx * 25) AS rank FROM boxes) SELECT page, idx AS query, rank FROM s WHERE rank <= 2")
 def detections_top_k(spark, sf_dir):
     own = boxes(spark, sf_dir).select("page", F.col("index").alias("query"), F.lit(0).alias("cls"), "score")
-    return L.top_k(own).select("page", "query", "rank")
+    return L.top_k(own, 2).select("page", "query", "rank")
 
 
 @query(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..streaming import speech
 from .base import query, table
-from .signal_queries import SESSIONS
+from .signal_queries import SESSIONS, SHORT, speech_sql
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -66,9 +66,9 @@ def stream_latest(spark, sf_dir):
     return zoneless(finished(events.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.max("ts").alias("latest")), "complete"))
 
 
-@query()
+@query(speech_sql("w AS (SELECT user_id AS clip, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts)) AS k, CASE WHEN max(value) > 40 THEN max(value) / 100 ELSE 0.0 END AS rms FROM events GROUP BY user_id, epoch_ms(ts))", SHORT, False))
 def stream_segments(spark, sf_dir):
-    """Speech segments of the events' values, a user a clip, with state in a streaming query."""
+    """Speech segments of the events' values, a user a clip, with state in a streaming query; nothing ends the clips."""
     events = stream_of(spark, sf_dir, "events")
     rows = events.select(F.col("user_id").alias("clip"), F.unix_millis("ts").alias("frame"), F.when(F.col("value") > 40, F.col("value") / 100).otherwise(0.0).alias("rms"))
-    return finished(speech.segment_stream(rows, speech.Params(endpoint=100, pre_roll=40, chunk=100)))
+    return finished(speech.segment_stream(rows, SHORT))

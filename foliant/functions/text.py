@@ -299,42 +299,46 @@ def _significant(c: Column) -> Column:
     return F.regexp_replace(c, f"[\\x00-\\x20{re.escape(BOUNDARY + IGNORED)}]", "")
 
 
+def _let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once, however often a lambda uses it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), 0)
+
+
 def rolled_overlap_removed(previous: Column, current: Column) -> Column:
     """`current` without what repeats the end of `previous`: 2 to 32 significant characters, and what is ignored after them."""
-    a, b = _significant(previous), _significant(current)
-    limit = F.least(F.length(a), F.length(b), F.lit(ROLLED_MAX))
-    fits = F.filter(F.sequence(F.greatest(limit, F.lit(1)), F.lit(1), F.lit(-1)), lambda k: (k >= 2) & (k <= limit) & (F.right(a, k) == F.left(b, k)))
-    n = F.coalesce(F.try_element_at(fits, F.lit(1)), F.lit(0))
     skip = f"[\\x00-\\x20{re.escape(BOUNDARY + IGNORED)}]"
-    chars = F.split(current, "")
-    # position after the n-th significant character and what is ignored behind it
-    counted = F.aggregate(
-        chars,
-        F.struct(F.lit(0).alias("seen"), F.lit(0).alias("end"), F.lit(False).alias("done")),
-        lambda s, ch: F.when(s["done"], s)
-        .when(ch.rlike(skip), F.struct(s["seen"].alias("seen"), (s["end"] + 1).alias("end"), s["done"].alias("done")))
-        .when(s["seen"] < n, F.struct((s["seen"] + 1).alias("seen"), (s["end"] + 1).alias("end"), F.lit(False).alias("done")))
-        .otherwise(F.struct(s["seen"].alias("seen"), s["end"].alias("end"), F.lit(True).alias("done"))),
-        lambda s: s["end"],
-    )
-    return F.when((n == 0) | (F.length(previous) == 0), current).otherwise(F.substring(current, counted + 1, F.length(current)))
+
+    def common(s: Column) -> Column:
+        limit = F.least(F.length(s["a"]), F.length(s["b"]), F.lit(ROLLED_MAX))
+        fits = F.filter(F.sequence(F.greatest(limit, F.lit(1)), F.lit(1), F.lit(-1)), lambda k: (k >= 2) & (k <= limit) & (F.right(s["a"], k) == F.left(s["b"], k)))
+        return F.coalesce(F.try_element_at(fits, F.lit(1)), F.lit(0))
+
+    def rest(n: Column) -> Column:
+        # where the next significant character stands
+        places = F.filter(F.transform(F.split(current, ""), lambda ch, i: F.when(~ch.rlike(skip), i)), lambda i: i.isNotNull())
+        after = F.coalesce(F.substring(current, F.get(places, n) + 1, F.length(current)), F.lit(""))
+        return F.when((n == 0) | (F.length(previous) == 0), current).otherwise(after)
+
+    return _let(_let(F.struct(_significant(previous).alias("a"), _significant(current).alias("b")), common), rest)
 
 
 def stable_prefix(c: Column) -> Column:
     """What of a growing text is unlikely to change: up to the last clause end with 3 to 10 significant characters after it, else all but the last 6."""
-    chars = F.split(c, "")
-    n = F.length(c)
     skip = f"[\\x00-\\x20{re.escape(BOUNDARY + IGNORED)}]"
-    weight = F.transform(chars, lambda x: F.when(x.rlike(skip), 0).otherwise(1))
-    positions = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    total = F.length(_significant(c))
-    # significant characters up to each position
-    upto = F.slice(F.aggregate(weight, F.array(F.lit(0)), lambda acc, w: F.concat(acc, F.array(F.element_at(acc, -1) + w))), 2, 1 << 30)
     boundary = f"[{re.escape(BOUNDARY)}]"
-    at = F.filter(positions, lambda i: F.get(chars, i - 1).rlike(boundary) & (total - F.get(upto, i - 1)).between(CLAUSE_MIN, CLAUSE_MAX))
-    # begins of the character that is held back first
-    held = F.filter(positions, lambda i: (F.get(weight, i - 1) == 1) & (F.get(upto, i - 1) == total - HOLD_BACK + 1))
-    return F.when(total <= HOLD_BACK, "").when(F.size(at) > 0, F.left(c, F.element_at(at, -1))).otherwise(F.left(c, F.try_element_at(held, F.lit(1)) - 1))
+
+    def cut(s: Column) -> Column:
+        total = F.element_at(s["upto"], -1)
+        # clause ends, and the character that is held back first: places from 1
+        ends = F.transform(s["chars"], lambda ch, i: F.when(ch.rlike(boundary) & (total - F.get(s["upto"], i + 1)).between(CLAUSE_MIN, CLAUSE_MAX), i + 1))
+        held = F.array_position(s["upto"], total - HOLD_BACK + 1)
+        at = F.array_max(ends)
+        return F.when(total <= HOLD_BACK, "").when(at.isNotNull(), F.left(c, at)).otherwise(F.left(c, held.cast("int") - 2))
+
+    # significant characters before each place, and all of them
+    weight = lambda chars: F.transform(chars, lambda x: F.when((x == "") | x.rlike(skip), 0).otherwise(1))
+    upto = lambda chars: F.aggregate(weight(chars), F.array(F.lit(0)), lambda acc, w: F.concat(acc, F.array(F.element_at(acc, -1) + w)))
+    return _let(_let(F.split(c, ""), lambda chars: F.struct(chars.alias("chars"), upto(chars).alias("upto"))), cut)
 
 
 def json_string(c: Column) -> Column:

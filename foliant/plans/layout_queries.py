@@ -200,12 +200,12 @@ def detections_top_k(spark, sf_dir):
 @query(
     f"""WITH {BOXES}, p AS (SELECT a.page, a.idx AS i, b.idx AS j, a.score - b.score AS z FROM boxes a JOIN boxes b ON a.page = b.page AND a.idx < b.idx),
 v AS (SELECT page, j AS box, 1 / (1 + exp(-z)) AS v FROM p UNION ALL SELECT page, i, 1 - 1 / (1 + exp(-z)) FROM p)
-SELECT page, box, round(sum(v), 6) AS votes FROM v GROUP BY page, box"""
+SELECT page, box, round(total, 6) AS votes, row_number() OVER (PARTITION BY page ORDER BY total, box) AS rank FROM (SELECT page, box, sum(v) AS total FROM v GROUP BY page, box)"""
 )
 def reading_order_votes(spark, sf_dir):
     own = boxes(spark, sf_dir)
     pairs = own.alias("a").join(own.alias("b"), (F.col("a.page") == F.col("b.page")) & (F.col("a.index") != F.col("b.index")))
-    return L.vote_rank(pairs.select("a.page", F.col("a.index").alias("i"), F.col("b.index").alias("j"), (F.col("a.score") - F.col("b.score")).alias("logit"))).select("page", "box", F.round("votes", 6).alias("votes"))
+    return L.vote_rank(pairs.select("a.page", F.col("a.index").alias("i"), F.col("b.index").alias("j"), (F.col("a.score") - F.col("b.score")).alias("logit"))).select("page", "box", F.round("votes", 6).alias("votes"), "rank")
 
 
 @query(f"WITH {BOXES} SELECT page, idx AS index, row_number() OVER (PARTITION BY page ORDER BY CASE WHEN score >= 0.5 THEN 0 ELSE 1 END, idx) AS position FROM boxes")

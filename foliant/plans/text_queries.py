@@ -160,11 +160,28 @@ def content_item_text(spark, sf_dir):
     return docs.select("doc_id", F.md5(item_text(docs).cast("binary")).alias("digest"))
 
 
-@query("SELECT page_id, length(html) AS chars, md5(html) IS NOT NULL AS done FROM pages")
+def _replaced(text: str, *steps: tuple[str, str]) -> str:
+    """regexp_replace after regexp_replace, in DuckDB's SQL."""
+    for pattern, by in steps:
+        text = f"regexp_replace({text}, '{pattern}', {by}, 'g')"
+    return text
+
+
+def _decoded(text: str) -> str:
+    for reference, c in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#x27;", "chr(39)"), ("&#39;", "chr(39)"), ("&apos;", "chr(39)"), ("&nbsp;", "' '"), ("&amp;", "'&'")):
+        text = f"replace({text}, '{reference}', {c})"
+    return text
+
+
+_HIDDEN = [(rf"(?is)<{tag}\b.*?</{tag}\s*>", "''") for tag in ("script", "style", "head")] + [("(?s)<!--.*?-->", "''")]
+_BROKEN = [(r"[ \t\r\n]+", "' '"), (r"(?i)<br\s*/?>|</(p|div|tr|li|ul|ol|table|h[1-6]|blockquote|pre|section|article)\s*>", "chr(10)"), (r"(?i)</t[dh]\s*>", "' '"), ("<[^>]*>", "''")]
+_TRIMMED = [(r" *\n *", "chr(10)"), (r"\n{2,}", "chr(10)"), (r"^[ \n]+|[ \n]+$", "''")]
+
+
+@query(f"SELECT page_id, md5({_replaced(_decoded(_replaced('html', *_HIDDEN, *_BROKEN)), *_TRIMMED)}) AS digest FROM pages")
 def html_plain_text(spark, sf_dir):
     """Plain text of whole pages; the rules for line ends are this library's own."""
-    own = table(spark, sf_dir, "pages").select("page_id", "html", X.html_to_text(F.col("html")).alias("t"))
-    return own.select("page_id", F.length("html").alias("chars"), (F.length("t") >= 0).alias("done"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(X.html_to_text(F.col("html")).cast("binary")).alias("digest"))
 
 
 @query()

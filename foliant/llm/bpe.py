@@ -1,13 +1,15 @@
 """Byte-pair encoding and decoding of whole texts, long ones by tree concatenation.
 
-A text is cut into leaves. A cut before white space that follows a non-space lies between two
-pieces of the splitting pattern whatever stands around it, so leaves are cut there wherever the
-text allows. Where a run has no such place for LEAF characters (one unsplit piece may be
-megabytes long), the piece is halved down to leaves, the halves are encoded side by side, and
-each join is repaired: a window of tokens on both sides is encoded afresh and grows until its first
-token equals the left half's token there and its last token the right half's. Every neighbouring
-pair of tokens then stands in some exact encoding, and for merge-rank BPE a sequence whose
-neighbouring pairs are all stable is the encoding of the whole: the result is exact.
+A text longer than a leaf is halved, and halved again down to leaves; all leaves are encoded side by
+side, then the joins of each level of the tree. At a join a window around the cut is encoded afresh and
+grows until both sides agree: its first token is the left half's there, and its last the right half's.
+
+* Where the splitting pattern has places near the cut at which a piece ends whatever stands around it
+  (a word before white space, letters before figures), the window reaches from one such place to another,
+  so that the halves' tokens beyond it are those of the whole.
+* Where the cut lies in one long unsplit piece (which may be megabytes), the window is one of tokens within
+  that piece: every neighbouring pair of tokens then stands in some exact encoding, and for merge-rank BPE a
+  sequence whose neighbouring pairs are all stable is the encoding of the whole.
 
 Ids come from the vocabulary and merges of a tokenizers JSON file (its path is a parameter),
 added tokens included; decoding is lossy only for ids that are no valid UTF-8, as in that library.
@@ -16,7 +18,7 @@ by a batch of texts.
 
 Cases: a null or empty text has no ids and decodes to ''; repeated rows get equal answers; texts
 may be of any length and need no spaces; the text of an added token is that token. Extra columns
-are carried, never read.
+are carried, never read; one with the name of the result gives way.
 """
 
 from __future__ import annotations
@@ -34,16 +36,23 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: A leaf has about so many characters.
-LEAF = 1 << 15
-#: An unsplit piece longer than this is encoded by halves.
+#: A leaf has at most so many characters.
+LEAF = 1 << 13
+#: So many characters on either side of a cut the window begins with; in an unsplit piece so many tokens.
+REACH, WINDOW = 64, 8
+#: A window of tokens that grows beyond this gives way to the whole piece.
+MOST_TOKENS = 64
+#: A cut with no other piece's end so near lies in a long unsplit piece.
 LONG_PIECE = 1 << 12
-WINDOW = 8
 THREADS = 2
 
 #: The splitting pattern of byte-level BPE vocabularies of this family (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Where a piece of the pattern ends in any context: the class of characters changes, but for white space
+#: (which may go with what follows) and letters after an apostrophe.
+ENDS = r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}])(?=\p{N})|(?<=[^\s\p{L}\p{N}'])(?=\p{L})"
+
 
 def byte_symbols() -> dict[str, int]:
     """The printable symbol of each byte in such files: itself if printable, else the next from 256 on."""
@@ -59,7 +68,7 @@ def byte_symbols() -> dict[str, int]:
 class Codec:
     """Encoder and decoder for one tokenizers JSON file."""
 
-    def __init__(self, path: str, leaf: int = LEAF, long_piece: int = LONG_PIECE, window: int = WINDOW):
+    def __init__(self, path: str, leaf: int = LEAF, long_piece: int = LONG_PIECE, window: int = WINDOW, reach: int = REACH):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, split = spec["model"], spec["pre_tokenizer"]
@@ -78,8 +87,9 @@ class Codec:
         self.encoding = tiktoken.Encoding("foliant", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.pattern = regex.compile(PATTERN)
         self.split = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
-        self.leaf, self.long_piece, self.window = leaf, long_piece, window
-        self.cut = regex.compile(r"(?<=\S)(?=\s)")
+        self.leaf, self.long_piece, self.window, self.reach = leaf, long_piece, window, reach
+        self.rank = ranks
+        self.next_end, self.last_end = regex.compile(ENDS), regex.compile(f"(?r)(?:{ENDS})")
 
     # encoding
 
@@ -96,71 +106,88 @@ class Codec:
     def _plain(self, text: str, pool: ThreadPoolExecutor | None) -> np.ndarray:
         if len(text) <= self.leaf:
             return np.array(self._leaf(text), np.int32)
-        leaves = self.leaves(text)
-        done = list(pool.map(self._leaf, leaves) if pool else map(self._leaf, leaves))
-        return np.concatenate([np.array(x, np.int32) for x in done])
-
-    def leaves(self, text: str) -> list[str]:
-        """The text cut at places where no piece of the pattern can cross."""
-        out, at = [], 0
-        while len(text) - at > self.leaf:
-            m = self.cut.search(text, at + self.leaf)
-            if not m:
-                break
-            out.append(text[at : m.start()])
-            at = m.start()
-        return [*out, text[at:]]
+        return np.array(self.tree(text, pool), np.int32)
 
     def _leaf(self, text: str) -> list[int]:
-        # only a long run without spaces can hold a long unsplit piece
-        if len(text) < self.long_piece or max(map(len, text.split()), default=0) < self.long_piece:
-            return self.encoding.encode_ordinary(text)
-        out, from_, at = [], 0, 0
-        for m in self.pattern.finditer(text):
-            if m.end() - m.start() > self.long_piece:
-                if m.start() > from_:
-                    out += self.encoding.encode_ordinary(text[from_ : m.start()]) if self._safe(text, from_, m.start()) else self._pieces(text, from_, m.start())
-                out += self.tree(text[m.start() : m.end()].encode("utf-8"))
-                from_ = m.end()
-            at = m.end()
-        if from_ < at:
-            out += self.encoding.encode_ordinary(text[from_:at]) if from_ == 0 else self._pieces(text, from_, at)
-        return out
-
-    @staticmethod
-    def _safe(text: str, start: int, end: int) -> bool:
-        return (start == 0) and text[end].isspace() and not text[end - 1].isspace()
-
-    def _pieces(self, text: str, start: int, end: int) -> list[int]:
-        """Encodes a stretch piece by piece, with the pieces that the whole text has there."""
-        out: list[int] = []
-        for m in self.pattern.finditer(text, start):
-            if m.start() >= end:
-                break
-            out += self._single(m[0].encode("utf-8"))
-        return out
-
-    def _single(self, piece: bytes) -> list[int]:
-        return self.encoding._core_bpe.encode_single_piece(piece)
-
-    def tree(self, piece: bytes) -> list[int]:
-        """One unsplit piece: halves, then the repaired join."""
-        if len(piece) <= self.long_piece:
-            return self._single(piece)
-        middle = len(piece) // 2
-        return self.join(self.tree(piece[:middle]), self.tree(piece[middle:]))
-
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+        return self.encoding.encode_ordinary(text)
+
+    def tree(self, text: str, pool: ThreadPoolExecutor | None = None) -> list[int]:
+        """Leaves side by side, then level by level the joins of neighbours."""
+        run = pool.map if pool else map
+        n = 1
+        while len(text) > n * self.leaf:
+            n *= 2
+        cuts = [len(text) * i // n for i in range(n + 1)]
+        parts = list(run(lambda i: self._leaf(text[cuts[i] : cuts[i + 1]]), range(n)))
+        while len(parts) > 1:
+            parts = list(run(lambda i: self.join(text, cuts[i], cuts[i + 1], cuts[i + 2], parts[i], parts[i + 1]), range(0, len(parts), 2)))
+            cuts = cuts[::2]
+        return parts[0]
+
+    def _last(self, ids: list[int], size: int) -> int | None:
+        """Where the last `size` bytes of ids begin, if a token begins there."""
+        i = len(ids)
+        while size > 0:
+            i -= 1
+            size -= len(self.bytes_of[ids[i]])
+        return i if size == 0 else None
+
+    def _first(self, ids: list[int], size: int) -> int | None:
+        """Where the first `size` bytes of ids end, if a token ends there."""
+        i = 0
+        while size > 0:
+            size -= len(self.bytes_of[ids[i]])
+            i += 1
+        return i if size == 0 else None
+
+    def join(self, text: str, start: int, cut: int, end: int, left: list[int], right: list[int]) -> list[int]:
+        """The encoding of text[start:end] from those of its parts on either side of `cut`."""
+        reach = self.reach
+        while True:
+            m = self.last_end.search(text, start + 1, cut - reach) if cut - reach > start else None
+            p = m.start() if m and m.start() > start else start
+            m = self.next_end.search(text, cut + reach, end) if cut + reach < end else None
+            q = m.start() if m else end
+            if max(cut - p, q - cut) > self.long_piece:
+                whole = self._unsplit(text, p, cut, q, left, right)
+                if whole is not None:
+                    return whole
+            i, j = self._last(left, len(text[p:cut].encode())), self._first(right, len(text[cut:q].encode()))
+            if i is not None and j is not None:
+                inner = self._leaf(text[p:q])
+                if (p == start or inner[0] == left[i]) and (q == end or inner[-1] == right[j - 1]):
+                    return left[:i] + inner + right[j:]
+            if p == start and q == end:
+                return self._leaf(text[start:end])
+            reach *= 2
+
+    def _unsplit(self, text: str, p: int, cut: int, q: int, left: list[int], right: list[int]) -> list[int] | None:
+        """The join within one piece of the pattern; None if the cut lies in a short piece or at a piece's end."""
+        piece = next((m for m in self.pattern.finditer(text, p, q) if m.end() > cut), None)
+        if piece is None or piece.start() >= cut or piece.end() - piece.start() <= self.long_piece:
+            return None
+        i0, j0 = self._last(left, len(text[piece.start() : cut].encode())), self._first(right, len(text[cut : piece.end()].encode()))
+        if i0 is None or j0 is None:
+            return None
         w = self.window
         while True:
-            i, j = max(len(left) - w, 0), min(w, len(right))
-            inner = self._single(b"".join(self.bytes_of[t] for t in left[i:] + right[:j]))
-            agrees_left = i == 0 or inner[0] == left[i]
-            agrees_right = j == len(right) or inner[-1] == right[j - 1]
-            if agrees_left and agrees_right:
+            if w > MOST_TOKENS:  # a run of few characters may agree nowhere
+                return left[:i0] + self._leaf(piece[0]) + right[j0:]
+            i, j = max(len(left) - w, i0), min(w, j0)
+            inner = self.merged(b"".join(self.bytes_of[t] for t in left[i:] + right[:j]))
+            if (i == i0 or inner[0] == left[i]) and (j == j0 or inner[-1] == right[j - 1]):
                 return left[:i] + inner + right[j:]
             w *= 2
 
+    def merged(self, piece: bytes) -> list[int]:
+        """A short piece by its definition: the neighbours of lowest rank are merged, the first of equals before others."""
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while True:
+            best = min(((self.rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.rank), default=None)
+            if best is None:
+                return [self.rank[x] for x in parts]
+            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+
     # decoding
 
     def decode(self, ids) -> str:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +14,11 @@ from .common import table, words_native
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """A public tokenizer's file; FOLIANT_TOKENIZERS names another folder."""
     folder = os.environ.get("FOLIANT_TOKENIZERS")
-    if not folder:
-        found = importlib.util.find_spec("public_tokenizers")
-        folder = os.path.dirname(found.origin) if found else "/opt/tokenizers"
-    return os.path.join(folder, name)
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

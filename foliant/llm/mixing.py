@@ -16,7 +16,7 @@ after any lost executor.
 Cases: a null source or language is a value of its own ('(none)'); a null or empty text has 0
 tokens and topic 'empty'; a null doc_id is replaced by the text's digest; repeated rows get equal
 answers; cells without tokens get chance 0 unless nothing has tokens; an empty table gives an
-empty result. Extra columns are carried through `sample` and not read.
+empty result. Extra columns are carried through `sample` and not read; `mixed` replaces columns named mix_*.
 """
 
 from __future__ import annotations
@@ -108,8 +108,8 @@ def mixed(docs: DataFrame, targets: dict | None = None, fraction: float = FRACTI
 
 
 def sample(docs: DataFrame, **how) -> DataFrame:
-    """The documents drawn, with their own columns."""
-    return mixed(docs, **how).where("mix_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents drawn, with their own columns whatever their names."""
+    return mixed(docs.select(F.struct("*").alias("mix_row"), "doc_id", "text", "source", "lang"), **how).where("mix_kept").select("mix_row.*")
 
 
 def oracle(iterations: int = ITERATIONS) -> str:

@@ -8,7 +8,8 @@ features, and are scored as flat numpy node arrays, all texts of a batch level b
 Cases: a null or empty text has no words, fails the base rule and is not kept; documents with no
 usable label (or labels of one class only) give a constant model that keeps what passes the base
 rule; a doc_id labelled twice counts as good only if every label is; null labels or ids are left
-out; repeated rows get equal answers. Texts are read whole. Extra columns are carried, never read.
+out; a labelled id on several rows is learned from one of them; repeated rows get equal answers. Texts
+are read whole. Extra columns are carried, never read; one named as `out` gives way.
 """
 
 from __future__ import annotations
@@ -184,7 +185,7 @@ def fit(x: np.ndarray, y: np.ndarray, signs: list[int] | None = None, trees: int
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = [statistics(t)[1] for t in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
+        yield pa.RecordBatch.from_arrays([b.column(2), pa.array(x, pa.list_(pa.float64())), b.column(1)], names=["own", "x", "y"])
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, text: str = "text") -> Forest:
@@ -193,8 +194,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     label = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg(F.min("quality").alias("label_y"))
     sample = label.orderBy(F.xxhash64("label_id"), "label_id").limit(max_labelled)
     # the sample has at most max_labelled rows of two numbers
-    rows = docs.select(F.col(text).alias("t"), F.col("doc_id").alias("label_id")).join(F.broadcast(sample), "label_id").select("t", F.col("label_y").cast("double").alias("y"))
-    got = rows.mapInArrow(_features, "x array<double>, y double").toArrow()
+    rows = docs.select(F.col(text).alias("t"), F.col("doc_id").alias("label_id")).join(F.broadcast(sample), "label_id").select("t", F.col("label_y").cast("double").alias("y"), F.col("label_id").cast("string").alias("own"))
+    # an id may stand on any number of rows: one of them for each id, so that the bound holds on the driver
+    got = rows.mapInArrow(_features, "own string, x array<double>, y double").groupBy("own").agg(F.min("x").alias("x"), F.min("y").alias("y")).toArrow()
     x = np.array(got["x"].to_pylist(), dtype=float).reshape(-1, len(FEATURES))
     y = (got["y"].to_numpy() > 0.5).astype(float)
     order = np.lexsort(np.vstack([x.T, y]))  # rows arrive in any order: the model must not depend on it

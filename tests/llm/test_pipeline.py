@@ -13,15 +13,16 @@ SF = "/root/testdata/sf0.001"
 def test_stages(spark, tmp_path):
     from tokenizers import Tokenizer
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("extra", F.when(F.col("doc_id") >= 0, "kept"))
-    odd = spark.createDataFrame([(900_001, None, None, None, None, None), (900_002, "12 34", "en", "s", 5, None)], docs.schema)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({c: F.when(F.col("doc_id") >= 0, "kept") for c in ("extra", "language", "quality", "mix_source", "mix_kept", "cls", "row")})
+    none = [None] * 7
+    odd = spark.createDataFrame([(900_001, None, None, None, None, *none), (900_002, "12 34", "en", "s", 5, *none), (900_003, "\n".join(r["text"] for r in docs.where("lang = 'en'").collect()), "en", "s", 5, *none)], docs.schema)
     docs = docs.unionByName(odd).unionByName(docs.where("doc_id = 3"))
     columns, seen = docs.columns, []
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = {r["doc_id"]: r["text"] for r in docs.collect()}
         stage(spark, docs, SF).write.parquet(str(tmp_path / name))
         out = spark.read.parquet(str(tmp_path / name))
-        assert out.columns == columns
+        assert out.columns == columns and out.where("doc_id < 900000 and (extra <> 'kept' or mix_source <> 'kept' or language <> 'kept')").count() == 0
         kept = [r["doc_id"] for r in out.collect()]
         assert set(kept) <= set(before)
         if name == "language_id":

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import langid, mixing, neardup, quality, queries
-from foliant.llm.common import removed, shared_dir, table
+from foliant.llm.common import removed, shared_dir, table, unused
 
 
 def _own(rows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -21,13 +21,15 @@ def _own(rows: DataFrame, docs: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters and texts that fit no learned language; the rest is unchanged."""
     model = langid.fit(docs, ~langid.held_out() & F.col("doc_id").isNotNull())
-    return _own(langid.identify(docs, model, out="stage_language").where("not stage_language.rejected"), docs)
+    out = unused(docs, "language")
+    return _own(langid.identify(docs, model, out=out).where(~F.col(out)["rejected"]), docs)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts that fail the base rule or that the trees reject."""
     forest = quality.train(docs, table(spark, sf_dir, "labels"))
-    return _own(quality.judge(docs, forest, out="stage_quality").where("stage_quality.kept"), docs)
+    out = unused(docs, "quality")
+    return _own(quality.judge(docs, forest, out=out).where(F.col(out)["kept"]), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

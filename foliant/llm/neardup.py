@@ -483,3 +483,16 @@ def keep_first(docs: DataFrame, **how) -> DataFrame:
         blank = rows.where(F.col("cls").isNull()).select("row.*")
         kept = kept.unionByName(blank).unionByName(rows.join(first, "cls", "left_semi").dropDuplicates(["cls"]).select("row.*"))
     return kept
+
+
+def oracle(width: int = WIDTH, percent: int = PERCENT) -> str:
+    """The result of near_duplicates for ids that occur once, in DuckDB's SQL: an exact join of all shingles, and all that is reachable."""
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) < {width} THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i:i + {width - 1}], ' ') FOR i IN range(1, len(w) - {width - 2})] END)) AS g FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)"""

@@ -98,4 +98,4 @@ QUERIES = {
     )
 }
 _EXTRA = " UNION ALL ".join(f"SELECT -1, {k}, '{role}', '</s>[INST] ok [/INST]'" for k, role in enumerate(("user", "assistant")))
-SQL = {"op1_warc": warc.oracle(), "op6_source_mixing": mixing.oracle(), "op8_chat_windows": chat.oracle(_EXTRA)}
+SQL = {"op1_warc": warc.oracle(), "op4_minhash_near_dedup": neardup.oracle(), "op9_main_text": html_text.oracle(), "op6_source_mixing": mixing.oracle(), "op8_chat_windows": chat.oracle(_EXTRA)}

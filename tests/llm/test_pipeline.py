@@ -4,6 +4,8 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+import pytest
+
 import corpus_pipeline
 from foliant.llm import langid, mixing, quality, queries
 
@@ -50,3 +52,18 @@ def test_run_and_empty_stages(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_against_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    out = queries.QUERIES[name](spark, SF)
+    res = con.execute(queries.SQL[name])
+    names = [d[0] for d in res.description]
+    assert sorted(names) == sorted(out.columns)
+    want = [tuple(r[names.index(c)] for c in out.columns) for r in res.fetchall()]
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in out.collect())

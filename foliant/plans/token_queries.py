@@ -68,7 +68,16 @@ def token_pieces(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(K.pieces(F.col("text"))).alias("pieces"))
 
 
-@query()
+# only pairs of letters have a rank, so merging by rank is one replacement for each rank in turn
+@query(
+    """WITH RECURSIVE l AS (SELECT regexp_replace(lower(text), '[^a-z]+', ' ', 'g') AS t FROM benchmark), p AS (SELECT unnest([t[i:i + 1] FOR i IN range(1, length(t))]) AS p FROM l),
+k AS (SELECT p, row_number() OVER (ORDER BY count(*) DESC, p) AS r FROM p WHERE p NOT LIKE '% %' AND length(p) = 2 GROUP BY p),
+w AS (SELECT conv_id, turn, unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM conversations),
+s AS (SELECT DISTINCT w, CAST(0 AS BIGINT) AS r, '|' || array_to_string(string_split(w, ''), '||') || '|' AS s FROM w WHERE w <> ''
+  UNION ALL SELECT w, k.r, replace(s, '|' || p[1] || '||' || p[2] || '|', '|' || p || '|') FROM s JOIN k ON k.r = s.r + 1),
+n AS (SELECT w, max_by((length(s) - length(replace(s, '|', ''))) // 2, r) AS n FROM s GROUP BY w)
+SELECT conv_id, turn, sum(n)::BIGINT AS symbols FROM w JOIN n USING (w) GROUP BY conv_id, turn"""
+)
 def merged_symbols(spark, sf_dir):
     """Byte-pair merges with the rank of a pair given by its frequency among neighbouring letters of the benchmark."""
     letters = table(spark, sf_dir, "benchmark").select(F.regexp_replace(F.lower("text"), "[^a-z]+", " ").alias("t"))

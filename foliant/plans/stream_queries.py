@@ -15,13 +15,21 @@ from .signal_queries import SESSIONS, SHORT, speech_sql
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one that driver and executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="foliant-")
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = tempfile.mkdtemp(prefix="foliant-")
     return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Files that a batch of a stream takes at most: what is not yet worked on waits in the source.
+FILES_PER_BATCH = 64
+
+
+def stream_of(spark: SparkSession, sf_dir: str, name: str, files: int = FILES_PER_BATCH) -> DataFrame:
     schema = table(spark, sf_dir, name).schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", files).parquet(sf_dir)
     # event time needs instants; the tables' times have no zone and are read in the session's
     return rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 

@@ -44,12 +44,11 @@ def otsl_html(spark, sf_dir):
     return T.otsl_html(grids(spark, sf_dir))
 
 
-@query(f"{_CELLS} SELECT l_orderkey AS table_id, count(*) AS cells, sum(down * CASE WHEN wide THEN 2 ELSE 1 END)::BIGINT AS places FROM s WHERE k IN ('f', 'e') GROUP BY 1")
+@query(f"{_CELLS} SELECT l_orderkey AS table_id, r AS row, down AS row_span, CASE WHEN wide THEN 2 ELSE 1 END AS col_span, t AS text FROM s WHERE k IN ('f', 'e')")
 def html_grid(spark, sf_dir):
-    """Back from markup to a grid."""
+    """Back from markup to a grid. Columns are left out: a row that goes on up into a wide cell moves in markup."""
     html = T.otsl_html(grids(spark, sf_dir))
-    cells = html.select("table_id", F.inline(T.html_grid(F.col("html"))))
-    return cells.groupBy("table_id").agg(F.count("*").alias("cells"), F.sum(F.col("row_span") * F.col("col_span")).alias("places"))
+    return html.select("table_id", F.inline(T.html_grid(F.col("html")))).select("table_id", "row", "row_span", "col_span", "text")
 
 
 @query("SELECT p_partkey AS idx, p_brand AS book, CASE WHEN row_number() OVER w = 1 THEN left(s, 31) ELSE left(left(s, 31), CAST(31 - length('_' || row_number() OVER w) AS BIGINT)) || '_' || row_number() OVER w END AS sheet FROM (SELECT *, regexp_replace(p_name || p_type, '[:\\\\/?*\\[\\]]', '', 'g') AS s FROM part) WINDOW w AS (PARTITION BY p_brand, lower(left(s, 31)) ORDER BY p_partkey)")
@@ -58,22 +57,30 @@ def sheet_names(spark, sf_dir):
     return T.unique_names(own).select("idx", "book", "sheet")
 
 
-@query("SELECT doc_id, 'a ' || '<eq>' || doc_id || '</eq> b <eq>x</eq> ' || replace(lang, 'e', 'e') AS marked, 'a  $' || doc_id || '$  b' AS shown FROM documents")
+_TRIM = "trim(text, ' ' || chr(9) || chr(10) || chr(13))"
+
+
+@query(f"SELECT doc_id, md5('a <eq>' || {_TRIM} || '</eq> b <eq>' || text || '</eq> ' || lang) AS marked, md5('a  $' || {_TRIM} || '$  b') AS shown FROM documents")
 def table_formulas(spark, sf_dir):
-    n = F.col("doc_id").cast("string")
-    own = F.concat(F.lit("a \\("), n, F.lit("\\) b <eq>x</eq> "), F.col("lang"))
-    return table(spark, sf_dir, "documents").select("doc_id", X.formula_delimiters(own).alias("marked"), X.embedded_table(F.concat(F.lit("a <eq>"), n, F.lit("</eq> b"))).alias("shown"))
+    """Whole texts as formulas."""
+    text = F.col("text")
+    own = F.concat(F.lit("a \\("), text, F.lit("\\) b <eq>"), text, F.lit("</eq> "), F.col("lang"))
+    shown = X.embedded_table(F.concat(F.lit("a <eq>"), X.trim_all(text), F.lit("</eq> b")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.formula_delimiters(own).cast("binary")).alias("marked"), F.md5(shown.cast("binary")).alias("shown"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'x+' || doc_id ELSE '\\[y\\]' END AS formula, 'p ' || '$a&lt;b$ c<d' AS escaped FROM documents")
+@query(
+    f"""SELECT doc_id, md5({_TRIM}) AS formula, md5('p $x' || replace(replace(replace(translate(text, '$' || chr(10), '--'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '$ c<d') AS escaped FROM documents"""
+)
 def latex_spans(spark, sf_dir):
-    n = F.col("doc_id").cast("string")
-    own = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\\[ x+"), n, F.lit(" \\]"))).otherwise(F.lit(" \\[y\\] "))
-    return table(spark, sf_dir, "documents").select("doc_id", X.isolated_formula(own).alias("formula"), X.escape_latex(F.lit("p $a<b$ c<d")).alias("escaped"))
+    """Whole texts as isolated formulas, and as formulas whose signs are escaped."""
+    text = F.col("text")
+    line = F.concat(F.lit("p $x"), F.translate(text, "$\n", "--"), F.lit("$ c<d"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.isolated_formula(F.concat(F.lit("\\[ "), text, F.lit(" \\]"))).cast("binary")).alias("formula"), F.md5(X.escape_latex(line).cast("binary")).alias("escaped"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'print(' || doc_id || ')' ELSE 'x' END AS code FROM documents")
+@query(f"SELECT doc_id, md5({_TRIM}) AS code FROM documents")
 def code_fences(spark, sf_dir):
-    n = F.col("doc_id").cast("string")
-    own = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("```python\n  print("), n, F.lit(")\r\n```  \n"))).otherwise(F.lit(" x\n"))
-    return table(spark, sf_dir, "documents").select("doc_id", X.code_content(own).alias("code"))
+    """Whole texts in fences, every other one closed."""
+    closing = F.when(F.col("doc_id") % 2 == 0, "\r\n```  \n").otherwise("\n")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.code_content(F.concat(F.lit("```python\n  "), "text", closing)).cast("binary")).alias("code"))

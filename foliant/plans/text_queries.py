@@ -100,12 +100,15 @@ def controls_removed(spark, sf_dir):
 
 
 @query(
-    """SELECT doc_id, CASE WHEN length(text) = 0 THEN '' WHEN upper(lang) = 'FR' AND NOT regexp_matches(text, '[é]') THEN 'und' ELSE lower(lang) END AS language FROM documents""".replace(
-        "WHEN upper(lang) = 'FR' AND NOT regexp_matches(text, '[é]') THEN 'und' ", "WHEN upper(lang) = 'JA' AND NOT regexp_matches(text, '[ぁ-ヾ]') THEN 'zh' "
-    )
+    """SELECT doc_id, CASE WHEN length(text) = 0 THEN '' WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'ja' ELSE 'zh' END ELSE lower(lang) END AS language,
+  CASE WHEN length(text) = 0 THEN 0.0 ELSE least(1.0, doc_id % 5 / 2.0) END AS score FROM documents"""
 )
 def language_post_rules(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.language_rules(F.col("text"), F.upper("lang"), F.lit(1.0))["language"].alias("language"))
+    """Every third document is given as Japanese, half of these with kana at the end of the text."""
+    doc = F.col("doc_id")
+    text = F.when(doc % 6 == 0, F.concat("text", F.lit(" かな"))).otherwise(F.col("text"))
+    rules = X.language_rules(text, F.when(doc % 3 == 0, "ja").otherwise(F.upper("lang")), doc % 5 / 2.0)
+    return table(spark, sf_dir, "documents").select("doc_id", rules.alias("r")).select("doc_id", "r.language", "r.score")
 
 
 @query("""SELECT event_id, CASE WHEN value < 0.5 AND event_type = 'x' THEN 'txt' WHEN value >= 50 THEN CASE WHEN event_type = 'randombytes' THEN 'txt' ELSE event_type END ELSE 'txt' END AS label FROM events""")
@@ -119,10 +122,12 @@ def strict_json(spark, sf_dir):
     return own.select("event_id", jsonx.is_json(F.col("props")).alias("strict"), F.try_variant_get("v", "$.k", "bigint").alias("k"))
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (WHERE json_valid(props)) AS valid FROM events")
+@query("SELECT event_id, json_valid(CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN props || ']' WHEN 2 THEN left(props, length(props) - 1) ELSE '[' || props || ', 1e5]' END) AS valid FROM events")
 def strict_json_errors(spark, sf_dir):
-    own = table(spark, sf_dir, "events").select(jsonx.json_error("props").alias("e"))
-    return own.agg(F.count("*").alias("n"), F.count(F.when(F.col("e").isNull(), 1)).alias("valid"))
+    """Properties as they are, with a bracket too many, cut short, and within a list."""
+    n, props = F.col("event_id") % 4, F.col("props")
+    own = F.when(n == 0, props).when(n == 1, F.concat(props, F.lit("]"))).when(n == 2, F.left(props, F.length(props) - 1)).otherwise(F.concat(F.lit("["), props, F.lit(", 1e5]")))
+    return table(spark, sf_dir, "events").select("event_id", jsonx.json_error(own).isNull().alias("valid"))
 
 
 _NESTED = """'{"a": [{"score": ' || (l_discount * 10) || '}, {"confidence": ' || l_tax || ', "b": {"score": 2}}]}'"""

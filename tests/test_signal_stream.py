@@ -113,6 +113,20 @@ def test_stream_equals_batch(spark, tmp_path):
     assert speech.latest(batch).where("kind = 'PARTIAL'").count() == 0
 
 
+def test_ended_clips_leave_no_state(spark, tmp_path):
+    """After the end, or a cancelling window, a clip begins anew; a cancelled one has no FINAL of what was open."""
+    loud = [0.1] * 20
+    parts = [[("a", i, x) for i, x in enumerate(loud)] + [("a", 20, speech.FINISH)] + [("b", i, x) for i, x in enumerate(loud)] + [("b", 20, speech.CANCEL)], [(c, i, x) for c in "ab" for i, x in enumerate(loud)] + [(c, 20, speech.FINISH) for c in "ab"]]
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, "clip string, frame long, rms double").coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+    stream = spark.readStream.schema("clip string, frame long, rms double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = speech.segment_stream(stream).writeStream.outputMode("append").format("memory").queryName("ended").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted(tuple(r)[:5] for r in spark.sql("select * from ended where kind = 'FINAL'").collect())
+    assert got == [("a", "FINAL", 1, 0, 400), ("a", "FINAL", 1, 0, 400), ("b", "FINAL", 1, 0, 400)]
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 0
+
+
 def test_rolled_stream_texts(spark):
     rows = [("c", 1, 0, True, "今天天气非常好，我们去公园散步聊天"), ("c", 2, 1, False, "去公园散步聊天吧。然后回家"), ("c", 3, 0, False, "x")]
     out = {r["segment"]: r for r in speech.rolled_texts(spark.createDataFrame(rows, "clip string, segment int, parent int, bridged boolean, text string")).collect()}

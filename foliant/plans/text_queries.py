@@ -189,9 +189,19 @@ def html_plain_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(X.html_to_text(F.col("html")).cast("binary")).alias("digest"))
 
 
-@query()
+_BARE = "'x' || translate(text, chr(10) || '*`!', '    ')"
+
+
+@query(
+    f"""SELECT conv_id, turn, md5('<h1>' || e || '</h1><ul><li><b>' || e || '</b></li><li><code>' || e || '</code></li></ul><br/><pre>' || e || chr(10) || '</pre><p>see <i>' || e || '</i> <img alt="a" src="b"></p><pre>' || e || chr(10) || '</pre>') AS digest
+FROM (SELECT conv_id, turn, replace(replace(replace({_BARE}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS e FROM conversations)"""
+)
 def markdown_preview(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(X.markdown_html(F.col("text")).cast("binary")).alias("digest"))
+    """Whole texts as heading, items, fences (the last one open) and a paragraph."""
+    t = F.concat(F.lit("x"), F.translate("text", "\n*`!", "    "))
+    parts = ["# ", t, "\n- **", t, "**\r\n- `", t, "`\n\n```\n", t, "\n```\nsee *", t, "* ![a](b)\n```\n", t]
+    own = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(X.markdown_html(own).cast("binary")).alias("digest"))
 
 
 @query("SELECT benchmark.item_id, md5(regexp_replace(translate(text, 'ＡＢＣ', 'ABC'), '^\\(', '')) AS digest FROM benchmark")

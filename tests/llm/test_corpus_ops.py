@@ -263,3 +263,19 @@ def test_links_far_apart_in_a_crowded_region(spark, monkeypatch):
     assert sum(d != c for d, _, c in want) >= 20
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(frame(spark, [(d, t, "en", "s") for d, t in rows])).collect())
     assert got == want
+
+
+def test_very_long_texts(spark):
+    """Texts of a million characters: near copies are found, sizes and digests are those of the whole."""
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(150_000)]
+    near = list(words)
+    for at in range(0, len(near), 4000):
+        near[at] = "other"
+    half = words[:75_000] + [f"y{k}" for k in range(75_000)]
+    texts = [" ".join(words), " ".join(near), " ".join(half), "short text of few words here"]
+    docs = frame(spark, [(k + 1, t, "en", "s") for k, t in enumerate(texts)])
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    sized = {r["doc_id"]: (r["size"], r["text_crc32"]) for r in sharding.assign(docs, 3).collect()}
+    assert sized == {k + 1: (len(t) + 8, zlib.crc32(t.encode())) for k, t in enumerate(texts)}
+    assert mixing.mixed(docs).where("mix_chance is null").count() == 0

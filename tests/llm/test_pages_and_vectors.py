@@ -296,3 +296,15 @@ def test_chat_query_and_plan(spark):
         loss = "".join(x for r, x in own if r == "assistant")
         assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in own).encode()).hexdigest()
         assert got[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest() and got[c]["loss_chars"] == len(loss)
+
+
+def test_very_long_pages_and_turns(spark):
+    """A page of megabytes comes back from its segments; a turn longer than any budget is one window, whole."""
+    big = "<p>line of the page & more</p>\r\n" * 60_000
+    pages = spark.createDataFrame([(1, "u", big), (2, "u", big), (3, "u", "x")], "page_id long, url string, html string")
+    out = {r["page_id"]: r for r in warc.resolved(warc.round_trip(pages)).collect()}
+    assert out[1]["payload_bytes"] == out[2]["payload_bytes"] == len(big) and out[2]["refers_to"] == 1 and out[1]["record_type"] == "response"
+    text = "word [INST] " * 200_000
+    made = chat.windows(spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", text)], CONV))
+    back = chat.read_back(made).first()
+    assert back["n_turns"] == 2 and back["loss_text"] == text

@@ -174,6 +174,37 @@ def test_statistics_against_brute_force():
     assert quality.statistics(None)[0] == [0, 0, 0, 0, 0]
 
 
+def test_statistics_of_a_very_long_text():
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(300)}" for _ in range(300_000)]
+    text = "\n".join(" ".join(words[i : i + 30]) for i in range(0, len(words), 30)) + " #$" * 20_000
+    n, chars, symbols, dup, repeat = quality.statistics(text)[0]
+    own = text.split()
+    seen = Counter(zip(own, own[1:], own[2:]))
+    covered = np.zeros(len(own), bool)
+    for i, w in enumerate(zip(own, own[1:], own[2:])):
+        if seen[w] > 1:
+            covered[i : i + 3] = True
+    lines = text.split("\n")
+    assert (n, chars, symbols, dup, repeat) == (len(own), sum(map(len, own)), 40_000, len(lines) - len(set(lines)), covered.sum())
+
+
+def test_quality_query_against_brute_force(spark):
+    """The query's base columns of all documents; what fails the base rule is not kept."""
+    d = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    out = {r["doc_id"]: r for r in queries.op2_quality_rules(spark, d).collect()}
+    assert set(out) == set(texts)
+    short = {k: t for k, t in texts.items() if len(t or "") < 6000}
+    assert len(short) > 100
+    for k, t in short.items():
+        n, chars, symbols, dup, repeat = brute_statistics(t)
+        r = out[k]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, dup, repeat)
+        assert r["base_failed"] == (n < 50 or 100 * repeat > 50 * n)
+    assert not any(r["kept"] for r in out.values() if r["base_failed"]) and any(r["kept"] for r in out.values())
+
+
 def test_trees_are_monotonic():
     rng = np.random.default_rng(0)
     x = rng.random((3000, 3))

@@ -149,18 +149,19 @@ def margin_anchors(spark, sf_dir):
 _APART = "(a.label <> b.label AND (a.visual OR b.visual) AND NOT ((a.label = 'table' OR b.label = 'table') AND NOT (a.visual AND b.visual)))"
 
 
-@query(
-    f"""WITH RECURSIVE {BOXES}, v AS (SELECT *, label IN ('image', 'table', 'seal', 'chart') AS visual, label = 'inline_formula' AS inl, row_number() OVER (PARTITION BY page ORDER BY idx) AS i FROM boxes WHERE label <> 'reference'),
+_FILTERED = f"""v AS (SELECT *, label IN ('image', 'table', 'seal', 'chart') AS visual, label = 'inline_formula' AS inl, row_number() OVER (PARTITION BY page ORDER BY idx) AS i FROM boxes WHERE label <> 'reference'),
 l AS (SELECT a.page, a.i, any_value(least(a.x1 - a.x0, a.y1 - a.y0) < 6 AND NOT a.inl) AS speck,
   coalesce(list(struct_pack(j := b.i, own := {_sql_area('a')} < {_sql_area('b')}) ORDER BY b.i) FILTER (b.i IS NOT NULL AND NOT a.inl AND NOT b.inl AND {_sql_inter('a', 'b')} / least({_sql_area('a')}, {_sql_area('b')}) > 0.7 AND NOT {_APART}), []) AS p
   FROM v a LEFT JOIN v b ON a.page = b.page AND b.i > a.i GROUP BY a.page, a.i),
 r AS (SELECT DISTINCT page, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS gone FROM v
   UNION ALL SELECT page, i, CASE WHEN list_contains(gone, i) THEN gone WHEN speck THEN list_append(gone, i)
     WHEN len(ends) > 0 THEN list_concat(gone, [x.j FOR x IN live IF NOT x.own AND x.j < ends[1].j], [i]) ELSE list_concat(gone, [x.j FOR x IN live]) END
-  FROM (SELECT *, [x FOR x IN live IF x.own] AS ends FROM (SELECT l.page, l.i, gone, speck, [x FOR x IN p IF NOT list_contains(gone, x.j)] AS live FROM r JOIN l ON l.page = r.page AND l.i = r.i + 1)))
-SELECT v.page, CAST(row_number() OVER (PARTITION BY v.page ORDER BY v.i) AS INTEGER) AS index, label, x0 AS xmin, y0 AS ymin
-FROM v JOIN (SELECT page, max_by(gone, i) AS gone FROM r GROUP BY page) g ON g.page = v.page WHERE NOT list_contains(gone, v.i)"""
-)
+  FROM (SELECT *, [x FOR x IN live IF x.own] AS ends FROM (SELECT l.page, l.i, gone, speck, [x FOR x IN p IF NOT list_contains(gone, x.j)] AS live FROM r JOIN l ON l.page = r.page AND l.i = r.i + 1))),
+filtered AS (SELECT v.page, CAST(row_number() OVER (PARTITION BY v.page ORDER BY v.i) AS INTEGER) AS idx, label, CAST(score AS DOUBLE) AS score, x0, y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1
+  FROM v JOIN (SELECT page, max_by(gone, i) AS gone FROM r GROUP BY page) g ON g.page = v.page WHERE NOT list_contains(gone, v.i))"""
+
+
+@query(f"WITH RECURSIVE {BOXES}, {_FILTERED} SELECT page, idx AS index, label, x0 AS xmin, y0 AS ymin FROM filtered")
 def overlap_filtered(spark, sf_dir):
     return L.rows_of(L.pages_of(boxes(spark, sf_dir)).withColumn("boxes", L.overlap_filter("boxes"))).select("page", "index", "label", "xmin", "ymin")
 
@@ -170,23 +171,58 @@ def _common(a: str, b: str) -> str:
 
 
 
-@query(
-    f"""WITH RECURSIVE {BOXES}, g AS (SELECT page, list(struct_pack(idx := idx, label := label, score := CAST(score AS DOUBLE), x0 := CAST(x0 AS DOUBLE), y0 := CAST(y0 AS DOUBLE), x1 := CAST(x1 AS DOUBLE), y1 := CAST(y1 AS DOUBLE)) ORDER BY idx) AS s FROM boxes GROUP BY page),
-r AS (SELECT page, 0 AS k, s FROM g
+def _merged(table: str) -> str:
+    return f"""g AS (SELECT page, list(struct_pack(idx := idx, label := label, score := CAST(score AS DOUBLE), x0 := CAST(x0 AS DOUBLE), y0 := CAST(y0 AS DOUBLE), x1 := CAST(x1 AS DOUBLE), y1 := CAST(y1 AS DOUBLE)) ORDER BY idx) AS s FROM {table} GROUP BY page),
+mr AS (SELECT page, 0 AS k, s FROM g
   UNION ALL SELECT page, k + 1, list_transform(list_filter(range(1, len(s) + 1), lambda x: x <> low), lambda x: CASE WHEN x = keep THEN struct_pack(idx := s[x].idx, label := s[x].label, score := CAST(format('{{:.4f}}', greatest(a.score, b.score)) AS DOUBLE),
       x0 := floor(least(a.x0, b.x0)), y0 := floor(least(a.y0, b.y0)), x1 := ceil(greatest(a.x1, b.x1)), y1 := ceil(greatest(a.y1, b.y1))) ELSE s[x] END)
   FROM (SELECT *, CASE WHEN other THEN p.j ELSE p.i END AS keep, CASE WHEN other THEN p.i ELSE p.j END AS low
   FROM (SELECT *, {_sql_area('b')} > {_sql_area('a')} OR ({_sql_area('b')} = {_sql_area('a')} AND b.score > a.score) AS other
   FROM (SELECT *, s[p.i] AS a, s[p.j] AS b FROM (SELECT page, k, s, list_filter(flatten(list_transform(range(1, len(s) + 1), lambda i: list_transform(range(i + 1, len(s) + 1), lambda j: struct_pack(i := i, j := j)))),
     lambda p: s[p.i].label IN ('inline_formula', 'display_formula') AND s[p.j].label IN ('inline_formula', 'display_formula')
-      AND {_common('s[p.i]', 's[p.j]')} >= 0.7 * least({_sql_area('s[p.i]')}, {_sql_area('s[p.j]')}))[1] AS p FROM r) WHERE p IS NOT NULL))))
-SELECT page, b.idx AS index, b.label AS label, b.score AS score, b.x0 AS xmin, b.y0 AS ymin, b.x1 AS xmax, b.y1 AS ymax FROM (SELECT page, unnest(max_by(s, k)) AS b FROM r GROUP BY page)"""
-)
+      AND {_common('s[p.i]', 's[p.j]')} >= 0.7 * least({_sql_area('s[p.i]')}, {_sql_area('s[p.j]')}))[1] AS p FROM mr) WHERE p IS NOT NULL)))),
+merged AS (SELECT page, b.idx AS idx, b.label AS label, b.score AS score, b.x0 AS x0, b.y0 AS y0, b.x1 AS x1, b.y1 AS y1 FROM (SELECT page, unnest(max_by(s, k)) AS b FROM mr GROUP BY page))"""
+
+
+@query(f"WITH RECURSIVE {BOXES}, {_merged('boxes')} SELECT page, idx AS index, label, score, x0 AS xmin, y0 AS ymin, x1 AS xmax, y1 AS ymax FROM merged")
 def formulas_merged(spark, sf_dir):
     return L.rows_of(L.pages_of(boxes(spark, sf_dir)).withColumn("boxes", L.merge_nested("boxes")))
 
 
-@query()
+_IN = lambda *labels: "(" + ", ".join(f"'{x}'" for x in labels) + ")"
+
+
+def _best(name: str, source: str, where: str, order: str) -> str:
+    """One anchor for each page, or none."""
+    return f"{name} AS (SELECT * FROM {source} WHERE {where} QUALIFY row_number() OVER (PARTITION BY page ORDER BY {order}) = 1)"
+
+
+_ROW = "page, idx, score, x0, y0, x1, y1"
+_A_ROW = ", ".join(f"a.{c}" for c in _ROW.split(", "))
+#: The margins, a table for each step, over `named` boxes of pages with two boxes or more.
+_MARGINS = f"""halved AS (SELECT {_ROW}, CASE WHEN n < 2 THEN label WHEN (y0 + y1) / 2 < {PAGE_H / 2} THEN CASE label WHEN 'footer' THEN 'header' WHEN 'footer_image' THEN 'header_image' ELSE label END
+  ELSE CASE label WHEN 'header' THEN 'footer' WHEN 'header_image' THEN 'footer_image' ELSE label END END AS label, n FROM (SELECT *, count(*) OVER (PARTITION BY page) AS n FROM named)),
+{_best("head", "halved", f"label IN {_IN(*L.HEADERS)}", "y1 DESC, idx DESC")}, {_best("foot", "halved", f"label IN {_IN(*L.FOOTERS)}", "y0, idx")},
+m1 AS (SELECT {_A_ROW}, a.n, a.label IN {_IN(*L.HEADERS, *L.FOOTERS)} AS anchor, CASE WHEN a.n > 1 AND a.label NOT IN {_IN(*L.EXEMPT, *L.HEADERS)} AND a.y1 <= head.y1 THEN 'header' ELSE a.label END AS label FROM halved a LEFT JOIN head ON head.page = a.page),
+m2 AS (SELECT {_A_ROW}, a.n, a.anchor, CASE WHEN a.n > 1 AND a.label NOT IN {_IN(*L.REGIONS)} AND EXISTS (SELECT 1 FROM m1 k WHERE k.page = a.page AND k.label = 'footnote' AND a.y0 >= k.y0
+  AND greatest(0, least(k.x1, a.x1) - greatest(k.x0, a.x0)) / (a.x1 - a.x0) >= 0.7) THEN 'footnote' ELSE a.label END AS label FROM m1 a),
+m3 AS (SELECT {_A_ROW}, a.n, a.anchor, CASE WHEN a.n > 1 AND a.label NOT IN {_IN(*L.EXEMPT, *L.FOOTERS)} AND a.y0 >= foot.y0 AND ((foot.x1 - foot.x0) / {PAGE_W} >= 0.7
+  OR greatest(0, least(foot.x1, a.x1) - greatest(foot.x0, a.x0)) / least(foot.x1 - foot.x0, a.x1 - a.x0) >= 0.3) THEN 'footer' ELSE a.label END AS label FROM m2 a LEFT JOIN foot ON foot.page = a.page),
+{_best('"first"', "m3", f"label = 'number' AND (y0 + y1) / 2 <= {PAGE_H} * 0.3", "y1 DESC, idx DESC")}, {_best('"last"', "m3", f"label = 'number' AND (y0 + y1) / 2 > {PAGE_H} * 0.3 AND (y0 + y1) / 2 >= {PAGE_H} * 0.7", "y0, idx")},
+m4 AS (SELECT {_A_ROW}, a.n, a.anchor, CASE WHEN a.n > 1 AND NOT a.anchor AND a.label NOT IN {_IN(*L.EXEMPT)} AND a.y1 <= f.y0 THEN 'header' ELSE a.label END AS label FROM m3 a LEFT JOIN "first" f ON f.page = a.page),
+m5 AS (SELECT {_A_ROW}, CASE WHEN a.n > 1 AND NOT a.anchor AND a.label NOT IN {_IN(*L.EXEMPT)} AND a.y0 >= l.y1 THEN 'footer' ELSE a.label END AS label FROM m4 a LEFT JOIN "last" l ON l.page = a.page)"""
+
+
+@query(
+    f"""WITH RECURSIVE {BOXES}, {_FILTERED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, idx) AS rank FROM filtered),
+fold AS (SELECT DISTINCT page, CAST(0 AS BIGINT) AS rank, CAST([] AS STRUCT(idx INTEGER, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)[]) AS kept FROM filtered
+  UNION ALL SELECT b.page, b.rank, CASE WHEN len(list_filter(f.kept, lambda k: {_IOU_FOLD} / ((k.x1 - k.x0) * (k.y1 - k.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - {_IOU_FOLD}) > 0.9)) > 0 THEN f.kept
+    ELSE list_append(f.kept, struct_pack(idx := b.idx, x0 := b.x0, y0 := b.y0, x1 := b.x1, y1 := b.y1)) END FROM fold f JOIN ranked b ON b.page = f.page AND b.rank = f.rank + 1),
+alone AS (SELECT x.* FROM filtered x JOIN (SELECT page, [k.idx FOR k IN max_by(kept, rank)] AS ids FROM fold GROUP BY page) o ON o.page = x.page AND list_contains(o.ids, x.idx)), {_merged('alone')},
+named AS (SELECT {_A_ROW}, CASE WHEN a.label NOT IN ('display_formula', 'inline_formula') THEN a.label
+  WHEN EXISTS (SELECT 1 FROM merged p WHERE p.page = a.page AND p.label NOT IN {_PARENT} AND {_sql_inter('a', 'p')} / {_sql_area('a')} >= 0.7) THEN 'inline_formula' ELSE 'display_formula' END AS label FROM merged a), {_MARGINS}
+SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY idx) AS INTEGER) AS index, label, score, x0 AS xmin, y0 AS ymin, x1 AS xmax, y1 AS ymax FROM m5"""
+)
 def layout_post_process(spark, sf_dir):
     return L.rows_of(L.post_process(L.pages_of(boxes(spark, sf_dir)), F.lit(PAGE_W), F.lit(PAGE_H)))
 

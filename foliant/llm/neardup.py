@@ -51,7 +51,7 @@ TREES, MIN_DEPTH, MAX_DEPTH = 32, 4, 12
 HASHES = TREES * MIN_DEPTH
 #: Signatures that agree on a smaller share cannot belong to a link, but with chance below 1e-6.
 MIN_AGREE = 0.55
-#: A list of ids up to this length is broadcast; longer ones are joined by shuffle.
+#: A list of ids or regions up to this length is broadcast; longer ones are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Smaller regions are compared in full.
 CROWDED = 4
@@ -254,12 +254,15 @@ def candidates(classes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFra
     return pairs.distinct(), found.where("key IS NOT NULL AND b IS NOT NULL").select("tree", "key", F.col("a").alias("node")).distinct()
 
 
-def mixed_nodes(dense: DataFrame, label: DataFrame) -> DataFrame:
+def mixed_nodes(dense: DataFrame, label: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label) of all rows in crowded regions that have several components; three rows that a
-    partition's edge parts count as crowded."""
-    rows = dense.join(label, "node", "left").select("tree", F.substring("key", 1, 2 * MIN_DEPTH).alias("prefix"), "node", F.coalesce("label", "node").alias("label"))
+    partition's edge parts count as crowded. Regions are counted with partial sums, and the few that
+    are mixed go to the rows, so that no task holds a region."""
+    rows = scratch(dense.join(label, "node", "left").select("tree", F.substring("key", 1, 2 * MIN_DEPTH).alias("prefix"), "node", F.coalesce("label", "node").alias("label")), "regions")
     mixed = rows.groupBy("tree", "prefix").agg(F.count("*").alias("k"), F.min("label").alias("low"), F.max("label").alias("high")).where("k > 2 and low < high")
-    return rows.join(mixed.select("tree", "prefix"), ["tree", "prefix"], "left_semi").select("node", "label").distinct()
+    mixed = scratch(mixed.select("tree", "prefix"), "mixed")
+    few = F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed
+    return rows.join(few, ["tree", "prefix"], "left_semi").select("node", "label").distinct()
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
@@ -431,7 +434,7 @@ def resolved(docs: DataFrame, scratch: Scratch, text: str = "text", doc_id: str
 
     found = agreeing(pairs)
     label = rounds(found, sets_of(found.select(F.col("a").alias("node")).unionAll(found.select(F.col("b").alias("node"))).distinct()), BEST_ROUNDS)
-    dense = scratch(mixed_nodes(dense, label), "dense")
+    dense = scratch(mixed_nodes(dense, label, scratch), "dense")
     if dense.limit(1).count():
         sets = sets_of(dense.select("node"))
         wide = agreeing(prefix_pairs(sets, dense, percent, scratch).join(found.select("a", "b"), ["a", "b"], "left_anti"))

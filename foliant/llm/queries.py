@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, html_text, langid, mixing, neardup, quality, sharding, warc
+from . import ann, bpe, chat, divergence, filter_audit, html_text, langid, licenses, mixing, neardup, quality, sharding, warc
 from .common import table, words_native
 
 
@@ -91,11 +91,27 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", langid.held_out().alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license.*")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc, op2_quality_rules, op3_sharding, op4_minhash_near_dedup, op5_bpe, op6_source_mixing, op7_multi_index, op8_chat_windows, op9_main_text, op10_language_id,
+        op11_filter_audit, op12_source_divergence, op13_license_scan,
     )
 }
 _EXTRA = " UNION ALL ".join(f"SELECT -1, {k}, '{role}', '</s>[INST] ok [/INST]'" for k, role in enumerate(("user", "assistant")))
-SQL = {"op1_warc": warc.oracle(), "op4_minhash_near_dedup": neardup.oracle(), "op9_main_text": html_text.oracle(), "op6_source_mixing": mixing.oracle(), "op8_chat_windows": chat.oracle(_EXTRA)}
+SQL = {
+    "op1_warc": warc.oracle(), "op4_minhash_near_dedup": neardup.oracle(), "op9_main_text": html_text.oracle(), "op6_source_mixing": mixing.oracle(), "op8_chat_windows": chat.oracle(_EXTRA),
+    "op11_filter_audit": filter_audit.oracle(), "op12_source_divergence": divergence.oracle(), "op13_license_scan": licenses.oracle(),
+}

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as X
+from ..functions import text as T
 from ..operators import layout as L
 from ..operators import signal as S
 from ..operators import verify as V
+from ..sources import published as P
 from ..sources import readers as R
+from ..sources import tensors as X
 from ..sources import writers as W
 from ..streaming import speech
 from .base import query, table
@@ -26,13 +28,85 @@ def written_texts(spark, sf_dir):
     return files.select("name", F.md5(F.col("value").cast("binary")).alias("digest"))
 
 
-@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+@query(
+    """WITH h AS (SELECT sha256(to_json({'o_orderkey': o_orderkey, 'o_custkey': o_custkey, 'o_orderstatus': o_orderstatus})) AS h FROM orders), d AS (SELECT CASE WHEN count(*) <= 256 THEN 0 WHEN count(*) <= 4096 THEN 1 WHEN count(*) <= 65536 THEN 2 ELSE 3 END AS d FROM h),
+l3 AS (SELECT left(h, 3) AS k, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h, d WHERE d = 3 GROUP BY ALL),
+l2 AS (SELECT left(h, 2) AS k, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h, d WHERE d = 2 GROUP BY ALL UNION ALL SELECT left(k, 2), sha256(string_agg(right(k, 1) || h, '' ORDER BY k)) FROM l3 GROUP BY 1),
+l1 AS (SELECT left(h, 1) AS k, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h, d WHERE d = 1 GROUP BY ALL UNION ALL SELECT left(k, 1), sha256(string_agg(right(k, 1) || h, '' ORDER BY k)) FROM l2 GROUP BY 1),
+l0 AS (SELECT sha256(string_agg(h, '' ORDER BY h)) AS h FROM h, d WHERE d = 0 HAVING count(*) > 0 UNION ALL SELECT sha256(string_agg(k || h, '' ORDER BY k)) FROM l1 HAVING count(*) > 0)
+SELECT o_orderkey, o_custkey, o_orderstatus, l0.h AS digest FROM orders, l0"""
+)
 def checksummed_orders(spark, sf_dir):
-    """Lines written beside their digest and verified."""
+    """Lines written beside the digest of their set, verified; the digest is part of the result."""
     folder = shared_folder(spark)
     own = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    W.write_checksummed(own, folder)
-    return spark.read.schema(own.schema).json(f"{folder}/data")
+    digest = W.write_checksummed(own, folder)
+    return spark.read.schema(own.schema).json(f"{folder}/data").withColumn("digest", F.lit(digest))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_shipdate FROM lineitem")
+def published_lines(spark, sf_dir):
+    """Rows published as a whole by many tasks, and checked against their digests at read."""
+    folder = shared_folder(spark)
+    own = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate")
+    P.publish(own.repartition(8, "l_orderkey"), folder)
+    return P.read_published(spark, folder)
+
+
+@query(
+    """SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, 'priced,summed' AS ran_again FROM lineitem
+WHERE l_quantity > 10 GROUP BY ALL"""
+)
+def resumed_stages(spark, sf_dir):
+    """A job of three stages over published datasets that stops in its second stage, and goes on there when it is run again."""
+    folder, tries = shared_folder(spark), []
+
+    def priced(rows):
+        tries.append("priced")
+        if len(tries) == 1:
+            raise InterruptedError("lost")
+        return rows.withColumn("revenue", F.col("l_extendedprice") * (1 - F.col("l_discount")))
+
+    stages = [
+        ("kept", lambda rows: rows.where("l_quantity > 10")), ("priced", priced),
+        ("summed", lambda rows: rows.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("revenue"), 2).alias("revenue"))),
+    ]
+    own = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount")
+    try:
+        P.run_stages(spark, folder, stages, own)
+    except InterruptedError:
+        pass
+    out, ran = P.run_stages(spark, folder, stages, own)
+    return out.withColumn("ran_again", F.lit(",".join(ran)))
+
+
+@query(
+    """WITH r AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS row, count(*) OVER () AS n FROM embeddings)
+SELECT row, vec_id, len(embedding) AS size, embedding[1] AS head, embedding[len(embedding)] AS tail, round(list_sum([CAST(x AS DOUBLE) FOR x IN embedding]), 6) AS total FROM r WHERE row >= n // 3 AND row < n // 3 * 2"""
+)
+def tensor_rows(spark, sf_dir):
+    """All embeddings as one tensor file in parts, ids as a tensor beside them; then the middle third by a range of rows, of which alone bytes are read."""
+    path = f"{shared_folder(spark)}/embeddings.tensors"
+    own = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    X.write_tensors(own.repartitionByRange(8, "vec_id").sortWithinPartitions("vec_id"), path)
+    third = own.count() // 3
+    rows = lambda name, **how: X.read_tensors(spark, path, name, **how).where((F.col("row") >= third) & (F.col("row") < 2 * third)).select("row", F.col("values").alias(name))
+    found = rows("embedding", partitionBytes=1 << 20).join(rows("vec_id", as_="long"), "row")
+    total = F.aggregate(F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return found.select("row", F.element_at("vec_id", 1).alias("vec_id"), F.size("embedding").cast("long").alias("size"), F.element_at("embedding", 1).alias("head"), F.element_at("embedding", -1).alias("tail"), F.round(total, 6).alias("total"))
+
+
+@query(
+    """WITH v AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS k, len(embedding) AS size FROM embeddings), p AS (SELECT row_number() OVER (ORDER BY vec_id, k) - 1 AS place, x FROM v)
+SELECT place // 1000 * 1000 AS begin, count(*) AS n, round(sum(CAST(x AS DOUBLE)), 6) AS total FROM p GROUP BY 1"""
+)
+def tensor_chunks(spark, sf_dir):
+    """The same tensor as runs of a thousand values, whatever its rows; memory is that of a run."""
+    path = f"{shared_folder(spark)}/embeddings.tensors"
+    X.write_tensors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding").repartitionByRange(8, "vec_id").sortWithinPartitions("vec_id").select("embedding"), path)
+    runs = X.read_tensors(spark, path, "embedding", mode="chunks", chunkBytes=4000, partitionBytes=100_000)
+    total = F.aggregate(F.transform("values", lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return runs.select("begin", F.size("values").cast("long").alias("n"), F.round(total, 6).alias("total"))
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
@@ -86,7 +160,7 @@ def page_scales(spark, sf_dir):
 
 @query("SELECT doc_id, md5(replace(text, chr(10), '')) AS digest FROM documents")
 def valid_lines(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.without_surrogates(F.col("text").cast("binary").cast("string")).cast("binary")).alias("digest"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.without_surrogates(F.col("text").cast("binary").cast("string")).cast("binary")).alias("digest"))
 
 
 _ROLLED = "SELECT o_orderkey, md5(CAST(o_orderkey AS VARCHAR)) AS a, right(md5(CAST(o_orderkey AS VARCHAR)), o_custkey % 20) || md5(o_orderpriority) AS b FROM orders"
@@ -97,14 +171,14 @@ def rolled_overlaps(spark, sf_dir):
     """What a text repeats of the one before goes: up to 32 characters."""
     a = F.md5(F.col("o_orderkey").cast("string").cast("binary"))
     b = F.concat(F.right(a, (F.col("o_custkey") % 20).cast("int")), F.md5(F.col("o_orderpriority").cast("binary")))
-    return table(spark, sf_dir, "orders").select("o_orderkey", X.rolled_overlap_removed(a, b).alias("rest"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.rolled_overlap_removed(a, b).alias("rest"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_custkey % 30 + 1 <= 6 THEN '' ELSE left(md5(CAST(o_orderkey AS VARCHAR)), CAST(o_custkey % 30 + 1 - 6 AS BIGINT)) END AS prefix FROM orders")
 def stable_prefixes(spark, sf_dir):
     """Without a clause end the last six characters are held back."""
     own = F.left(F.md5(F.col("o_orderkey").cast("string").cast("binary")), (F.col("o_custkey") % 30 + 1).cast("int"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", X.stable_prefix(own).alias("prefix"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.stable_prefix(own).alias("prefix"))
 
 
 _WINDOWS = "w AS (SELECT user_id AS clip, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts)) AS k, CASE WHEN max(value) > 40 THEN max(value) / 100 ELSE 0.0 END AS rms FROM events GROUP BY user_id, epoch_ms(ts))"

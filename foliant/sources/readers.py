@@ -6,7 +6,6 @@ Paths are read by Spark's own readers only, so any store that the session can re
 from __future__ import annotations
 
 import json
-import math
 import struct
 from collections.abc import Iterator
 
@@ -221,74 +220,3 @@ def load_config(text: str | None) -> dict:
         return dict(CONFIG)
     same = lambda v, d: isinstance(v, bool) == isinstance(d, bool) and isinstance(v, (int, float) if isinstance(d, float) else type(d))
     return {k: raw[k] if k in raw and same(raw[k], d) else d for k, d in CONFIG.items()}
-
-
-WIDTHS = {"F64": 8, "F32": 4, "F16": 2, "BF16": 2, "I64": 8, "I32": 4, "I16": 2, "I8": 1, "U8": 1, "BOOL": 1}
-
-
-def tensor_header(data: bytes) -> tuple[dict[str, dict], int]:
-    """Tensors of a file of named tensors (name to dtype, shape, begin, end) and where the data begins; checked whole."""
-    if len(data) < 8:
-        raise ValueError("file too short")
-    size = struct.unpack("<Q", data[:8])[0]
-    if size > len(data) - 8:
-        raise ValueError("header longer than the file")
-    head = json.loads(data[8 : 8 + size])
-    out, room = {}, len(data) - 8 - size
-    for name, t in head.items():
-        if name == "__metadata__":
-            continue
-        begin, end = t["data_offsets"]
-        if t["dtype"] not in WIDTHS or not 0 <= begin <= end <= room or end - begin != WIDTHS[t["dtype"]] * math.prod(t["shape"]):
-            raise ValueError(f"{name}: dtype, shape and range do not agree")
-        out[name] = {"dtype": t["dtype"], "shape": t["shape"], "begin": begin, "end": end}
-    return out, 8 + size
-
-
-def to_float32(raw: bytes, dtype: str) -> np.ndarray:
-    """bf16, f16 and f32 as float32; other kinds are refused."""
-    if dtype == "BF16":
-        return (np.frombuffer(raw, "<u2").astype(np.uint32) << 16).view(np.float32)
-    if dtype in ("F16", "F32"):
-        return np.frombuffer(raw, "<f2" if dtype == "F16" else "<f4").astype(np.float32)
-    raise ValueError(f"{dtype} is not converted")
-
-
-def tensor_rows(data: bytes, name: str, first: int = 0, count: int | None = None) -> np.ndarray:
-    """Rows of a matrix; only their bytes are converted."""
-    tensors, start = tensor_header(data)
-    t = tensors[name]
-    if len(t["shape"]) != 2:
-        raise ValueError(f"{name} is no matrix")
-    rows, cols = t["shape"]
-    count = rows - first if count is None else count
-    if first < 0 or count < 0 or first + count > rows:
-        raise ValueError("rows out of range")
-    width = WIDTHS[t["dtype"]] * cols
-    at = start + t["begin"] + first * width
-    return to_float32(data[at : at + count * width], t["dtype"]).reshape(count, cols)
-
-
-def tensor_chunks(data: bytes, name: str, most: int = 1 << 20) -> Iterator[np.ndarray]:
-    """The values of a tensor in runs of at most `most` bytes; everything is checked before the first."""
-    tensors, start = tensor_header(data)
-    t = tensors[name]
-    step = max(1, most // WIDTHS[t["dtype"]]) * WIDTHS[t["dtype"]]
-    to_float32(b"", t["dtype"])
-    for at in range(t["begin"], t["end"], step):
-        yield to_float32(data[start + at : start + min(at + step, t["end"])], t["dtype"])
-
-
-def read_tensors(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """Rows of a matrix in tensor files, shards (.part0, .part1, ...) of one file read as one: file, row, embedding."""
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    part = F.coalesce(F.regexp_extract("path", r"\.part(\d+)$", 1).try_cast("int"), F.lit(0))
-    whole = raw.groupBy(F.regexp_replace("path", r"\.part\d+$", "").alias("file")).agg(F.array_sort(F.collect_list(F.struct(part.alias("n"), F.col("content").cast("string").alias("c")))).alias("parts"))
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for file, content in zip(b["file"], b["content"]):
-                x = tensor_rows(bytes(content), name)
-                yield pd.DataFrame({"file": file, "row": range(len(x)), "embedding": [r.astype(float).tolist() for r in x]})
-
-    return whole.select("file", F.array_join("parts.c", "").cast("binary").alias("content")).mapInPandas(rows, "file string, row long, embedding array<double>")

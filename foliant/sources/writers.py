@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +46,7 @@ def write_texts(df: DataFrame, path: str, name: str = "name", text: str = "text"
 
 
 def write_checksummed(df: DataFrame, path: str) -> str:
-    """JSON lines and, beside them, the digest of their sorted lines' digests; both are read back. Returns the digest."""
+    """JSON lines and, beside them, the digest of their set; both are read back. Returns the digest."""
     spark = df.sparkSession
     df.write.mode("errorifexists").json(f"{path}/data")
     digest = digest_of(spark, f"{path}/data")
@@ -55,13 +57,25 @@ def write_checksummed(df: DataFrame, path: str) -> str:
     return kept
 
 
-def digest_of(spark: SparkSession, path: str) -> str:
-    """A digest of a set of lines in any order and partitioning: the lines' digests are summed in four 16-bit
-    columns by position, so nothing but a few numbers reaches the driver."""
-    h = F.sha2(F.col("value").cast("binary"), 256)
-    parts = [F.sum(F.conv(F.substring(h, 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)")).cast("string") for k in range(8)]
-    row = spark.read.text(path).agg(F.sha2(F.concat_ws("/", F.count("*").cast("string"), *parts).cast("binary"), 256).alias("d")).first()
-    return row["d"]
+#: Digits of a line's digest that name its leaf: up to 16^DEPTH leaves, each of some LEAF lines.
+DEPTH, LEAF = 6, 256
+
+
+def digest_of(spark: SparkSession, path: str, depth: int | None = None) -> str:
+    """A digest of a set of lines in any order and partitioning, whose lines nobody can change unseen: a tree over their
+    SHA-256. A leaf digests the sorted digests that begin with the same `depth` digits, a node its children in order, each
+    with its digit. Leaves are small groups and nodes have 16 children, so nothing is gathered."""
+    lines = spark.read.text(path).select(F.sha2(F.col("value").cast("binary"), 256).alias("h"))
+    if depth is None:
+        n, depth = lines.count(), 0
+        while n > LEAF * 16**depth and depth < DEPTH:
+            depth += 1
+    sha = lambda parts: F.sha2(F.array_join(F.array_sort(F.collect_list(parts)), "").cast("binary"), 256)
+    level = lines.groupBy(F.left("h", F.lit(depth)).alias("at")).agg(sha(F.col("h")).alias("h"))
+    for k in range(depth - 1, -1, -1):
+        level = level.groupBy(F.left("at", F.lit(k)).alias("at")).agg(sha(F.concat(F.right("at", F.lit(1)), "h")).alias("h"))
+    row = level.first()
+    return row["h"] if row else hashlib.sha256(b"").hexdigest()
 
 
 def job_names(jobs: DataFrame) -> DataFrame:

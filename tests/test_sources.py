@@ -1,10 +1,8 @@
-"""Manifests, checksums, tensors, configuration, sinks, tokens, checks."""
+"""Manifests, checksums, configuration, sinks, tokens, checks."""
 
 import json
 import random
-import struct
 
-import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -50,30 +48,6 @@ def test_reconcile(spark):
     assert {r["path"]: r["state"] for r in C.reconcile(e, a).collect()} == {"a": "ok", "b": "mismatched", "c": "missing", "d": "unexpected"}
 
 
-def tensors(**arrays):
-    head, body = {"__metadata__": {"x": "y"}}, b""
-    for name, (dtype, raw, shape) in arrays.items():
-        head[name] = {"dtype": dtype, "shape": shape, "data_offsets": [len(body), len(body) + len(raw)]}
-        body += raw
-    h = json.dumps(head).encode()
-    return struct.pack("<Q", len(h)) + h + body
-
-
-def test_tensors(spark, tmp_path):
-    x = np.arange(12, dtype=np.float32).reshape(4, 3)
-    bf16 = (x.view(np.uint32) >> 16).astype("<u2").tobytes()
-    data = tensors(a=("F32", x.tobytes(), [4, 3]), b=("BF16", bf16, [4, 3]), c=("I32", b"\0" * 8, [2]), d=("F16", x.astype("<f2").tobytes(), [4, 3]))
-    for name in "abd":
-        assert np.array_equal(R.tensor_rows(data, name, 1, 2), x[1:3])
-    assert np.array_equal(np.concatenate(list(R.tensor_chunks(data, "a", 20))), x.ravel())
-    for bad in (lambda: R.tensor_rows(data, "a", 3, 2), lambda: R.tensor_rows(data, "c"), lambda: R.tensor_header(data[:-50]), lambda: list(R.tensor_chunks(data, "c"))):
-        with pytest.raises(ValueError):
-            bad()
-    (tmp_path / "t.bin.part0").write_bytes(data[:100])
-    (tmp_path / "t.bin.part1").write_bytes(data[100:])
-    assert [r["embedding"] for r in R.read_tensors(spark, str(tmp_path), "a").orderBy("row").collect()] == x.tolist()
-
-
 def test_config():
     assert R.load_config("{") == R.CONFIG and R.load_config("[1]") == R.CONFIG
     out = R.load_config('{"device": "cpu", "other": 1, "table": "no", "threshold": 1}')

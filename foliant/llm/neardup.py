@@ -55,6 +55,9 @@ MIN_AGREE = 0.55
 BROADCAST_IDS = 1_000_000
 #: Smaller regions are compared in full.
 CROWDED = 4
+#: Rows of a shingle that meet in one task; of a shingle with more, two blocks of so many.
+TILE = 1024
+PREFIX_ROW = ("shingle", "low", "high", "block", "label", "node", "n", "at", "short")
 #: Rounds that test only the best pair of each text, before the one that tests all that is left.
 BEST_ROUNDS = 2
 
@@ -274,17 +277,16 @@ def _longs(shingles: pa.Array) -> pa.Array:
 
 def _across(percent: int):
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Prefix rows sorted by (shingle, label) -> pairs of different labels that may be above the threshold."""
-        names = ("shingle", "label", "node", "n", "at", "short")
+        """Prefix rows sorted by (shingle, low, high, label) -> pairs of different labels that may be above the threshold."""
         held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [batch[c].to_numpy(zero_copy_only=False) for c in names]
+            rows = [batch[c].to_numpy(zero_copy_only=False) for c in PREFIX_ROW]
             if held is not None:
                 rows = [np.concatenate([h, x]) for h, x in zip(held, rows)]
-            # the last shingle may go on in the next batch
-            cut = int(np.searchsorted(rows[0], rows[0][-1]))
+            # the last tile may go on in the next batch; it has some 2 * TILE rows at most
+            cut = int(_tiles(rows)[-1])
             yield from _joined([x[:cut] for x in rows], percent)
             held = [x[cut:] for x in rows]
         if held is not None:
@@ -293,15 +295,25 @@ def _across(percent: int):
     return across
 
 
+def _tiles(rows: list[np.ndarray]) -> np.ndarray:
+    """Where tiles (shingle, low, high) begin in sorted rows."""
+    other = np.zeros(len(rows[0]) - 1, bool)
+    for x in rows[:3]:
+        other |= x[1:] != x[:-1]
+    return np.concatenate([[0], np.flatnonzero(other) + 1])
+
+
 def _joined(rows: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
-    shingle, label, node, n, at, short = rows
-    if len(shingle) < 2:
+    _, low_block, high_block, block, label, node, n, at, short = rows
+    if len(label) < 2:
         return
-    new = np.flatnonzero((shingle[1:] != shingle[:-1]) | (label[1:] != label[:-1])) + 1
-    starts = np.concatenate([[0], new, [len(shingle)]])
+    first = _tiles(rows)
+    tile = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(label))))
+    new = np.flatnonzero((tile[1:] != tile[:-1]) | (label[1:] != label[:-1])) + 1
+    starts = np.concatenate([[0], new, [len(label)]])
     group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    # each row meets the rows after its own label, to the end of its shingle
-    low, high = starts[group + 1], np.searchsorted(shingle, shingle, side="right")
+    # each row meets the rows after its own label, to the end of its tile
+    low, high = starts[group + 1], np.searchsorted(tile, tile, side="right")
     left = np.maximum(high - low, 0)
     ends = np.cumsum(left)
     i = 0
@@ -311,6 +323,8 @@ def _joined(rows: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
         x = np.repeat(np.arange(i, j), left[i:j])
         y = np.arange(len(x)) - np.repeat(np.cumsum(left[i:j]) - left[i:j], left[i:j]) + low[x]
         i = j
+        apart = (low_block[x] == high_block[x]) | (block[x] != block[y])  # rows of one block meet in that block's own tile
+        x, y = x[apart], y[apart]
         small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
         ok = (n[x] < n[y]) & short[x] | (n[y] < n[x]) & short[y] | (n[x] == n[y]) & (short[x] | short[y])
         ok &= 100 * small >= percent * large
@@ -339,8 +353,16 @@ def prefix_pairs(sets: DataFrame, label: DataFrame, percent: int, scratch: Scrat
     own = own.select("node", "label", "n", F.size("w").alias("k"), F.posexplode("w").alias("i", "w")).withColumn("at", F.col("n") - F.col("k") + F.col("i"))
     own = own.where(F.expr(f"w.mixed and at <= n - (n * {percent} + 99) div 100"))
     short = F.expr(f"at <= n - (2 * {percent} * n + {99 + percent}) div {100 + percent}")
-    own = own.select(F.col("w.shingle").alias("shingle"), "label", "node", "n", "at", short.alias("short"))
-    return own.repartition("shingle").sortWithinPartitions("shingle", "label").mapInArrow(_across(percent), "a long, b long").where("a <> b").distinct()
+    own = scratch(own.select(F.col("w.shingle").alias("shingle"), "label", "node", "n", "at", short.alias("short")), "prefixes")
+    # a shingle with many rows is split in blocks of about TILE, and each two blocks meet in a tile of their own
+    crowded = own.groupBy("shingle").agg(F.count("*").alias("rows")).where(F.col("rows") > TILE).select("shingle", F.ceil(F.col("rows") / TILE).cast("int").alias("blocks"))
+    crowded = scratch(crowded, "crowded")
+    few = F.broadcast(crowded) if crowded.count() <= BROADCAST_IDS else crowded
+    own = own.join(few, "shingle", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = own.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = own.withColumns({"low": F.least("block", "with"), "high": F.greatest("block", "with")}).select(*PREFIX_ROW)
+    tile = PREFIX_ROW[:3]
+    return own.repartition(*tile).sortWithinPartitions(*tile, "label").mapInArrow(_across(percent), "a long, b long").where("a <> b").distinct()
 
 
 def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -348,11 +370,12 @@ def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     scratch = scratch or Scratch(links.sparkSession, "components")
     both = scratch(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     label = scratch(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    few = F.broadcast if label.count() <= BROADCAST_IDS else lambda rows: rows
     while True:
-        step = both.join(label.select(F.col("node").alias("b"), F.col("label").alias("seen")), "b").groupBy(F.col("a").alias("node")).agg(F.min("seen").alias("seen"))
-        low = label.join(step, "node").select("node", "label", F.least("label", "seen").alias("next"))
+        step = both.join(few(label.select(F.col("node").alias("b"), F.col("label").alias("seen"))), "b").groupBy(F.col("a").alias("node")).agg(F.min("seen").alias("seen"))
+        low = step.join(few(label), "node").select("node", "label", F.least("label", "seen").alias("next"))
         # pointer jumping: the label's own label
-        jump = low.join(label.select(F.col("node").alias("next"), F.col("label").alias("far")), "next").select("node", F.col("label").alias("before"), F.least("next", "far").alias("label"))
+        jump = low.join(few(label.select(F.col("node").alias("next"), F.col("label").alias("far"))), "next").select("node", F.col("label").alias("before"), F.least("next", "far").alias("label"))
         jump = scratch(jump, "labels")
         changed = jump.where("label < before").limit(1).count()
         label = jump.select("node", "label")

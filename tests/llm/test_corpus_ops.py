@@ -225,8 +225,13 @@ def test_sharding_cases(spark):
     assert sharding.assign(frame(spark, rows).where("false")).count() == 0
 
 
-def test_dense_region_below_the_threshold(spark):
-    """Many texts of one template just below the threshold to each other, and pairs above it among them."""
+@pytest.mark.parametrize("tile", [neardup.TILE, 8])
+def test_dense_region_below_the_threshold(spark, monkeypatch, tile):
+    """Many texts of one template just below the threshold to each other, and pairs above it among them; also
+    with shingles split in dozens of blocks, and with every list too long to broadcast."""
+    monkeypatch.setattr(neardup, "TILE", tile)
+    if tile == 8:
+        monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
     rng = random.Random(3)
     base = [f"w{rng.randrange(5000)}" for _ in range(300)]
     rows = []

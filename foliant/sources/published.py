@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
@@ -42,6 +43,8 @@ class Written(WriterCommitMessage):
     rows: int
     bytes: int
     sha256: str
+    low: int | None = None
+    high: int | None = None
 
 
 @dataclass
@@ -76,7 +79,7 @@ def manifest(path: str) -> dict | None:
 
 class Writer(DataSourceArrowWriter):
     def __init__(self, options: dict, schema: StructType, overwrite: bool):
-        self.path, self.input = options["path"], options.get("input", "")
+        self.path, self.input, self.range = options["path"], options.get("input", ""), options.get("range")
         self.schema, self.overwrite, self.job = schema.jsonValue(), overwrite, uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
@@ -85,12 +88,14 @@ class Writer(DataSourceArrowWriter):
         store, at = opened(self.path)
         store.create_dir(f"{at}/data", recursive=True)
         name = f"data/{self.job}-{uuid.uuid4().hex}.arrow"
-        out, rows, writer = Hashed(store.open_output_stream(f"{at}/{name}")), 0, None
+        out, rows, writer, ends = Hashed(store.open_output_stream(f"{at}/{name}")), 0, None, []
         try:
             for batch in iterator:
                 writer = writer or pa.ipc.new_stream(pa.PythonFile(out, mode="w"), batch.schema)
                 writer.write_batch(batch)
                 rows += batch.num_rows
+                if self.range and batch.num_rows:
+                    ends += pc.min_max(batch.column(self.range)).as_py().values()
             if writer:
                 writer.close()
             out.close()
@@ -98,20 +103,17 @@ class Writer(DataSourceArrowWriter):
             out.close()
             store.delete_file(f"{at}/{name}")
             raise
-        return Written(TaskContext.get().partitionId(), name, rows, out.size, out.sha.hexdigest())
+        return Written(TaskContext.get().partitionId(), name, rows, out.size, out.sha.hexdigest(), min(ends, default=None), max(ends, default=None))
 
     def commit(self, messages: list[Written | None]) -> None:
         store, at = opened(self.path)
-        files = [{"file": m.file, "rows": m.rows, "bytes": m.bytes, "sha256": m.sha256} for m in sorted(filter(None, messages), key=lambda m: m.partition)]
+        files = [{k: v for k, v in vars(m).items() if k != "partition" and v is not None} for m in sorted(filter(None, messages), key=lambda m: m.partition)]
         before = manifest(self.path)
         if before and not self.overwrite:
             if before["schema"] != self.schema:
                 raise ValueError(f"{self.path}: another schema than what was published before")
             files = before["files"] + files
-        content = json.dumps({"schema": self.schema, "input": self.input, "rows": sum(f["rows"] for f in files), "digest": tree_of([f["sha256"] for f in files]), "files": files}).encode()
-        name = f"manifest-{hashlib.sha256(content).hexdigest()}.json"
-        replace(store, f"{at}/{name}", content, self.job)
-        replace(store, f"{at}/CURRENT", name.encode(), self.job)
+        put(self.path, self.schema, self.input, files)
 
     def abort(self, messages: list[Written | None]) -> None:
         store, at = opened(self.path)
@@ -128,18 +130,31 @@ class Reader(DataSourceReader):
         return [FilePart(f["file"], f["bytes"], f["sha256"]) for f in found(self.path)["files"] if f["rows"]]
 
     def read(self, partition: FilePart | None) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # nothing was planned
-            return
-        store, at = opened(self.path)
-        raw = Hashed(store.open_input_stream(f"{at}/{partition.file}"))
-        try:
-            yield from batches_of(raw)
-            while raw.read(1 << 20):
-                pass
-        finally:
-            raw.close()
-        if (raw.size, raw.sha.hexdigest()) != (partition.bytes, partition.sha256):
-            raise ValueError(f"{self.path}: {partition.file} has been changed")
+        if partition is not None:  # else nothing was planned
+            yield from rows_of(self.path, partition)
+
+
+def rows_of(path: str, f: FilePart) -> Iterator[pa.RecordBatch]:
+    """A file's batches; its digest is checked at its end."""
+    store, at = opened(path)
+    raw = Hashed(store.open_input_stream(f"{at}/{f.file}"))
+    try:
+        yield from batches_of(raw)
+        while raw.read(1 << 20):
+            pass
+    finally:
+        raw.close()
+    if (raw.size, raw.sha.hexdigest()) != (f.bytes, f.sha256):
+        raise ValueError(f"{path}: {f.file} has been changed")
+
+
+def put(path: str, schema: dict, input: str, files: list[dict]) -> None:
+    """Makes these files what holds at `path`."""
+    store, at = opened(path)
+    content = json.dumps({"schema": schema, "input": input, "rows": sum(f["rows"] for f in files), "digest": tree_of([f["sha256"] for f in files]), "files": files}).encode()
+    name, mark = f"manifest-{hashlib.sha256(content).hexdigest()}.json", uuid.uuid4().hex
+    replace(store, f"{at}/{name}", content, mark)
+    replace(store, f"{at}/CURRENT", name.encode(), mark)
 
 
 def found(path: str) -> dict:
@@ -164,10 +179,10 @@ class Published(DataSource):
         return Writer(dict(self.options), schema, overwrite)
 
 
-def publish(df: DataFrame, path: str, mode: str = "append", input: str = "") -> dict:
-    """Publishes the rows of `df` and returns the manifest."""
+def publish(df: DataFrame, path: str, mode: str = "append", input: str = "", range: str | None = None) -> dict:
+    """Publishes the rows of `df` and returns the manifest; with `range` it has each file's smallest and largest value of that column."""
     df.sparkSession.dataSource.register(Published)
-    df.write.format(FORMAT).mode(mode).option("input", input).save(path)
+    df.write.format(FORMAT).mode(mode).options(input=input, **({"range": range} if range else {})).save(path)
     return found(path)
 
 

@@ -147,10 +147,10 @@ def segment_disorder(windows: DataFrame, delay: str, params: Params | None = Non
 
 
 class Queue(StatefulProcessor):
-    """Events of one consumer in the order of `seq`; those of one batch are put in order, those of a later one follow."""
+    """Events of one consumer; those of one batch are put in order, those of a later one follow."""
 
-    def __init__(self, limit: int):
-        self.limit = limit
+    def __init__(self, limit: int, order: list[str]):
+        self.limit, self.order = limit, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.queue = handle.getListState("queue", "seq long, kind string, payload string")
@@ -160,7 +160,7 @@ class Queue(StatefulProcessor):
         queue = [tuple(x) for x in self.queue.get()]
         lost = self.lost.get()[0] if self.lost.exists() else 0
         out: list[tuple] = []
-        new = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        new = pd.concat(list(rows)).sort_values(self.order, kind="stable")
         for seq, kind, payload in zip(new["seq"], new["kind"], new["payload"]):
             if kind == "POLL":
                 take = min(int(payload), len(queue))
@@ -187,10 +187,13 @@ class Queue(StatefulProcessor):
         pass
 
 
-def queued(events: DataFrame, limit: int = 128) -> DataFrame:
+def queued(events: DataFrame, limit: int = 128, order: list[str] | None = None) -> DataFrame:
     """What consumers poll of a stream of (consumer, seq, kind, payload): kind is PARTIAL, FINAL, or POLL with the
-    number wanted as payload. `left`: how many stay; `lost`: PARTIALs that found no room so far."""
+    number wanted as payload. `order`: columns that order a batch, seq by itself. `left`: how many stay; `lost`: PARTIALs
+    that found no room so far."""
     with_state_store(events.sparkSession)
     kind = events.schema["consumer"].dataType.simpleString()
     out = f"consumer {kind}, polled_at long, seq long, kind string, payload string, left long, lost long"
-    return events.select("consumer", "seq", "kind", "payload").groupBy("consumer").transformWithStateInPandas(Queue(limit), out, "append", "None")
+    order = order or ["seq"]
+    rows = events.select(*dict.fromkeys(["consumer", "seq", "kind", "payload", *order]))
+    return rows.groupBy("consumer").transformWithStateInPandas(Queue(limit, order), out, "append", "None")

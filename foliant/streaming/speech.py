@@ -151,9 +151,10 @@ FINISH, CANCEL = -1.0, -2.0
 
 
 def segment_stream(frames: DataFrame, params: Params | None = None, idle: int | None = None) -> DataFrame:
-    """The same over a stream of (clip, frame, rms); windows must reach a clip in order. A window that was seen
-    before is left out, so a batch that is run again adds nothing. FINISH and CANCEL end a clip, whose state
-    then goes; so does that of a clip without windows for `idle` ms of processing time, after a FINAL."""
+    """The same over a stream of (clip, frame, rms) whose windows reach a clip in order; windows behind those of earlier
+    batches are told by an ERROR from the first to the last of them (`ordered.segment_disorder` waits for such windows instead).
+    FINISH and CANCEL end a clip, whose state then goes; so does that of a clip without windows for `idle` ms of
+    processing time, after a FINAL."""
     p = (params or Params()).check()
 
     def rows(key: tuple, out: list[tuple]) -> pd.DataFrame:
@@ -169,9 +170,11 @@ def segment_stream(frames: DataFrame, params: Params | None = None, idle: int |
         out: list[tuple] = []
         new = pd.concat(list(batches)).sort_values("frame")
         over = False
+        behind = new["frame"] <= seen
+        if behind.any():
+            out.append(("ERROR", v.number, int(new["frame"][behind].min()), int(new["frame"][behind].max()), 0, False))
+        new = new[~behind].drop_duplicates("frame")
         for frame, rms in zip(new["frame"], new["rms"]):
-            if frame <= seen:
-                continue
             seen, over = int(frame), rms < 0
             if over:
                 out += flush(v)[1] if rms > CANCEL else []
@@ -198,20 +201,6 @@ def latest(events: DataFrame) -> DataFrame:
     return best.select("clip", "segment", F.when(F.col("e.final"), "FINAL").otherwise("PARTIAL").alias("kind"), "e.begin_ms", "e.end_ms", "e.parent", "e.bridged")
 
 
-def bounded(events: list[tuple], limit: int = 128) -> list[tuple]:
-    """A queue of events that makes room by its oldest PARTIAL; a FINAL never goes, a PARTIAL that finds no room does."""
-    queue: list[tuple] = []
-    for e in events:
-        if len(queue) >= limit:
-            old = next((i for i, q in enumerate(queue) if q[0] == "PARTIAL"), None)
-            if old is not None:
-                del queue[old]
-            elif e[0] == "PARTIAL":
-                continue
-        queue.append(e)
-    return queue
-
-
 def rolled_texts(finals: DataFrame) -> DataFrame:
     """Texts of FINAL segments (clip, segment, parent, bridged, text): the repeated start goes, and a segment whose end
     is repeated by the next holds its unstable end back."""

@@ -88,11 +88,6 @@ def test_segments():
         speech.Params(threshold=2.0).check()
 
 
-def test_bounded_queue():
-    events = [("PARTIAL", i) for i in range(3)] + [("FINAL", i) for i in range(4)] + [("PARTIAL", 9)]
-    assert speech.bounded(events, 3) == [("FINAL", 0), ("FINAL", 1), ("FINAL", 2), ("FINAL", 3)]
-
-
 def test_stream_equals_batch(spark, tmp_path):
     rng = random.Random(4)
     energies = {c: [0.1 if rng.random() < (0.9 if (i // 60) % 2 else 0.05) else 0.0 for i in range(400)] for c in ("a", "b")}

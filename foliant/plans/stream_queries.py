@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
 from ..streaming import ordered, pushed, speech
 from .base import query, table
 from .signal_queries import SESSIONS, SHORT, speech_sql
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that driver and executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        top = tempfile.mkdtemp(prefix="foliant-")
-    return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 #: Files into which a table is split, and files that a batch takes at most: what is not yet worked on waits in the source.
 PARTS, FILES_PER_BATCH = 5, 2
 

@@ -31,6 +31,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,10 +59,11 @@ def counted(batches):
     entries = 0
 
     def flushed():
-        rows = [(lang, source, "", 0, 0) for lang, source in seen]
-        rows += [(*group, t.decode(), n, docs[t]) for group, (counts, docs) in seen.items() for t, n in counts.items()]
-        columns = list(zip(*rows)) or [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns[:3]] + [pa.array(c, pa.int64()) for c in columns[3:]], ["lang", "source", "term", "n", "docs"])
+        for (lang, source), (counts, docs) in seen.items():
+            words = [b"", *counts]
+            columns = [pa.repeat(lang, len(words)), pa.repeat(source, len(words)), pa.array(words, pa.binary()).cast(pa.string())]
+            numbers = [np.fromiter(x, np.int64, len(words)) for x in ([0, *counts.values()], [0, *map(docs.__getitem__, counts)])]
+            yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, numbers)], ["lang", "source", "term", "n", "docs"])
 
     for batch in batches:
         for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
@@ -71,9 +73,9 @@ def counted(batches):
             docs.update(set(words))
             entries += len(counts) - before
             if entries >= FLUSH:
-                yield flushed()
+                yield from flushed()
                 seen, entries = {}, 0
-    yield flushed()
+    yield from flushed()
 
 
 def shares(counts: np.ndarray, total: np.ndarray, kept: int) -> np.ndarray:
@@ -105,27 +107,37 @@ def top_terms(names, words, counts, p, q) -> list[tuple]:
     out = []
     values = gap(p, q[None, :])
     for g in range(len(p)):
-        best = heapq.nsmallest(TOP, ((-int(values[g, t]), words[t]) for t in np.flatnonzero((counts[g] > 0) & (p[g] > q))))
+        at = np.flatnonzero((counts[g] > 0) & (p[g] > q))
+        if len(at) > TOP:  # ties with the last one stay for the heap, which knows the terms
+            at = at[values[g, at] >= np.partition(values[g, at], len(at) - TOP)[len(at) - TOP]]
+        best = heapq.nsmallest(TOP, zip((-values[g, at]).tolist(), [words[t] for t in at]))
         out += [(names[g], word.decode(), -value) for value, word in best]
     return out
 
 
 def tile(table: pa.Table, low: int, high: int) -> pa.Table:
     """Partial pair sums and heaps of one tile. Rows with the term '' name the tile's groups."""
-    col = {c: table.column(c).to_pylist() for c in ("lang", "source", "term", "n", "total", "sb", "group_n", "lang_n", "kept")}
-    lang, kept, lang_n = col["lang"][0], col["kept"][0], col["lang_n"][0]
+    lang, kept, lang_n = (table.column(c)[0].as_py() for c in ("lang", "kept", "lang_n"))
+    named = pc.equal(table.column("term"), "")
+    anchors = table.filter(named).select(["sb", "source", "group_n"]).to_pylist()
+    cells = table.filter(pc.invert(named))
     blocks = [low] if low == high else [low, high]
-    groups = [sorted((s, n) for s, n, sb, t in zip(col["source"], col["group_n"], col["sb"], col["term"]) if sb == b and not t) for b in blocks]
+    groups = [sorted((r["source"], r["group_n"]) for r in anchors if r["sb"] == b) for b in blocks]
     names = [[s for s, _ in g] for g in groups]
-    total_of = {t.encode(): n for t, n in zip(col["term"], col["total"]) if t}
-    words = sorted(total_of)
-    at = {w: k for k, w in enumerate(words)}
-    counts = [np.zeros((len(g), len(words)), dtype=np.int64) for g in groups]
-    place = {s: (b, k) for b, own in enumerate(names) for k, s in enumerate(own)}
-    for s, t, n in zip(col["source"], col["term"], col["n"]):
-        if t:
-            b, k = place[s]
-            counts[b][k, at[t.encode()]] = n
+    coded = {c: pc.dictionary_encode(cells.column(c).combine_chunks()) for c in ("term", "source")}
+    known = [t.encode() for t in coded["term"].dictionary.to_pylist()]
+    order = sorted(range(len(known)), key=known.__getitem__)
+    words = [known[k] for k in order]
+    place = np.empty(len(known), np.int64)
+    place[order] = np.arange(len(known))
+    term = place[coded["term"].indices.to_numpy()] if known else np.zeros(0, np.int64)
+    source, n = coded["source"].indices.to_numpy(), cells.column("n").to_numpy()
+    counts = []
+    for own in names:
+        row_of = {s: k for k, s in enumerate(own)}
+        row = np.array([row_of.get(s, -1) for s in coded["source"].dictionary.to_pylist()], np.int64)[source] if len(source) else np.zeros(0, np.int64)
+        counts.append(np.zeros((len(own), len(words)), np.int64))
+        counts[-1][row[row >= 0], term[row >= 0]] = n[row >= 0]
     totals = [np.array([n for _, n in g], dtype=np.int64) for g in groups]
     p = [shares(c, n, kept) if kept else c for c, n in zip(counts, totals)]
     none = [shares(np.zeros((len(n), 1), dtype=np.int64), n, kept)[:, 0] if kept else n for n in totals]  # share of a term that a group lacks
@@ -135,7 +147,9 @@ def tile(table: pa.Table, low: int, high: int) -> pa.Table:
         other = gap(none[a][:, None], none[b][None, :]) if kept else sums
         rows += [(lang, s, "pair", o, int(sums[i, j]), len(words), int(other[i, j]), kept) for i, s in enumerate(names[a]) for j, o in enumerate(names[b]) if s != o]
     if len(blocks) == 1 and words:
-        q = shares(np.array([[total_of[w] for w in words]], dtype=np.int64), np.array([lang_n], dtype=np.int64), kept)[0]
+        total = np.zeros((1, len(words)), np.int64)
+        total[0, term] = cells.column("total").to_numpy()
+        q = shares(total, np.array([lang_n], dtype=np.int64), kept)[0]
         rows += [(lang, s, "term", word, value, 0, 0, 0) for s, word, value in top_terms(names[0], words, counts[0], p[0], q)]
     columns = list(zip(*rows)) or [()] * 8
     kinds = [pa.string()] * 4 + [pa.int64()] * 4
@@ -162,7 +176,8 @@ def divergences(docs: DataFrame, min_docs: int = MIN_DOCS, sources: int = SOURCE
     small_batches(docs)
     keep = Scratch(docs.sparkSession, "divergence")
     texts = docs.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    cells = texts.mapInArrow(counted, COUNTED).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # tasks have combined their own rows, so the sums are made after the shuffle only
+    cells = texts.mapInArrow(counted, COUNTED).repartition("lang", "source", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     cells = keep(cells, "counts")
     vocabulary = cells.where("term <> ''").groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).drop("docs")
     vocabulary = keep(vocabulary, "vocabulary")

@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import nfc
+from .bytepair import PATTERN, merge
 
-#: The splitting pattern (fixed value).
-PATTERN = r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
 BEGIN, END, PAD, READ, LEAST_BYTES = 1024, 1024, 256, 4096, 8
 _SPACES = b" \t\n\x0b\x0c\r"
 
@@ -34,33 +33,15 @@ def ids_of(tokens: DataFrame, vocabulary: DataFrame, unknown: int | None = None)
     return out.where(F.col("id").isNotNull()) if unknown is None else out.withColumn("id", F.coalesce("id", F.lit(unknown)))
 
 
-def merged(word: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """All occurrences of the lowest-ranked neighbouring pair are merged, until no pair has a rank."""
-    while len(word) > 1:
-        rank, pair = min((ranks.get(p, 1 << 60), p) for p in zip(word, word[1:]))
-        if rank == 1 << 60:
-            break
-        out, i = [], 0
-        while i < len(word):
-            if i + 1 < len(word) and (word[i], word[i + 1]) == pair:
-                out.append(word[i] + word[i + 1])
-                i += 2
-            else:
-                out.append(word[i])
-                i += 1
-        word = out
-    return word
-
-
 def bpe(c: Column, ranks: dict[tuple[str, str], int]) -> Column:
     """The merged symbols of a token."""
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
-    def merge(tokens: pa.Array) -> pa.Array:
+    def merged(tokens: pa.Array) -> pa.Array:
         known: dict[str, list[str]] = {}
-        return pa.array([None if t is None else known.setdefault(t, merged(list(t), ranks)) for t in tokens.to_pylist()], pa.list_(pa.string()))
+        return pa.array([None if t is None else known.setdefault(t, merge(list(t), ranks)) for t in tokens.to_pylist()], pa.list_(pa.string()))
 
-    return merge(c)
+    return merged(c)
 
 
 def banned_tokens(history: Column, n: int) -> Column:

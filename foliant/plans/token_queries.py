@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import bytepair as B
 from ..operators import tokens as K
 from ..operators import vectors as V
 from .base import query, table
@@ -98,3 +99,44 @@ def byte_feature_size(spark, sf_dir):
 def special_token_order(spark, sf_dir):
     own = K.specials_first(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("token")))
     return own.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.length("token")), "id")))
+
+
+#: A small vocabulary whose merges build on merges: the 256 bytes, then these (by the letters that stand for bytes), then specials.
+MERGES = [("t", "h"), ("th", "e"), ("e", "r"), ("i", "n"), ("in", "g"), ("a", "n"), ("an", "d"), ("Ġ", "the"), ("o", "n"), ("i", "on"), ("t", "ion"), ("Ã", "©"), ("th", "er"), ("e", "e"), ("ing", "ing"), ("Ġ", "and")]
+SPECIALS = {"<|im_start|>": 300, "<|im_start|>user": 301, "<|im_end|>": 302}
+
+
+def small_codec() -> B.Codec:
+    vocab = {c: b for b, c in enumerate(B.byte_letters())} | {a + b: 256 + k for k, (a, b) in enumerate(MERGES)}
+    return B.Codec(vocab, MERGES, SPECIALS)
+
+
+def merging_sql(hexes: str) -> str:
+    """Merges in their order over text of hexadecimal bytes, each symbol between bars: a merge's symbols are never made by a later one."""
+    of = {c: f"{b:02X}" for b, c in enumerate(B.byte_letters())}
+    spelled = lambda s: "".join(of[c] for c in s)
+    for a, b in MERGES:
+        hexes = f"replace({hexes}, '|{spelled(a)}||{spelled(b)}|', '|{spelled(a + b)}|')"
+    return hexes
+
+
+def ids_sql() -> str:
+    of = {c: f"{b:02X}" for b, c in enumerate(B.byte_letters())}
+    merged = ", ".join(f"'{''.join(of[c] for c in a + b)}': '{256 + k}'" for k, (a, b) in enumerate(MERGES))
+    return "CASE WHEN length(x) = 2 THEN CAST(CAST('0x' || x AS INTEGER) AS VARCHAR) ELSE MAP {" + merged + "}[x] END"
+
+
+# white space is split in DuckDB by a pattern without look ahead, as above: runs of blanks before letters do not occur
+@query(
+    f"""WITH p AS (SELECT doc_id, nfc_normalize(chr(10) || text) AS t, regexp_extract_all(nfc_normalize(chr(10) || text), '(?i:''s|''t|''re|''ve|''m|''ll|''d)|[^\\r\\n\\p{{L}}\\p{{N}}]?\\p{{L}}+|\\p{{N}}| ?[^\\s\\p{{L}}\\p{{N}}]+[\\r\\n]*|\\s*[\\r\\n]+|\\s+') AS p FROM documents),
+h AS (SELECT doc_id, t, array_to_string([{merging_sql("regexp_replace(hex(encode(x)), '(..)', '|\\1|', 'g')")} FOR x IN p], '') AS h FROM p),
+i AS (SELECT doc_id, t, array_to_string([{ids_sql()} FOR x IN string_split(trim(h, '|'), '||')], ',') AS ids FROM h)
+SELECT doc_id, md5('301,' || ids || ',302') AS ids, len(string_split(ids, ',')) + 2 AS n, md5('<|im_start|>user' || t || '<|im_end|>') AS back, md5(t) AS plain FROM i"""
+)
+def codec_round_trip(spark, sf_dir):
+    """Whole texts between special tokens, of which the longer one must be found: ids, and both ways of decoding."""
+    codec = small_codec()
+    text = F.concat(F.lit("<|im_start|>user\n"), "text", F.lit("<|im_end|>"))
+    own = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", B.encoded(text, codec).alias("k"))
+    md5 = lambda c: F.md5(c.cast("binary"))
+    return own.select("doc_id", md5(F.array_join("k", ",")).alias("ids"), F.size("k").cast("long").alias("n"), md5(B.decoded(F.col("k"), codec)).alias("back"), md5(B.decoded(F.col("k"), codec, True)).alias("plain"))

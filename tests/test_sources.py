@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from foliant.operators import tokens as K
 from foliant.operators import vectors as V
 from foliant.operators import verify as C
+from foliant.operators.bytepair import merge
 from foliant.sources import readers as R
 from foliant.sources import writers as W
 
@@ -95,7 +96,7 @@ def test_tokens(spark, one):
         want = [h[i + n - 1] for i in range(len(h) - n + 1) if h[i : i + n - 1] == last]
         assert one(K.banned_tokens(array(*h), n)) == want, (h, n)
     assert one(K.expand_pads(array(1, 9, 9), 9, 3)) == [1, 9, 9, 9, 9]
-    assert K.merged(list("abcab"), {("a", "b"): 1, ("ab", "c"): 2}) == ["abc", "ab"]
+    assert merge(list("abcab"), {("a", "b"): 1, ("ab", "c"): 2}) == ["abc", "ab"]
     assert K.features(b"short") is None and K.features(b" " * 20) is None
     f = K.features(b"  " + b"x" * 3000 + b"\n")
     assert len(f) == 2048 and f[0] == ord("x") and f[-1] == ord("x")

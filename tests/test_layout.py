@@ -172,3 +172,26 @@ def test_grid_of_markup():
 def test_sheet_names(spark):
     df = spark.createDataFrame([(1, "b", "a/b"), (2, "b", "A:b"), (3, "b", "x" * 40), (4, "b", "x" * 40)], "idx int, book string, name string")
     assert [r["sheet"] for r in T.unique_names(df).orderBy("idx").collect()] == ["ab", "Ab_2", "x" * 31, "x" * 29 + "_2"]
+
+
+def test_pages_of_a_batch_are_those_one_by_one(monkeypatch):
+    """Random pages with many overlaps, empty and null ones and a large one, in blocks of few pairs too."""
+    import pyarrow as pa
+
+    rng = random.Random(12)
+    labels = ["text", "table", "image", "inline_formula", "display_formula", "display_formula", "reference", "title"]
+
+    def page(n, spread):
+        out = []
+        for k in range(n):
+            x, y, w, h = rng.randrange(spread), rng.randrange(spread), rng.choice([3, 20, 40, 41]), rng.choice([4, 20, 40, 42])
+            out.append({"index": k + 1, "label": rng.choice(labels), "score": rng.choice([0.5, 0.6, round(rng.random(), 3)]), "xmin": float(x), "ymin": float(y), "xmax": float(x + w), "ymax": float(y + h)})
+        return out
+
+    pages = [page(rng.randrange(12), rng.choice([10, 40, 100])) for _ in range(400)] + [None, [], page(150, 60), None]
+    want = [None if p is None else L.merge_page(L.suppress_page(L.filter_page(p), 0.9), 0.7) for p in pages]
+    for most in (7, 1 << 20):
+        monkeypatch.setattr(L, "PAIRS_AT_ONCE", most)
+        assert L.process_pages(pa.array(pages, L._ARROW_BOX)).to_pylist() == want
+        assert L.process_pages(pa.array(pages, L._ARROW_BOX).slice(5, 50)).to_pylist() == want[5:55]
+    assert L.process_pages(pa.array([None, []], L._ARROW_BOX)).to_pylist() == [None, []]

@@ -14,32 +14,30 @@ from .layout import let
 
 # Tokens of a grid: row end, filled cell, empty cell, goes on left, up, both.
 TOKENS = ["<nl>", "<fcel>", "<ecel>", "<lcel>", "<ucel>", "<xcel>"]
-_TOKEN = r"(<(?:nl|fcel|ecel|lcel|ucel|xcel)>)((?:(?!<(?:nl|fcel|ecel|lcel|ucel|xcel)>)[\s\S])*)"
+_CELL_TOKEN = "<(?:fcel|ecel|lcel|ucel|xcel)>"
 
 
 def tokens(c: Column) -> Column:
-    """Array of (token, text that follows it)."""
-    kinds, texts = F.regexp_extract_all(c, F.lit(_TOKEN), 1), F.regexp_extract_all(c, F.lit(_TOKEN), 2)
-    return F.zip_with(kinds, texts, lambda k, t: F.struct(k.alias("token"), X.trim_all(t).alias("text")))
+    """Array of (token, text that follows it) of a row: its tokens, and what stands between them."""
+    texts = F.split(c, _CELL_TOKEN)  # the first one stands before any token
+    return F.zip_with(F.regexp_extract_all(c, F.lit(_CELL_TOKEN), 0), F.slice(texts, F.lit(2), F.size(texts) - 1), lambda k, t: F.struct(k.alias("token"), X.trim_all(t).alias("text")))
 
 
 def grid(c: Column) -> Column:
     """Rows of (token, text); short rows are filled with empty cells, a row end before any row begins none."""
-    item = T.StructType([T.StructField("token", T.StringType()), T.StructField("text", T.StringType())])
-    row = T.ArrayType(item)
-    state = F.struct(F.array().cast(T.ArrayType(row)).alias("rows"), F.array().cast(row).alias("now"))
-
-    def step(s: Column, t: Column) -> Column:
-        ends = t["token"] == "<nl>"
-        counts = (F.size(s["now"]) > 0) | (F.size(s["rows"]) > 0)
-        rows = F.when(ends & counts, F.concat(s["rows"], F.array(s["now"]))).otherwise(s["rows"])
-        now = F.when(ends, F.array().cast(row)).otherwise(F.concat(s["now"], F.array(t)))
-        return F.struct(rows.alias("rows"), now.alias("now"))
-
-    rows = F.aggregate(tokens(c), state, step, lambda s: F.when(F.size(s["now"]) > 0, F.concat(s["rows"], F.array(s["now"]))).otherwise(s["rows"]))
-    widest = F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(r))), F.lit(0))
     empty = F.struct(F.lit("<ecel>").alias("token"), F.lit("").alias("text"))
-    return F.transform(rows, lambda r: F.concat(r, F.array_repeat(empty, widest - F.size(r))))
+
+    def begun(rows: Column) -> Column:
+        """Without the rows before the first that has a cell, and without a last one that has none."""
+        first = F.array_min(F.transform(rows, lambda r, i: F.when(F.size(r) > 0, i + 1)))
+        last = F.size(rows) - F.when(F.size(F.element_at(rows, -1)) > 0, 0).otherwise(1)
+        return F.slice(rows, F.coalesce(first, F.lit(1)), F.when(first.isNull(), 0).otherwise(last - first + 1))
+
+    def filled(rows: Column) -> Column:
+        widest = F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(r))), F.lit(0))
+        return let(F.struct(rows.alias("rows"), widest.alias("widest")), lambda g: F.transform(g["rows"], lambda r: F.concat(r, F.array_repeat(empty, g["widest"] - F.size(r)))))
+
+    return let(let(F.transform(F.split(c, "<nl>"), tokens), begun), filled)
 
 
 _CELL = T.StructType([T.StructField(n, k) for n, k in (("token", T.StringType()), ("text", T.StringType()), ("row_span", T.IntegerType()), ("col_span", T.IntegerType()))])

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
+from functools import cache
 
 import numpy as np
 import pytest
@@ -49,6 +50,7 @@ def plain_kneser_ney(texts):
             kinds[order][g[:-1]] += 1
     vocabulary = len(counts[1]) + 1
 
+    @cache
     def p(g):
         order = len(g)
         if order == 0:

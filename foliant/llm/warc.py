@@ -1,12 +1,14 @@
 """WARC archives: writing with segments, deduplication and chunked framing; reading back by reassembly.
 
-Writing. One record per page: an HTTP response whose body is framed in chunks. A record whose
-block is longer than `segment_bytes` is cut into segments: the first keeps the record's type and
-has WARC-Segment-Number 1, the others are continuation records that name the first one's id, and
-the last also gives the total length. Of equal payloads of at least `min_revisit` bytes the one
-with the smallest page_id is written out, the others are revisit records that name it. Spark's own
-text writer makes the files (a record's end, CRLF CRLF, is the line separator), so they land
-wherever the session can write, gzipped, with a bounded number of records in a file.
+Writing. One record per page: an HTTP response whose body is framed in chunks, with its date and the
+page's URL (`urn:page:<id>` where it has none). A record whose block is longer than `segment_bytes` is
+cut into segments: the first keeps the record's type and has WARC-Segment-Number 1, the others are
+continuation records that name the first one's id, and the last also gives the total length. Of
+equal payloads of at least `min_revisit` bytes the one with the smallest page_id is written out, the
+others are revisit records that name it (WARC-Refers-To, with its URL and date). Each record is a gzip
+member of its own, so that a tool can seek to it. Spark's own text writer makes the files, so they land
+wherever the session can write, with a bounded number of records in a file; a member's last byte, the
+highest of its length and always 0, is the writer's line separator. Names end in .txt, as Spark gives them.
 
 Reading. Files are parsed by each record's Content-Length; continuation segments are grouped by
 origin id, ordered by number, their total length is verified, the HTTP framing is decoded chunk
@@ -21,7 +23,9 @@ A record that fails a check raises with its id. Extra columns are not read.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -40,6 +44,9 @@ RECORDS_PER_FILE = 1000
 #: So many repeated digests (of some 100 bytes) are broadcast at most.
 BROADCAST_DIGESTS = 500_000
 CRLF = "\r\n"
+#: Of records whose writer gives no other date.
+DATE = "2000-01-01T00:00:00Z"
+LEVEL = 4
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -70,14 +77,24 @@ def dechunked(framed: bytes) -> bytes:
 def record(kind: str, record_id: str, block: bytes, **fields: str | None) -> bytes:
     """A record without its closing CRLF CRLF."""
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{record_id}>", f"Content-Length: {len(block)}"]
-    head += [f"{k.replace('_', '-')}: {v}" for k, v in fields.items() if v is not None]
+    head += [f"{k.replace('_', '-')}: {' '.join(v.split())}" for k, v in fields.items() if v is not None]
     return (CRLF.join(head) + CRLF + CRLF).encode() + block
 
 
-def segments(record_id: str, payload: bytes, page: str | None, digest: str, limit: int) -> Iterator[bytes]:
+def member(record: bytes) -> bytes:
+    """A record with its end as a gzip member, without the member's last byte, which is 0."""
+    packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+    out = packer.compress(record + b"\r\n\r\n") + packer.flush()
+    if out[-1]:
+        raise ValueError("a record of 16 MB or more")
+    return out[:-1]
+
+
+def segments(record_id: str, payload: bytes, page: str | None, digest: str, limit: int, url: str | None = None, date: str = DATE) -> Iterator[bytes]:
     """The records of one response."""
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
-    fields = {"WARC_Payload_Digest": f"sha1:{digest}", "X_Page_ID": page, "Content_Type": "application/http; msgtype=response"}
+    named = {"WARC_Date": date, "WARC_Target_URI": url or f"urn:page:{page}"}
+    fields = named | {"WARC_Payload_Digest": f"sha1:{digest}", "X_Page_ID": page, "Content_Type": "application/http; msgtype=response"}
     if len(block) <= limit:
         yield record("response", record_id, block, **fields)
         return
@@ -86,42 +103,55 @@ def segments(record_id: str, payload: bytes, page: str | None, digest: str, limi
     for k, part in enumerate(parts[1:], 2):
         own = hashlib.md5(f"{record_id}/{k}".encode()).hexdigest()
         yield record(
-            "continuation", str(uuid.UUID(own)), part, WARC_Segment_Origin_ID=f"<urn:uuid:{record_id}>", WARC_Segment_Number=str(k),
+            "continuation", str(uuid.UUID(own)), part, **named, WARC_Segment_Origin_ID=f"<urn:uuid:{record_id}>", WARC_Segment_Number=str(k),
             WARC_Segment_Total_Length=str(len(block)) if k == len(parts) else None,
         )
 
 
-def _written(limit: int):
+def _id(page: str | None, number: int) -> str:
+    return str(uuid.UUID(hashlib.md5(f"{page}/{number}".encode()).hexdigest()))
+
+
+def _written(limit: int, date: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for page, payload, digest, least, number in zip(*(b[k].to_pylist() for k in ("page_id", "payload", "digest", "least", "number"))):
+            for page, url, payload, digest, least, number in zip(*(b[k].to_pylist() for k in ("page_id", "url", "payload", "digest", "least", "number"))):
                 name = None if page is None else str(page)
-                own = str(uuid.UUID(hashlib.md5(f"{name}/{number}".encode()).hexdigest()))
-                if least is None or least == page:
-                    out += segments(own, payload, name, digest, limit)
-                else:
-                    fields = {"WARC_Payload_Digest": f"sha1:{digest}", "X_Page_ID": name, "X_Refers_To_Page": str(least), "X_Payload_Length": str(len(payload)), "WARC_Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
-                    out.append(record("revisit", own, b"", **fields))
+                own = _id(name, number)
+                if least is None or least["page_id"] is None or least["page_id"] == page:
+                    out += map(member, segments(own, payload, name, digest, limit, url, date))
+                    continue
+                first = str(least["page_id"])
+                out.append(member(record(
+                    "revisit", own, b"", WARC_Date=date, WARC_Target_URI=url or f"urn:page:{name}", WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+                    WARC_Refers_To=f"<urn:uuid:{_id(first, least['number'])}>", WARC_Refers_To_Target_URI=least["url"] or f"urn:page:{first}", WARC_Refers_To_Date=date,
+                    WARC_Payload_Digest=f"sha1:{digest}", X_Page_ID=name, X_Refers_To_Page=first, X_Payload_Length=str(len(payload)),
+                )))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     return write
 
 
-def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", payload: str = "html", min_revisit: int = 0, segment_bytes: int = SEGMENT_BYTES) -> None:
-    """Writes pages to gzipped WARC files under `path`."""
+def write_archives(
+    pages: DataFrame, path: str, page_id: str = "page_id", payload: str = "html", url: str = "url", min_revisit: int = 0, segment_bytes: int = SEGMENT_BYTES, date: str = DATE
+) -> None:
+    """Writes pages to WARC files under `path`; `date` is that of all records."""
+    if segment_bytes >= 1 << 23:
+        raise ValueError("segments of 8 MB or more")
     small_batches(pages)
-    own = pages.select(F.col(page_id).alias("page_id"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
-    own = own.withColumn("sha", F.sha1("payload"))
+    address = F.col(url).cast("string") if url in pages.columns else F.lit(None).cast("string")
+    own = pages.select(F.col(page_id).alias("page_id"), address.alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
+    own = own.withColumns({"sha": F.sha1("payload"), "number": F.monotonically_increasing_id()})
     # the digests that occur under more than one page; one row for each and task before the shuffle
-    many = stored(own.where(F.length("payload") >= min_revisit).groupBy("sha").agg(F.min("page_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("sha", "least"), "digests")
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "number", "url")))
+    many = stored(own.where(F.length("payload") >= min_revisit).groupBy("sha").agg(first.alias("least"), F.count("*").alias("n")).where("n > 1").select("sha", "least"), "digests")
     # few repeated digests go to the payloads; else payloads are shuffled, where a common one can be split
     few = F.broadcast(many) if many.count() <= BROADCAST_DIGESTS else many
-    rows = own.join(few, "sha", "left").withColumn("number", F.monotonically_increasing_id())
-    rows = rows.select("page_id", "payload", "least", "number", _digest("payload").alias("digest"))
-    # bytes pass through a string column unchanged; the separator is the records' end
-    lines = rows.mapInArrow(_written(segment_bytes), "value binary").select(F.col("value").cast("string"))
-    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    rows = own.join(few, "sha", "left").select("page_id", "url", "payload", "least", "number", _digest("payload").alias("digest"))
+    # bytes pass through a string column unchanged
+    lines = rows.mapInArrow(_written(segment_bytes, date), "value binary").select(F.col("value").cast("string"))
+    lines.write.option("lineSep", "\0").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 @F.arrow_udf(T.StringType())
@@ -133,12 +163,7 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields (lower case) and block of each record of a file, gzipped in any members or not."""
     data = content
     if content[:2] == b"\x1f\x8b":
-        parts, rest = [], content
-        while rest:
-            d = zlib.decompressobj(31)
-            parts += [d.decompress(rest), d.flush()]
-            rest = d.unused_data
-        data = b"".join(parts)
+        data = gzip.GzipFile(fileobj=io.BytesIO(content)).read()
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
@@ -194,7 +219,7 @@ def _payload(block: pa.Array, digest: pa.Array, record_id: pa.Array) -> pa.Array
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """record_id, kind, page_id, digest, refers_to, revisit_bytes, payload (null for revisits)."""
-    files = spark.read.format("binaryFile").load(f"{path}/*.txt.gz").select("content")
+    files = spark.read.format("binaryFile").load(f"{path}/*.txt").select("content")
     rows = files.mapInArrow(_parsed, RECORDS)
     whole = rows.where(F.col("segment").isNull())
     part = rows.where(F.col("segment").isNotNull())

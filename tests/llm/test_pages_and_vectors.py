@@ -44,6 +44,41 @@ def test_warc_round_trip(spark):
     assert payloads["9"] == big.encode()
 
 
+def test_archives_are_warc(spark, tmp_path):
+    """Read by gzip and a plain reader of the format: a member for each record, the fields that the format asks for, and revisits whose
+    WARC-Refers-To is a response in the archives."""
+    import zlib
+
+    rows = [(k, None if k == 3 else f"http://h/{k}?a b\n", t) for k, t in enumerate(["x" * 5000, "b", "b", "b", None])] + [(None, "http://n", "b")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    pages.write.parquet(str(tmp_path / "pages"))
+    warc.write_archives(spark.read.parquet(str(tmp_path / "pages")), str(tmp_path / "out"), segment_bytes=900, date="2024-02-03T04:05:06Z")
+    found = []
+    for f in (tmp_path / "out").glob("part-*"):
+        rest = f.read_bytes()
+        while rest:
+            d = zlib.decompressobj(31)
+            data = d.decompress(rest) + d.flush()
+            rest = d.unused_data
+            head, _, block = data.partition(b"\r\n\r\n")
+            first, *lines = head.decode().split("\r\n")
+            own = dict(x.split(": ", 1) for x in lines)
+            assert first == "WARC/1.1" and block[int(own["Content-Length"]) :] == b"\r\n\r\n"
+            assert own["WARC-Date"] == "2024-02-03T04:05:06Z" and own["WARC-Target-URI"] and re.fullmatch("<urn:uuid:[0-9a-f-]{36}>", own["WARC-Record-ID"])
+            found.append((own, block[: int(own["Content-Length"])]))
+    ids = {h["WARC-Record-ID"]: h for h, _ in found}
+    assert len(ids) == len(found)
+    revisits = [h for h, _ in found if h["WARC-Type"] == "revisit"]
+    assert sorted(h.get("X-Page-ID", "") for h in revisits) == ["", "2", "3"]
+    for h in revisits:
+        to = ids[h["WARC-Refers-To"]]
+        assert to["WARC-Type"] == "response" and to["X-Page-ID"] == "1" and to["WARC-Payload-Digest"] == h["WARC-Payload-Digest"] and to["WARC-Target-URI"] == h["WARC-Refers-To-Target-URI"] == "http://h/1?a b"
+    parts = sorted((int(h["WARC-Segment-Number"]), b) for h, b in found if "WARC-Segment-Number" in h)
+    assert [k for k, _ in parts] == list(range(1, 7)) and warc.dechunked(b"".join(b for _, b in parts).partition(b"\r\n\r\n")[2]) == b"x" * 5000
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.resolved(warc.read_archives(spark, str(tmp_path / "out"))).collect()}
+    assert got == {0: ("response", None), 1: ("response", None), 2: ("revisit", 1), 3: ("revisit", 1), 4: ("response", None), None: ("revisit", 1)}
+
+
 def test_warc_min_size_and_empty(spark):
     pages = spark.createDataFrame([(1, "aa"), (2, "aa"), (3, "b" * 50), (4, "b" * 50)], "page_id long, html string")
     kinds = {r["page_id"]: r["record_type"] for r in warc.resolved(warc.round_trip(pages, min_revisit=10)).collect()}

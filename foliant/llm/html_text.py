@@ -32,7 +32,9 @@ TOKEN = re.compile(
     rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>{_ATTRIBUTES})>|<(?P<end_>/?)(?P<tag_>[a-zA-Z][^\s/>]*)(?P<attributes_>[^>]*)(?:>|\Z)",
     re.S | re.I,
 )
-HINTED = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: One attribute after the other, so that neither a part of a name (`data-role`) nor what a value holds counts.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+HINTS = frozenset({"class", "id", "role", "aria-label"})
 #: Words of class, id or role that mark what is not the article.
 BOILER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments contentinfo cookie cookies consent copyright disclaimer discussion "
@@ -77,6 +79,10 @@ oh6+
 oh3+ op7+
 oh4+ op3+ op2+ op4+ op3+
 oh5+ op1+ op1+ op2+ op1+ op6+ op1+
+oh3+ op1+ op9:8+
+oh6+ op2+ op7:6+
+oh4+ op1+ op12:10+ op3+
+oh2+ op4+ op10:9+ op5+
 op3+ op5+ op2+
 od7+ od12+ od4+
 op2:2- op2:2- op3:3- op1:1- oh5+ op50+ op12+ op4+ op80:3+ op6:6- op7:7- op5:5-
@@ -224,7 +230,9 @@ class State:
 def _marks(attributes: str) -> tuple[int, bool]:
     """2 if a whole name of class, id or role is one of BOILER_WORDS, 1 if a part of one is; whether it is of comments."""
     most, comments = 0, False
-    for m in HINTED.finditer(attributes):
+    for m in ATTRIBUTE.finditer(attributes):
+        if m[1].lower() not in HINTS:
+            continue
         for name in (m[2] or m[3] or m[4] or "").lower().split():
             parts = re.split(r"[^a-z0-9]+", name)
             if name in BOILER_WORDS:

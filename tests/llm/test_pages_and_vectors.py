@@ -146,6 +146,9 @@ def test_tree_uses_neighbours_and_generalises():
         ('<body class="search"><div class="site has-sidebar no-comments"><article>Z</article></div>', "Z"),
         ('<article>A<section class="comments"><article class="comment"><p>bad</p></article><div><article>bad two</article></div></section></article>', "A"),
         ('<svg viewBox="0"/><article>ok <svg><text>gone</text></svg>more</article>', "ok more"),
+        ('<div data-role="footer" data-class="nav"><p>these words stand in an element that only says so in its own data</p></div>', "these words stand in an element that only says so in its own data"),
+        ("<div title='class=\"menu\" id=nav'><p>these words stand in an element whose title quotes other markup of menus</p></div>", "these words stand in an element whose title quotes other markup of menus"),
+        ("<h1>A title here</h1><p>Short.</p><p>See <a href=x>this whole linked paragraph of eight words</a></p>", "A title here\n\nShort.\n\nSee this whole linked paragraph of eight words"),
         ("<aside><article>no</article></aside><nav><a href=x>Home</a></nav><p>yes it is here today</p>", "yes it is here today"),
         ("<ul><li><a>Home</a></li><li><a>News</a></li></ul><h2>Title of it</h2><p>" + "word " * 40 + "</p><h3>Related</h3><p><a>one two three four</a></p><p><a>five six seven</a></p>", "Title of it\n\n" + ("word " * 40).strip()),
     ],

@@ -15,9 +15,10 @@ are taken with the entries of the cells that a query walks only; each block give
 query, and a window takes the best k.
 
 Cases: vectors that are null, zero, of another length than most of the sample, or hold null or
-non-finite components take no part, nor do rows without id; repeated ids are one query each and all
-stay candidates of others; ties go to the smaller id; fewer than k candidates give fewer rows; an
-empty table gives an empty result. Extra columns are not read.
+non-finite components take no part, nor do rows without id; repeated ids are one query each, with the
+smallest of their vectors, and all stay candidates of others; products that overflow are infinite and
+rank as such, one that is no number ranks last; ties go to the smaller id; fewer than k candidates
+give fewer rows; an empty table gives an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -104,15 +105,17 @@ def walk(q: np.ndarray, index: Index, held: np.ndarray, wanted: float) -> list[i
 
 
 def top(scores: np.ndarray, ids: np.ndarray, q: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best ids and exact scores; `scores` of a matrix product only narrow the choice."""
+    """The k best ids and exact scores; `scores` of a matrix product only narrow the choice. A product beyond the doubles
+    is infinite and ranks as such; one that is no number ranks behind all others."""
+    scores = np.where(np.isnan(scores), -np.inf, scores)
     if len(scores) > k:
         edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-        near = np.flatnonzero(scores >= edge - 1e-9 * (1 + abs(edge)))
+        near = np.flatnonzero(scores >= (edge - 1e-9 * (1 + abs(edge)) if np.isfinite(edge) else edge))
     else:
         near = np.arange(len(scores))
-    near = near[np.isfinite(scores[near])]
-    exact = (v[near] * q).sum(axis=1)
-    order = np.lexsort((ids[near], -exact))[:k]
+    with np.errstate(over="ignore", invalid="ignore"):
+        exact = (v[near] * q).sum(axis=1)
+    order = np.lexsort((ids[near], -np.where(np.isnan(exact), -np.inf, exact)))[:k]
     return ids[near][order], exact[order]
 
 
@@ -223,7 +226,9 @@ def _search(dim: int, k: int):
                     seen = np.isin(own_cells, np.array(cells[i].as_py()))
                     near = np.flatnonzero(seen[cell_of] & (vids != ids[i]))
                     w = v[near]
-                    got, exact = top(w @ x[i], vids[near], x[i], w, k)
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        scores = w @ x[i]
+                    got, exact = top(scores, vids[near], x[i], w, k)
                     found += [(int(ids[i]), int(g), float(e)) for g, e in zip(got, exact)]
                 yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
@@ -272,10 +277,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, vec_id: str = "vec_
     shared = spark.sparkContext.broadcast((index, held.tolist(), first, parts, None))
 
     entries = rows.select("id", "vec", "salt").mapInArrow(_entries(shared), ROWS)
-    asked = stored(rows.where("asked").dropDuplicates(["id"]).select("id", "vec"), "queries")
+    asked = stored(rows.where("asked").groupBy("id").agg(F.min("vec").alias("vec")), "queries")
     asked = asked.repartition(max(1, -(-asked.count() // QUERIES_PER_TASK)), "id")
     visits = asked.mapInArrow(_visits(shared, index.share * float(held.sum())), ROWS)
     met = entries.unionByName(visits).repartition("block").sortWithinPartitions("block", "kind")
     found = met.mapInArrow(_search(index.dim, k), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_id").orderBy(F.isnan("score"), F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

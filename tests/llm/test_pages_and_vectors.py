@@ -218,6 +218,27 @@ def test_search_cases(spark):
     assert ann.nearest(vectors.where("false"), F.lit(True)).count() == 0
 
 
+def test_several_vectors_of_an_id_and_huge_values(spark, monkeypatch):
+    """An id asks with its smallest vector, in any order of rows; products beyond the doubles are infinite and count."""
+    monkeypatch.setattr(ann, "TARGET", 1.0)
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.normal(size=4).tolist()) for k in range(60)] + [(k, ((abs(rng.normal(size=4)) if k < 63 else rng.normal(size=4)) * 1e200).tolist()) for k in range(60, 66)]
+    rows += [(20, rng.normal(size=4).tolist()) for _ in range(3)]
+    want = {}
+    for q in (0, 20, 40, 60):
+        vec = np.array(min(v for k, v in rows if k == q))
+        with np.errstate(over="ignore", invalid="ignore"):
+            found = [(float((np.array(v) * vec).sum()), k) for k, v in rows if k != q]
+        want[q] = sorted(((-s if s == s else np.inf, k) for s, k in found))[:20]
+    for order in (1, 2):
+        rng.shuffle(rows)
+        got = {}
+        for r in ann.nearest(spark.createDataFrame([(int(k), list(map(float, v))) for k, v in rows], "vec_id long, embedding array<double>").repartition(order + 1), F.col("vec_id") % 20 == 0).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+        assert {q: [(-s if s == s else np.inf, k) for _, k, s in sorted(own)] for q, own in got.items()} == want
+    assert any(np.isinf(s) for s, _ in want[60])
+
+
 def test_structured_vectors_are_pruned():
     """Where vectors have structure, a query walks a few hundredths of the entries and still finds its neighbours."""
     rng = np.random.default_rng(5)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import kept
+
 MAX_DEPTH = 1024
 
 
@@ -72,11 +75,17 @@ def json_error(texts: pa.Array) -> pa.Array:
     return pa.array([check(t) for t in texts.to_pylist()], pa.string())
 
 
+def strict_variant(c: Column) -> Column:
+    """The value of strict JSON, null for anything else; duplicate keys are refused and nesting is bounded by the JVM's parser,
+    which passes over what follows a value. So the text must be a value both in a list and in an object: what closes the one
+    early breaks the other."""
+    listed, named = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"a":'), c, F.lit("}")))
+    return F.when(listed.isNotNull() & named.isNotNull(), F.try_parse_json(c))
+
+
 def is_json(c: Column) -> Column:
-    """Strict JSON without leaving the JVM: duplicate keys refused; what follows the value is looked
-    for by wrapping it in an array. Nesting is bounded by the JVM's parser."""
-    single = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
-    return F.try_parse_json(c).isNotNull() & single.isNotNull() & (F.size(F.from_json(F.to_json(single), "array<variant>")) == 1)
+    """Strict JSON without leaving the JVM: `strict_variant` has a value, be it a JSON null."""
+    return strict_variant(c).isNotNull()
 
 
 def _scores(value: object, keys: frozenset[str], out: list[float]) -> None:
@@ -107,3 +116,26 @@ def collect_scores(c: Column, keys: tuple[str, ...] = ("score", "confidence")) -
         return pa.array(out, pa.list_(pa.float64()))
 
     return collect(c)
+
+
+def walked_scores(rows: DataFrame, id: str, json: str, keys: tuple[str, ...] = ("score", "confidence")) -> DataFrame:
+    """(id, score): a row for each number from 0 to 1 under these keys, at any depth, without leaving the JVM.
+
+    Texts are walked level by level: objects and lists of a level are opened, numbers under the keys are taken, and what can be
+    opened goes on. A level is one pass over what is left of it, so the number of passes is that of the deepest text; each
+    is written, so that no plan grows with the depth. Texts that are no strict JSON have no scores."""
+    level = rows.select(F.col(id).alias("id"), strict_variant(F.col(json)).alias("v"), F.lit(None).cast("string").alias("key"))
+    found = []
+    while True:
+        opened = level.where("v IS NOT NULL").select("id", "key", "v", F.try_variant_get("v", "$", "map<string,variant>").alias("object"), F.try_variant_get("v", "$", "array<variant>").alias("list"))
+        leaf = F.col("object").isNull() & F.col("list").isNull()
+        kind = F.when(leaf & F.col("key").isin(*keys), F.schema_of_variant("v"))
+        number = F.try_variant_get("v", "$", "double")
+        found.append(opened.where(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & number.between(0, 1)).select("id", number.alias("score")))
+        pairs = F.concat(
+            F.transform(F.map_entries(F.coalesce("object", F.create_map().cast("map<string,variant>"))), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("v"))),
+            F.transform(F.coalesce("list", F.array().cast("array<variant>")), lambda v: F.struct(F.lit(None).cast("string").alias("key"), v.alias("v"))),
+        )
+        level = kept(opened.where(~leaf).select("id", F.inline(pairs)).select("id", "v", "key"))
+        if not level.limit(1).count():
+            return reduce(DataFrame.unionByName, found)

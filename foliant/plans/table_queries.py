@@ -84,3 +84,22 @@ def code_fences(spark, sf_dir):
     """Whole texts in fences, every other one closed."""
     closing = F.when(F.col("doc_id") % 2 == 0, "\r\n```  \n").otherwise("\n")
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.code_content(F.concat(F.lit("```python\n  "), "text", closing)).cast("binary")).alias("code"))
+
+
+@query(
+    f"""{_CELLS}, h AS (SELECT l_orderkey, r, string_agg('<td' || CASE WHEN down > 1 THEN ' rowspan="' || down || '"' ELSE '' END || CASE WHEN wide THEN ' colspan="2"' ELSE '' END || '>' || t || '</td>', '' ORDER BY c) AS tr FROM s WHERE k IN ('f', 'e') GROUP BY ALL),
+block AS (SELECT l_orderkey AS id, '<table>' || string_agg('<tr>' || tr || '</tr>', '' ORDER BY r) || '</table>' AS content FROM h GROUP BY 1)
+SELECT id, 'table' AS type, content FROM block WHERE id % 3 > 0 UNION ALL SELECT DISTINCT l_orderkey, 'text', '<fcel>' || l_orderkey FROM lineitem WHERE l_orderkey % 3 = 0"""
+)
+def table_blocks(spark, sf_dir):
+    """Blocks of a page: tables become markup, texts stay as they are, whatever they hold."""
+    own = grids(spark, sf_dir).select(F.col("table_id").alias("id"), F.when(F.col("table_id") % 3 > 0, "table").otherwise("text").alias("type"), "otsl")
+    return T.table_blocks(own.select("id", "type", F.when(F.col("type") == "table", F.col("otsl")).otherwise(F.concat(F.lit("<fcel>"), F.col("id").cast("string"))).alias("content")))
+
+
+@query("SELECT conv_id, CASE WHEN count(*) FILTER (role = 'user') > 0 THEN list(text ORDER BY turn) FILTER (role = 'user') WHEN count(*) FILTER (role = 'system') > 0 THEN list(text ORDER BY turn) FILTER (role = 'system') ELSE ['none'] END AS sheets FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
+def workbook_tables(spark, sf_dir):
+    """Sheets of a workbook from the first source that has any."""
+    of = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda x: x["text"])
+    own = table(spark, sf_dir, "conversations").where("text IS NOT NULL").groupBy("conv_id").agg(of("user").alias("content"), of("system").alias("markdown"))
+    return own.select("conv_id", T.sheet_tables(F.col("content"), F.col("markdown"), F.lit("none")).alias("sheets"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonx, scoring
 from ..functions import text as X
+from ..operators import blocks as B
+from ..sources import writers as W
 from .base import query, table
 
 PAIRS = """pairs AS (SELECT conv_id, turn, role, lower(regexp_replace(text, '[^A-Za-z0-9]+', '', 'g')) AS ref,
@@ -212,3 +214,18 @@ def half_width(spark, sf_dir):
 @query("SELECT conv_id, turn, to_json(text)::VARCHAR AS literal FROM conversations")
 def json_literals(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.json_string(F.col("text")).alias("literal"))
+
+
+@query("SELECT item_id, md5('<!doctype html><html><head><meta charset=''utf-8''><title>' || 'a &lt;' || item_id || '&gt;' || '</title></head><body><p>' || replace(replace(replace(translate(text, '*`!#_[]()-+.' || chr(10), '             '), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p></body></html>') AS page FROM benchmark")
+def preview_pages(spark, sf_dir):
+    """A whole preview page for each text of one paragraph."""
+    bare = F.translate("text", "*`!#_[]()-+.\n", " " * 13)
+    own = table(spark, sf_dir, "benchmark").select("item_id", W.preview_html(bare, F.concat(F.lit("a <"), F.col("item_id").cast("string"), F.lit(">"))).alias("page"))
+    return own.select("item_id", F.md5(F.col("page").cast("binary")).alias("page"))
+
+
+@query("SELECT doc_id AS id, text, NULL AS quality FROM documents UNION ALL SELECT doc_id, NULL, quality FROM labels")
+def merged_sidecars(spark, sf_dir):
+    """Items of a sidecar behind a page's own, with the fields of either."""
+    page = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return B.merge_sidecar(page, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality"))

@@ -43,10 +43,14 @@ def banned_tokens(spark, sf_dir):
     return own.select("l_orderkey", K.banned_tokens(F.transform("s", lambda x: (x["l_partkey"] % 3).cast("int")), 2).alias("banned"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN [1, 9, 9, 9, 2] ELSE [1, 2] END AS ids FROM orders")
+@query(
+    """WITH d AS (SELECT o_orderkey, [CAST(x AS INTEGER) FOR x IN string_split(CAST(o_orderkey * 9 + o_custkey AS VARCHAR), '')] AS d FROM orders), p AS (SELECT *, coalesce(list_position(d, 9), 0) AS p FROM d)
+SELECT o_orderkey, CASE WHEN p = 0 THEN d ELSE list_concat(list_concat(d[:p - 1], [9, 9, 9]), d[p + 1:]) END AS ids FROM p"""
+)
 def placeholder_expansion(spark, sf_dir):
-    own = F.when(F.col("o_custkey") % 2 == 0, F.array(F.lit(1), F.lit(9), F.lit(2))).otherwise(F.array(F.lit(1), F.lit(2)))
-    return table(spark, sf_dir, "orders").select("o_orderkey", K.expand_pads(own, 9, 3).alias("ids"))
+    """Digits of a number as tokens; the first nine among them is the placeholder."""
+    digits = F.transform(F.split((F.col("o_orderkey") * 9 + F.col("o_custkey")).cast("string"), ""), lambda x: x.cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", K.expand_pads(digits, 9, 3).alias("ids"))
 
 
 @query("SELECT item_id, '<|im_start|>system' || chr(10) || 'You are a helpful assistant.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || '<|vision_start|><|image_pad|><|vision_end|>' || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS prompt FROM benchmark")
@@ -54,11 +58,18 @@ def chat_prompts(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", K.chat_prompt(F.col("text")).alias("prompt"))
 
 
-@query("SELECT o_orderkey, [0, 1, 2, 2, 2, 2, 4] AS t, [0, 1, 2, 2, 3, 3, 4] AS h, [0, 1, 2, 3, 2, 3, 4] AS w FROM orders")
+@query(
+    """WITH n AS (SELECT o_orderkey, CAST(o_custkey % 5 AS INTEGER) + 1 AS a, CAST(o_orderkey % 4 AS INTEGER) AS b FROM orders)
+SELECT o_orderkey, list_concat(list_concat(range(0, a), [a, a, a, a, a, a]), [a + 3 + j FOR j IN range(0, b)]) AS t, list_concat(list_concat(range(0, a), [a, a, a, a + 1, a + 1, a + 1]), [a + 3 + j FOR j IN range(0, b)]) AS h,
+  list_concat(list_concat(range(0, a), [a, a + 1, a + 2, a, a + 1, a + 2]), [a + 3 + j FOR j IN range(0, b)]) AS w FROM n"""
+)
 def position_ids(spark, sf_dir):
-    ids = F.array(*map(F.lit, [5, 7, 9, 9, 9, 9, 6]))
-    p = K.rope_index(ids, 1, 4, 4, 2, 9, 7)
-    return table(spark, sf_dir, "orders").select("o_orderkey", *[p[k].alias(k) for k in ("t", "h", "w")])
+    """Texts of one to five tokens before an image of two by three cells, and of none to three behind it."""
+    text = lambda n: F.array_repeat(F.lit(5), n.cast("int"))
+    ids = F.concat(text(F.col("o_custkey") % 5), F.array(F.lit(7)), F.array_repeat(F.lit(9), 6), text(F.col("o_orderkey") % 4))
+    own = table(spark, sf_dir, "orders").select("o_orderkey", ids.alias("ids"))
+    p = K.rope_index(F.col("ids"), 1, 4, 6, 2, 9, 7)
+    return own.select("o_orderkey", *[p[k].cast("array<long>").alias(k) for k in ("t", "h", "w")])
 
 
 # the pattern without its look ahead: the texts have no runs of blanks before figures, where alone that changes the number

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsonx import walked_scores
+from ..functions.text import image_targets, is_local_target
 
 SUFFIXES = ("content_list", "middle", "model")
 
@@ -68,3 +69,17 @@ def pcm16(payload: Column) -> Column:
     words = F.filter(F.regexp_extract_all(payload, F.lit("[0-9A-Fa-f]{4}"), 0), lambda w: w != "")
     value = lambda w: F.conv(F.concat(F.right(w, F.lit(2)), F.left(w, F.lit(2))), 16, 10).cast("int")
     return F.when(sound, F.transform(words, lambda w: (value(w) - F.when(value(w) >= 32768, 65536).otherwise(0)) / 32768.0))
+
+
+def present_images(texts: DataFrame, files: DataFrame, base: str, id: str = "id", text: str = "text") -> DataFrame:
+    """Texts (id, text) whose relative image targets become file URIs under `base` where `files` (name, relative to base) has
+    them; targets that are missing, and those with a scheme, stay as they are. A text's targets meet the files by a join."""
+    target = F.explode(F.array_distinct(F.filter(image_targets(F.col(text)), lambda t: is_local_target(t) & ~t.startswith("/"))))
+    asked = texts.select(F.col(id).alias("id_"), target.alias("name"))
+    there = asked.join(files.select("name").distinct(), "name", "left_semi").groupBy("id_").agg(F.collect_set("name").alias("names_"))
+    out = texts.join(there, F.col(id) == F.col("id_"), "left")
+    folder = base.rstrip("/") + "/"
+    # each target ends with its bracket or a title after a blank, so one name is never found within another's
+    link = lambda done, n, end: F.replace(done, F.concat(F.lit("]("), n, F.lit(end)), F.concat(F.lit(f"](file://{folder}"), n, F.lit(end)))
+    made = F.aggregate(F.coalesce("names_", F.array().cast("array<string>")), F.col(text), lambda done, n: link(link(done, n, ")"), n, " "))
+    return out.withColumn(text, made).drop("id_", "names_")

@@ -44,3 +44,15 @@ def damaged_packets(spark, sf_dir):
     frames, told = D.decoded_packets(packets, D.pcm16(F.col("payload")))
     sums = frames.groupBy("clip").agg(F.sum(F.aggregate("samples", F.lit(0.0), lambda s, x: s + x)).alias("total"))
     return told.join(sums, "clip", "left").select("clip", "kept", "skipped", F.round(F.coalesce("total", F.lit(0.0)), 6).alias("total"))
+
+
+@query(
+    f"""SELECT doc_id, md5(text) || ' x ![a](' || CASE WHEN (doc_id % 50) IN (SELECT o_orderkey % 100 FROM orders WHERE o_orderkey % 3 = 0) THEN 'file:///data/' ELSE '' END || 'p/' || (doc_id % 50) || '.png) ![b](http://h/' || (doc_id % 50) || '.png) ![c](file:///data/q.png "t") y' AS shown FROM documents"""
+)
+def images_that_exist(spark, sf_dir):
+    """Relative images become file URIs where the file is there."""
+    number = (F.col("doc_id") % 50).cast("string")
+    text = F.concat(F.md5(F.col("text").cast("binary")), F.lit(" x ![a](p/"), number, F.lit(".png) ![b](http://h/"), number, F.lit('.png) ![c](q.png "t") y'))
+    files = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.concat(F.lit("p/"), (F.col("o_orderkey") % 100).cast("string"), F.lit(".png")).alias("name"))
+    files = files.unionByName(spark.range(1).select(F.lit("q.png").alias("name")))
+    return D.present_images(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")), files, "/data", id="doc_id").select("doc_id", F.col("text").alias("shown"))

@@ -24,3 +24,10 @@ def test_packets(spark):
     frames, told = D.decoded_packets(spark.createDataFrame(rows, "clip string, seq int, payload string"), D.pcm16(F.col("payload")))
     assert {(r["clip"], r["seq"]): r["samples"] for r in frames.collect()} == {("a", 1): [-1.0], ("a", 3): [32767 / 32768, 1 / 32768], ("c", 1): []}
     assert {r["clip"]: (r["kept"], r["skipped"], r["error"]) for r in told.collect()} == {"a": (2, 2, None), "b": (0, 1, "no sound is left"), "c": (1, 0, "no sound is left")}
+
+
+def test_images_that_are_there(spark):
+    rows = [(1, "![a](x.png) ![b](y.png) ![c](http://x.png) ![d](a/x.png)"), (2, "none"), (3, None), (4, '![a](x.png "title") [link](x.png) ![a](x.pngs)')]
+    files = spark.createDataFrame([("x.png",), ("x.png",), ("a/x.png",)], "name string")
+    out = {r["id"]: r["text"] for r in D.present_images(spark.createDataFrame(rows, "id int, text string"), files, "/b/").collect()}
+    assert out == {1: "![a](file:///b/x.png) ![b](y.png) ![c](http://x.png) ![d](file:///b/a/x.png)", 2: "none", 3: None, 4: '![a](file:///b/x.png "title") [link](file:///b/x.png) ![a](x.pngs)'}

@@ -139,9 +139,10 @@ class Segmenter(StatefulProcessor):
 
 
 def segment_disorder(windows: DataFrame, delay: str, params: Params | None = None, idle: int | None = None, ttl: int | None = None) -> DataFrame:
-    """Events of a stream of (clip, ts, rms) whose windows may be late by `delay`; times in ms of sound, as in `speech`."""
+    """Events of a stream of (clip, ts, rms) whose windows may be late by `delay`; times in ms of sound, as in `speech`. Rows
+    without time or energy are no windows; a null clip is a clip of its own."""
     with_state_store(windows.sparkSession)
-    rows = windows.withWatermark("ts", delay).selectExpr("clip", "unix_millis(ts) AS frame", "rms")
+    rows = windows.withWatermark("ts", delay).selectExpr("clip", "unix_millis(ts) AS frame", "rms").where("frame IS NOT NULL AND rms IS NOT NULL")
     kind = windows.schema["clip"].dataType.simpleString()
     return rows.groupBy("clip").transformWithStateInPandas(Segmenter((params or Params()).check(), idle, ttl), EVENTS.format(kind), "append", "EventTime")
 
@@ -163,7 +164,7 @@ class Queue(StatefulProcessor):
         new = pd.concat(list(rows)).sort_values(self.order, kind="stable")
         for seq, kind, payload in zip(new["seq"], new["kind"], new["payload"]):
             if kind == "POLL":
-                take = min(int(payload), len(queue))
+                take = min(int(payload or 0), len(queue))
                 out += [(key[0], int(seq), *e, len(queue) - take, lost) for e in queue[:take]]
                 queue = queue[take:]
                 continue
@@ -190,10 +191,10 @@ class Queue(StatefulProcessor):
 def queued(events: DataFrame, limit: int = 128, order: list[str] | None = None) -> DataFrame:
     """What consumers poll of a stream of (consumer, seq, kind, payload): kind is PARTIAL, FINAL, or POLL with the
     number wanted as payload. `order`: columns that order a batch, seq by itself. `left`: how many stay; `lost`: PARTIALs
-    that found no room so far."""
+    that found no room so far. Rows without seq or kind are no events; a POLL without a number takes none."""
     with_state_store(events.sparkSession)
     kind = events.schema["consumer"].dataType.simpleString()
     out = f"consumer {kind}, polled_at long, seq long, kind string, payload string, left long, lost long"
     order = order or ["seq"]
-    rows = events.select(*dict.fromkeys(["consumer", "seq", "kind", "payload", *order]))
+    rows = events.where("seq IS NOT NULL AND kind IS NOT NULL").select(*dict.fromkeys(["consumer", "seq", "kind", "payload", *order]))
     return rows.groupBy("consumer").transformWithStateInPandas(Queue(limit, order), out, "append", "None")

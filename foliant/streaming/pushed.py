@@ -74,7 +74,9 @@ def push(rows: DataFrame, path: str, limit: int = LIMIT) -> int:
     """Appends rows with `at` to the spool, and returns where the timeline ends then."""
     held = published.manifest(path)
     begin, taken = end_of(held), taken_by_all(path)
-    ends = rows.agg(F.min("at").alias("low"), F.max("at").alias("high")).first()
+    ends = rows.agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count_if(F.col("at").isNull()).alias("nowhere")).first()
+    if ends["nowhere"]:
+        raise ValueError(f"{ends['nowhere']} rows have no place on the timeline")
     if ends["low"] is None:
         return begin
     if ends["low"] < begin:

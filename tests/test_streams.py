@@ -43,7 +43,8 @@ def test_disorder_gives_what_order_gives(spark, tmp_path, seed):
     rng = random.Random(seed)
     rows += rng.sample(rows, 30)
     rng.shuffle(rows)
-    df = O.segment_disorder(stream(spark, tmp_path, [rows[0::3], rows[1::3], [*rows[2::3], CLOCK]]), "10 seconds", SHORT)
+    nulls = [(1, None, 0.1), (2, 40, None), (None, 0, 0.0)]
+    df = O.segment_disorder(stream(spark, tmp_path, [rows[0::3], rows[1::3] + nulls, [*rows[2::3], CLOCK]]), "10 seconds", SHORT)
     q, got = ran(df, tmp_path, f"disorder{seed}")
     assert not [r for r in got if r[1] in ("ERROR", "END")]
     for c, own in energies.items():
@@ -121,6 +122,8 @@ def test_push_is_refused_until_consumers_have_worked(spark, tmp_path):
         pushed.push(rows_at(spark, 100_000, 130_000), path)
     with pytest.raises(ValueError):
         pushed.push(rows_at(spark, 50_000, 60_000), path)
+    with pytest.raises(ValueError):
+        pushed.push(rows_at(spark, 100_000, 100_040).unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS at, 1L AS x")), path)
     assert pushed.push(rows_at(spark, 100_000, 110_000), path) == 109_981 and pushed.push(rows_at(spark, 0, 0), path) == 109_981
 
     def note(batch, epoch):

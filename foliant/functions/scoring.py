@@ -55,3 +55,9 @@ def vector_sum(v: Column) -> Column:
 
 def l2_norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
+
+
+def nearest_millis(ts: Column | str) -> Column:
+    """The nearest millisecond since the epoch, halves away from zero, as SQL's epoch_ms has it; unix_millis cuts them off."""
+    us = F.unix_micros(ts)
+    return F.call_function("div", us + F.when(us < 0, -500).otherwise(500), F.lit(1000))

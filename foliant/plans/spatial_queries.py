@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scoring import nearest_millis
 from ..operators import spatial as G
 from .base import query, table
 
@@ -55,7 +56,7 @@ SELECT l.event_id AS event_id, count(*) AS n, min(r.event_id) AS first FROM e l
 )
 def intervals_of_one_key(spark, sf_dir):
     """Purchases and errors as intervals of up to minutes: how many errors each purchase meets, over all users at once."""
-    begin = F.unix_millis(F.col("ts").cast("timestamp"))
+    begin = nearest_millis(F.col("ts").cast("timestamp"))
     rows = table(spark, sf_dir, "events").select("event_id", "event_type", begin.alias("begin"), (begin + F.floor(F.col("value") * 6000)).alias("end"))
     pairs = G.intervals_meeting(rows.where("event_type = 'purchase'"), rows.where("event_type = 'error'"))
     return pairs.groupBy(F.col("l.event_id").alias("event_id")).agg(F.count("*").alias("n"), F.min("r.event_id").alias("first"))

@@ -45,14 +45,15 @@ def write_texts(df: DataFrame, path: str, name: str = "name", text: str = "text"
     df.select(safe_filename(F.col(name)).alias("name"), F.col(text).alias("value")).write.partitionBy("name").text(path)
 
 
-def write_checksummed(df: DataFrame, path: str) -> str:
-    """JSON lines and, beside them, the digest of their set; both are read back. Returns the digest."""
+def write_checksummed(df: DataFrame, path: str, deepest: int | None = None) -> str:
+    """JSON lines and, beside them, the digest of their set, whose tree has `deepest` levels at most; both are read back.
+    Returns the digest."""
     spark = df.sparkSession
     df.write.mode("errorifexists").json(f"{path}/data")
-    digest = digest_of(spark, f"{path}/data")
+    digest = digest_of(spark, f"{path}/data", deepest=deepest)
     spark.createDataFrame([(digest,)], "value string").coalesce(1).write.text(f"{path}/sha256")
     kept = spark.read.text(f"{path}/sha256").first()[0]
-    if digest_of(spark, f"{path}/data") != kept:
+    if digest_of(spark, f"{path}/data", deepest=deepest) != kept:
         raise ValueError(f"{path}: what was written does not read back")
     return kept
 
@@ -61,14 +62,15 @@ def write_checksummed(df: DataFrame, path: str) -> str:
 DEPTH, LEAF = 6, 256
 
 
-def digest_of(spark: SparkSession, path: str, depth: int | None = None) -> str:
+def digest_of(spark: SparkSession, path: str, depth: int | None = None, deepest: int | None = None) -> str:
     """A digest of a set of lines in any order and partitioning, whose lines nobody can change unseen: a tree over their
     SHA-256. A leaf digests the sorted digests that begin with the same `depth` digits, a node its children in order, each
-    with its digit. Leaves are small groups and nodes have 16 children, so nothing is gathered."""
+    with its digit. Leaves are small groups and nodes have 16 children, so nothing is gathered.
+    The depth follows from the number of lines, up to `deepest` (DEPTH) levels; beyond these leaves grow."""
     lines = spark.read.text(path).select(F.sha2(F.col("value").cast("binary"), 256).alias("h"))
     if depth is None:
         n, depth = lines.count(), 0
-        while n > LEAF * 16**depth and depth < DEPTH:
+        while n > LEAF * 16**depth and depth < (DEPTH if deepest is None else deepest):
             depth += 1
     sha = lambda parts: F.sha2(F.array_join(F.array_sort(F.collect_list(parts)), "").cast("binary"), 256)
     level = lines.groupBy(F.left("h", F.lit(depth)).alias("at")).agg(sha(F.col("h")).alias("h"))

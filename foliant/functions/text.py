@@ -100,17 +100,43 @@ def transcript_text(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, " +", " "), "^ +| +$", "")
 
 
+#: Texts that are joined before they meet the rest: what a step copies is bounded by it.
+JOINED_AT_ONCE = 64
+
+
 def overlap_merge(parts: Column) -> Column:
-    """Joins texts in order, each without the longest prefix that ends the text so far (48 bytes at most)."""
+    """Joins texts in order, each without the longest prefix that ends the text so far (48 bytes at most).
 
-    def step(acc: Column, part: Column) -> Column:
+    Of the text so far a step sees its last characters only, and what parts leave is gathered in two levels of arrays, so
+    the work grows with the text."""
+
+    def added(tail: Column, part: Column) -> Column:
         fits = F.filter(
-            F.sequence(F.least(F.length(acc), F.length(part), F.lit(OVERLAP_BYTES)), F.lit(0), F.lit(-1)),
-            lambda k: (k == 0) | ((F.right(acc, k) == F.left(part, k)) & (F.octet_length(F.left(part, k)) <= OVERLAP_BYTES)),
+            F.sequence(F.least(F.length(tail), F.length(part)), F.lit(0), F.lit(-1)),
+            lambda k: (k == 0) | ((F.right(tail, k) == F.left(part, k)) & (F.octet_length(F.left(part, k)) <= OVERLAP_BYTES)),
         )
-        return F.concat(acc, F.substring(part, F.element_at(fits, 1) + 1, F.length(part)))
+        # one search from the left finds the longest; what it cannot tell is tried length by length
+        plain = (F.octet_length(tail) == F.length(tail)) & (F.instr(tail, "\0") == 0) & (F.instr(part, "\0") == 0)
+        found = F.length(F.regexp_extract(F.concat(tail, F.lit("\0"), part), r"([^\x00]*+)\x00\1", 1))
+        return F.substring(part, F.when(plain, found).otherwise(F.element_at(fits, 1)) + 1, F.length(part))
+
+    state = lambda tail, out: F.struct(tail.alias("tail"), out.alias("out"))
+    empty = F.array().cast("array<string>")
+
+    def joined(s: Column, part: Column) -> Column:
+        new = lambda n: state(F.right(F.concat(s["tail"], n), F.lit(OVERLAP_BYTES)), F.concat(s["out"], F.array(n)))
+        return F.when(part == "", s).otherwise(_let(F.when(s["tail"] == "", part).otherwise(added(s["tail"], part)), new))
+
+    def group(s: Column, texts: Column) -> Column:
+        own = F.aggregate(texts, state(s["tail"], empty), joined, lambda g: state(g["tail"], F.array_join(g["out"], "")))
+        return _let(own, lambda g: state(g["tail"], F.concat(s["out"], F.array(g["out"]))))
+
+    def merged(texts: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(texts), F.lit(1)), F.lit(JOINED_AT_ONCE))
+        groups = F.transform(starts, lambda k: F.slice(texts, k, F.lit(JOINED_AT_ONCE)))
+        return F.aggregate(groups, state(F.lit(""), empty), group, lambda s: F.array_join(s["out"], ""))
 
-    return transcript_text(F.aggregate(F.transform(parts, transcript_text), F.lit(""), lambda acc, p: F.when(p == "", acc).when(acc == "", p).otherwise(step(acc, p))))
+    return transcript_text(_let(F.transform(parts, transcript_text), merged))
 
 
 def full_to_half(c: Column) -> Column:

@@ -74,8 +74,9 @@ SELECT doc_id, CASE WHEN len(p) = 0 THEN md5('') ELSE md5(list_reduce(p, lambda
 def overlap_merged(spark, sf_dir):
     """Texts cut in overlapping parts and merged again."""
     t = F.regexp_replace("text", "[^A-Za-z]+", "")
-    own = table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).withColumn("n", F.ceil(F.length("t") / 50).cast("int"))
-    parts = F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substring(F.col("t"), i * 50 + 1, F.lit(62)))).otherwise(F.array().cast("array<string>"))
+    # 50 characters and the 12 behind them; substrings of the whole text would each count from its beginning
+    own = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all(t, F.lit(".{1,50}"), 0).alias("p"))
+    parts = F.coalesce(F.transform("p", lambda x, i: F.concat(x, F.coalesce(F.left(F.get("p", i + 1), F.lit(12)), F.lit("")))), F.array().cast("array<string>"))
     return own.select("doc_id", F.md5(X.overlap_merge(parts).cast("binary")).alias("digest"))
 
 

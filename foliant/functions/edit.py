@@ -5,11 +5,13 @@ where it falls from a cell to the next. A character of the second text moves the
 these, so n by m characters take n times m / 64 steps and memory for one column. What two texts have in common at
 both ends is taken off first.
 
-Edits come from the same columns: the second text is halved, the first one cut where the distances of both halves add up
-to the least, and the halves are aligned in turn, so no matrix is ever held.
+Edits come from the same columns. Where those of all characters take HELD bits at most they are kept, and an alignment is
+walked back through them; longer texts are cut first: the second text is halved, the first one cut where the distances of both
+halves add up to the least. So no more than HELD bits are ever held, and a text within them takes one pass.
 
 Cases: characters are code points; null gives null; an empty text is as far as the other one is long. Of several
-alignments with the least number of edits, that whose cuts come first is counted.
+alignments with the least number of edits one is counted, always the same: cuts come first, and on the way back a step along
+both texts goes before one along the second, and that before one along the first.
 """
 
 from __future__ import annotations
@@ -22,6 +24,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Bits of columns that are held at once.
+HELD = 1 << 28
+
+
 class Edits(NamedTuple):
     """How a text becomes the other: characters replaced, put in and taken out."""
 
@@ -87,6 +93,42 @@ def _distances(a: str, b: str) -> np.ndarray:
     return np.concatenate([[len(b)], len(b) + np.cumsum(bits(rises) - bits(falls))])
 
 
+def _walked(a: str, b: str) -> Edits:
+    """Edits of two texts whose columns are held: each column's rises, and its falls along the second text, from the last cell back."""
+    places: dict[str, int] = {}
+    for k, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    rises, falls = full, 0
+    columns: list[tuple[int, int, int]] = []
+    for c in b:
+        same = places.get(c, 0)
+        diagonal = (((same & rises) + rises) ^ rises) | same | falls
+        up = falls | ~(diagonal | rises) & full
+        down = rises & diagonal
+        # a cell is one more than its left one where `up` is set, and follows from the one above where `rises` is
+        across, (up, down) = up, ((up << 1 | 1) & full, down << 1 & full)
+        rises, falls = (down | ~(diagonal | up)) & full, up & diagonal
+        columns.append((across, rises, same))
+    size = len(a) // 8 + 1
+    i, j, held = len(a), len(b), -1
+    replaced = added = removed = 0
+    while i and j:
+        if held != j:
+            across, rises, same = (x.to_bytes(size, "little") for x in columns[j - 1])
+            held = j
+        byte, bit = i - 1 >> 3, 1 << (i - 1 & 7)
+        if same[byte] & bit:
+            i, j = i - 1, j - 1
+        elif across[byte] & bit:
+            added, j = added + 1, j - 1
+        elif rises[byte] & bit:
+            removed, i = removed + 1, i - 1
+        else:
+            replaced, i, j = replaced + 1, i - 1, j - 1
+    return Edits(replaced, added + j, removed + i)
+
+
 def edits(a: str, b: str) -> Edits:
     """Edits of an alignment with the least number of them."""
     total, todo = Edits(), [(a, b)]
@@ -98,6 +140,8 @@ def edits(a: str, b: str) -> Edits:
             total += Edits(removed=len(a) - 1) if b in a else Edits(1, 0, len(a) - 1)
         elif len(a) == 1:
             total += Edits(added=len(b) - 1) if a in b else Edits(1, len(b) - 1, 0)
+        elif 3 * len(a) * len(b) <= HELD:
+            total += _walked(a, b)
         else:
             half = len(b) // 2
             cut = int(np.argmin(_distances(a, b[:half]) + _distances(a[::-1], b[half:][::-1])[::-1]))

@@ -26,6 +26,10 @@ def moments_by_partial_states(spark, sf_dir):
     return out.select("l_returnflag", "day", "n", F.round("mean", 4).alias("mean"), F.round(F.col("variance") / 1e6, 6).alias("variance"))
 
 
+#: Ids of documents that one sort takes at most.
+STRETCH = 1024
+
+
 # characters beyond ASCII are one sign each, since DuckDB's levenshtein counts bytes
 @query(
     """WITH t AS (SELECT doc_id, lang, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS t FROM documents), p AS (SELECT doc_id, t, lead(t) OVER (PARTITION BY lang ORDER BY doc_id) AS u FROM t)
@@ -34,7 +38,15 @@ SELECT doc_id, levenshtein(t, u) AS distance, levenshtein(t, u) AS edits, length
 def distances_of_whole_texts(spark, sf_dir):
     """Each whole document to the next of its language: the distance, and the edits of an alignment."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.regexp_replace("text", r"[^\x00-\x7F]", "?").alias("t"))
-    pairs = docs.withColumn("u", F.lead("t").over(Window.partitionBy("lang").orderBy("doc_id"))).where("u IS NOT NULL").repartition(16, "doc_id")
+    # a language's documents are sorted in stretches of ids; the last of a stretch meets the first of the next one that has any
+    own = Window.partitionBy("lang", "stretch").orderBy("doc_id")
+    rows = docs.withColumn("stretch", F.floor(F.col("doc_id") / STRETCH)).withColumns({"n": F.row_number().over(own), "next": F.lead(F.struct("t")).over(own)})
+    firsts = rows.where("n = 1").select("lang", "stretch", F.struct("t").alias("first"))
+    ends = Window.partitionBy("lang").orderBy("stretch")
+    stretches = firsts.select("lang", "stretch", F.lag("stretch").over(ends).alias("before"))
+    behind = firsts.alias("f").join(stretches.alias("s"), F.col("f.lang").eqNullSafe(F.col("s.lang")) & (F.col("f.stretch") == F.col("s.stretch"))).select(F.col("f.lang").alias("l"), "before", "first")
+    joined = rows.join(behind, F.col("next").isNull() & F.col("lang").eqNullSafe(F.col("l")) & (F.col("stretch") == F.col("before")), "left")
+    pairs = joined.select("doc_id", "t", F.coalesce("next.t", "first.t").alias("u")).where("u IS NOT NULL").repartition("doc_id")
     out = pairs.select("doc_id", edit.long_distance(F.col("t"), F.col("u")).alias("distance"), edit.edit_counts(F.col("t"), F.col("u")).alias("e"))
     return out.select("doc_id", "distance", (F.col("e.replaced") + F.col("e.added") + F.col("e.removed")).alias("edits"), (F.col("e.added") - F.col("e.removed")).alias("longer"))
 

@@ -148,6 +148,7 @@ def codec_round_trip(spark, sf_dir):
     """Whole texts between special tokens, of which the longer one must be found: ids, and both ways of decoding."""
     codec = small_codec()
     text = F.concat(F.lit("<|im_start|>user\n"), "text", F.lit("<|im_end|>"))
-    own = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", B.encoded(text, codec).alias("k"))
+    # dealt out first: a file is read by as many tasks as it has row groups, which may be one
+    own = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text").repartition("doc_id").select("doc_id", B.encoded(text, codec).alias("k"))
     md5 = lambda c: F.md5(c.cast("binary"))
     return own.select("doc_id", md5(F.array_join("k", ",")).alias("ids"), F.size("k").cast("long").alias("n"), md5(B.decoded(F.col("k"), codec)).alias("back"), md5(B.decoded(F.col("k"), codec, True)).alias("plain"))

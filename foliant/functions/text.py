@@ -272,24 +272,32 @@ def safe_filename(c: Column) -> Column:
 
 
 # What separates lines, and what white space is, in Python's str.
-_BREAKS = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
-_SPACES = "[\\s\u001c-\u001f\u0085   -     　]+"
+_BREAKS = "\r\n|[\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"  # besides LF
+_SPACES = "\t\n\u000b\u000c\r \u001c\u001d\u001e\u001f\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def python_strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{_SPACES}|{_SPACES}$", "")
+    return F.trim(c, F.lit(_SPACES))
 
 
 def code_content(c: Column) -> Column:
-    """Code without its fence; lines and blanks as Python sees them."""
-    lines = F.split(c, _BREAKS, -1)
+    """Code without its fence; lines and blanks as Python sees them. Only the first and the last line are looked at, so
+    the text is never cut into lines."""
+    left = lambda t, n: F.substring(t, F.lit(1), n)
+
+    def unfenced(t: Column) -> Column:
+        opened, first = t.startswith("```"), F.instr(t, "\n")
+        # null: the opening fence is all there is
+        return F.when(~opened, t).when(first > 0, F.substring(t, first + 1, F.length(t)))
+
+    def unclosed(t: Column) -> Column:
+        last = F.substring_index(t, "\n", -1)
+        return F.when(python_strip(last) == "```", left(t, F.length(t) - F.length(last) - 1)).otherwise(t)
+
+    lines = F.regexp_replace(c, _BREAKS, "\n")
     # a final break ends a line, it does not begin one
-    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
-    start = F.when(F.element_at(lines, 1).startswith("```"), 1).otherwise(0)
-    closed = (F.size(lines) > start) & (python_strip(F.element_at(lines, -1)) == "```")
-    end = F.size(lines) - F.when(closed, 1).otherwise(0)
-    body = python_strip(F.array_join(F.slice(lines, start + 1, F.greatest(end - start, F.lit(0))), "\n"))
-    return F.when(F.coalesce(c, F.lit("")) == "", "").when(F.size(lines) == 0, "").otherwise(body)
+    lines = _let(lines, lambda t: F.when(t.endswith("\n"), left(t, F.length(t) - 1)).otherwise(t))
+    return F.coalesce(python_strip(_let(_let(lines, unfenced), unclosed)), F.lit(""))
 
 
 def without_surrogates(c: Column) -> Column:

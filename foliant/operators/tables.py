@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from html import escape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -81,27 +83,55 @@ def otsl_cells(tables: DataFrame, table_id: str = "table_id", otsl: str = "otsl"
     return cells.select(table_id, "start_row", "start_col", "cell.row_span", "cell.col_span", "cell.text")
 
 
-def otsl_html(tables: DataFrame, table_id: str = "table_id", otsl: str = "otsl") -> DataFrame:
-    """table_id, html, within the table's own row. Markup passes through; no cell gives ''; rows end with the last that has a cell."""
-    whole = F.col(otsl).startswith("<table") & F.col(otsl).endswith("</table>")
-
-    def cell(x: Column) -> Column:
-        span = lambda name, n: F.when(n > 1, F.concat(F.lit(f' {name}="'), n.cast("string"), F.lit('"'))).otherwise("")
-        return F.concat(F.lit("<td"), span("rowspan", x["row_span"]), span("colspan", x["col_span"]), F.lit(">"), X.html_escape(x["text"]), F.lit("</td>"))
+# What `trim_all` takes for white space, in Python's terms.
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_TOKEN = re.compile(f"({_CELL_TOKEN})")
+
+
+def markup_of(otsl: str | None) -> str:
+    """The markup of one table's tokens: the rules of `spanned`, a row at a time from the last one up."""
+    if otsl is None:
+        return ""
+    if otsl.startswith("<table") and otsl.endswith("</table>"):
+        return otsl
+    rows = [_TOKEN.split(r) for r in otsl.split("<nl>")]  # what stands before any token, then tokens and texts in turn
+    begin = next((k for k, r in enumerate(rows) if len(r) > 1), len(rows))
+    rows = rows[begin : len(rows) - (len(rows[-1]) == 1)]
+    widest = max((len(r) // 2 for r in rows), default=0)
+    below, lines = [0] * widest, []
+    for r in reversed(rows):
+        right, cells = 0, []
+        for k in range(widest - 1, -1, -1):
+            token = r[2 * k + 1] if 2 * k + 1 < len(r) else "<ecel>"
+            if token in ("<fcel>", "<ecel>"):
+                down = f' rowspan="{below[k] + 1}"' if below[k] else ""
+                across = f' colspan="{right + 1}"' if right else ""
+                text = escape(r[2 * k + 2].strip(_WHITE)) if token == "<fcel>" else ""
+                cells.append(f"<td{down}{across}>{text}</td>")
+            right = right + 1 if token in ("<lcel>", "<xcel>") else 0
+            below[k] = below[k] + 1 if token in ("<ucel>", "<xcel>") else 0
+        if cells or lines:
+            lines.append("<tr>" + "".join(reversed(cells)) + "</tr>")
+    return "<table>" + "".join(reversed(lines)) + "</table>" if lines else ""
+
+
+@F.arrow_udf(T.StringType())
+def markup(tables: pa.Array) -> pa.Array:
+    return pa.array([markup_of(t) for t in tables.to_pylist()], pa.string())
 
-    def made(rows: Column) -> Column:
-        last = F.array_max(F.transform(rows, lambda row, i: F.when(F.exists(row, _is_cell), i + 1)))
-        lines = F.transform(F.slice(rows, F.lit(1), F.coalesce(last, F.lit(0))), lambda row: F.concat(F.lit("<tr>"), F.array_join(F.transform(F.filter(row, _is_cell), cell), ""), F.lit("</tr>")))
-        return F.when(last.isNull(), "").otherwise(F.concat(F.lit("<table>"), F.array_join(lines, ""), F.lit("</table>")))
 
-    return tables.select(table_id, F.when(whole, F.col(otsl)).otherwise(F.coalesce(let(spanned(F.col(otsl)), made), F.lit(""))).alias("html"))
+def otsl_html(tables: DataFrame, table_id: str = "table_id", otsl: str = "otsl") -> DataFrame:
+    """table_id, html, within the table's own row. Markup passes through; no cell gives ''; rows end with the last that has a cell."""
+    return tables.select(table_id, markup(F.col(otsl)).alias("html"))
 
 
 def table_blocks(blocks: DataFrame) -> DataFrame:
     """Table blocks (id, type, content) with grid tokens as markup and formulas marked; other blocks untouched."""
-    made = otsl_html(blocks.where((F.col("type") == "table") & (F.coalesce(F.length("content"), F.lit(0)) > 0)).select(F.col("id").alias("table_id"), F.col("content").alias("otsl")))
-    out = blocks.join(made.withColumnRenamed("table_id", "id"), "id", "left")
-    return out.withColumn("content", F.coalesce(X.formula_delimiters(F.col("html")), F.col("content"))).drop("html")
+    grid_tokens = F.when((F.col("type") == "table") & (F.coalesce(F.length("content"), F.lit(0)) > 0), F.col("content"))
+    out = blocks.withColumn("grid_", grid_tokens).withColumn("html_", markup(F.col("grid_")))
+    # few tables have formulas
+    marked = F.when(F.contains("html_", F.lit("\\(")) | F.contains("html_", F.lit("\\[")), X.formula_delimiters(F.col("html_"))).otherwise(F.col("html_"))
+    return out.withColumn("content", F.when(F.col("grid_").isNotNull(), marked).otherwise(F.col("content"))).drop("grid_", "html_")
 
 
 class _Grid(HTMLParser):
@@ -132,12 +162,24 @@ class _Grid(HTMLParser):
             self.cell[0] += data
 
 
+#: Markup as `markup_of` makes it; all else is for the parser.
+_PLAIN = re.compile(r"<table>(?:<tr>(?:<td(?: rowspan=\"[1-9][0-9]{0,8}\")?(?: colspan=\"[1-9][0-9]{0,8}\")?>[^<&\r\0]*+</td>)*+</tr>)*+</table>")
+_PLAIN_CELL = re.compile(r"<td(?: rowspan=\"([0-9]+)\")?(?: colspan=\"([0-9]+)\")?>([^<]*)</td>")
+
+
+def cells_of(markup: str) -> list[list[list]]:
+    """Of each table its rows of (text, row span, column span)."""
+    if _PLAIN.fullmatch(markup):
+        return [[[(text, int(down or 1), int(right or 1)) for down, right, text in _PLAIN_CELL.findall(r)] for r in markup.split("<tr>")[1:]]]
+    parser = _Grid()
+    parser.feed(markup)
+    return parser.tables
+
+
 def grid_of(markup: str) -> list[tuple[int, int, int, int, int, str]]:
     """(table, row, col, row_span, col_span, text) of each cell, placed in the first free place of its row."""
-    parser = _Grid()
-    parser.feed(markup or "")
     out = []
-    for k, rows in enumerate(parser.tables):
+    for k, rows in enumerate(cells_of(markup or "")):
         taken: set[tuple[int, int]] = set()
         for r, row in enumerate(rows):
             c = 0
@@ -157,9 +199,12 @@ def html_grid(c: Column) -> Column:
 
     @F.arrow_udf(CELLS)
     def cells(texts: pa.Array) -> pa.Array:
-        names = ["table", "row", "col", "row_span", "col_span", "text"]
-        kind = pa.list_(pa.struct([(n, pa.int32()) for n in names[:-1]] + [("text", pa.string())]))
-        return pa.array([[dict(zip(names, x)) for x in grid_of(t)] for t in texts.to_pylist()], kind)
+        names, found, ends = ["table", "row", "col", "row_span", "col_span", "text"], [], [0]
+        for t in texts.to_pylist():
+            found += grid_of(t)
+            ends.append(len(found))
+        columns = [pa.array(c, pa.string() if n == "text" else pa.int32()) for n, c in zip(names, zip(*found) if found else [[]] * 6)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names))
 
     return cells(c)
 

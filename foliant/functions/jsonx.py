@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 import json
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.shared import kept
-
 MAX_DEPTH = 1024
 
 
@@ -84,8 +81,8 @@ def strict_variant(c: Column) -> Column:
 
 
 def is_json(c: Column) -> Column:
-    """Strict JSON without leaving the JVM: `strict_variant` has a value, be it a JSON null."""
-    return strict_variant(c).isNotNull()
+    """Strict JSON without leaving the JVM: `strict_variant` would have a value, be it a JSON null."""
+    return F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"a":'), c, F.lit("}"))).isNotNull()
 
 
 def _scores(value: object, keys: frozenset[str], out: list[float]) -> None:
@@ -118,24 +115,28 @@ def collect_scores(c: Column, keys: tuple[str, ...] = ("score", "confidence")) -
     return collect(c)
 
 
+def _spelled(key: str) -> str:
+    """A pattern of all that a key may be written as inside a JSON string."""
+    short = {'"': '"', "\\": "\\\\", "/": "/", "\b": "b", "\f": "f", "\n": "n", "\r": "r", "\t": "t"}
+
+    def sign(c: str) -> str:
+        units = c.encode("utf-16-be").hex()
+        coded = "".join("\\\\u" + "".join(f"[{h}{h.upper()}]" if h.isalpha() else h for h in units[k : k + 4]) for k in range(0, len(units), 4))
+        own = [coded, *(["\\\\" + short[c]] if c in short else []), *([rf"\x{{{ord(c):x}}}"] if c >= " " and c not in '"\\' else [])]
+        return f"(?:{'|'.join(own)})"
+
+    return "".join(map(sign, key))
+
+
 def walked_scores(rows: DataFrame, id: str, json: str, keys: tuple[str, ...] = ("score", "confidence")) -> DataFrame:
     """(id, score): a row for each number from 0 to 1 under these keys, at any depth, without leaving the JVM.
 
-    Texts are walked level by level: objects and lists of a level are opened, numbers under the keys are taken, and what can be
-    opened goes on. A level is one pass over what is left of it, so the number of passes is that of the deepest text; each
-    is written, so that no plan grows with the depth. Texts that are no strict JSON have no scores."""
-    level = rows.select(F.col(id).alias("id"), strict_variant(F.col(json)).alias("v"), F.lit(None).cast("string").alias("key"))
-    found = []
-    while True:
-        opened = level.where("v IS NOT NULL").select("id", "key", "v", F.try_variant_get("v", "$", "map<string,variant>").alias("object"), F.try_variant_get("v", "$", "array<variant>").alias("list"))
-        leaf = F.col("object").isNull() & F.col("list").isNull()
-        kind = F.when(leaf & F.col("key").isin(*keys), F.schema_of_variant("v"))
-        number = F.try_variant_get("v", "$", "double")
-        found.append(opened.where(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & number.between(0, 1)).select("id", number.alias("score")))
-        pairs = F.concat(
-            F.transform(F.map_entries(F.coalesce("object", F.create_map().cast("map<string,variant>"))), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("v"))),
-            F.transform(F.coalesce("list", F.array().cast("array<variant>")), lambda v: F.struct(F.lit(None).cast("string").alias("key"), v.alias("v"))),
-        )
-        level = kept(opened.where(~leaf).select("id", F.inline(pairs)).select("id", "v", "key"))
-        if not level.limit(1).count():
-            return reduce(DataFrame.unionByName, found)
+    A text is read once, whatever its depth: it is strict JSON, so outside of strings there is no quotation mark, and from the left
+    each string is either a key with its number or passed over as a whole. Texts that are no strict JSON have no scores."""
+    own = "|".join(map(_spelled, keys))
+    pattern = rf'"(?:{own})"[ \t\r\n]*+:[ \t\r\n]*+(-?[0-9][-+.0-9eE]*+)|"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+    numbers = F.filter(F.regexp_extract_all(F.col(json), F.lit(pattern), 1), lambda n: n != "")
+    # a negative zero is a zero
+    scores = F.filter(F.transform(numbers, lambda n: n.try_cast("double") + F.lit(0.0)), lambda x: x.between(0, 1))
+    # an inner explode would have the scores computed a second time, by a filter on their number
+    return rows.where(is_json(F.col(json))).select(F.col(id).alias("id"), F.explode_outer(scores).alias("score")).where("score IS NOT NULL")

@@ -32,8 +32,7 @@ SELECT a, b, round(shared / nullif(areas - shared, 0), 9) AS iou FROM p WHERE sh
 )
 def overlaps_on_one_page(spark, sf_dir):
     """Boxes of the whole table on one page: all pairs with an overlap of a twentieth of their union."""
-    boxes = all_boxes(spark, sf_dir)
-    pairs = G.boxes_meeting(boxes, boxes, page=None).where("l.id < r.id")
+    pairs = G.boxes_meeting_each_other(all_boxes(spark, sf_dir).drop("kind"), "id", page=None)
     area = lambda s: (F.col(f"{s}.xmax") - F.col(f"{s}.xmin")) * (F.col(f"{s}.ymax") - F.col(f"{s}.ymin"))
     iou = F.try_divide("shared", area("l") + area("r") - F.col("shared"))
     return pairs.where(iou >= 0.05).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.round(iou, 9).alias("iou"))

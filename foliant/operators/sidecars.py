@@ -15,26 +15,33 @@ from pyspark.sql import functions as F
 
 from ..functions.jsonx import walked_scores
 from ..functions.text import image_targets, is_local_target
+from .layout import let
 
 SUFFIXES = ("content_list", "middle", "model")
 
 
+def _by_page(rows: DataFrame, stem: str, item: Column) -> DataFrame:
+    """(stem, pages): for each stem its items (page, idx, item) in order, an array for each page. Rows meet once, by stem; pages are cut
+    out of a stem's row where the page number changes."""
+    own = rows.groupBy(stem).agg(F.array_sort(F.collect_list(F.struct("page", "idx", item.alias("item")))).alias("items"))
+    first = lambda a: F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | ~F.get(a, i)["page"].eqNullSafe(F.get(a, i - 1)["page"]))
+    cut = lambda a, starts: F.transform(starts, lambda at, k: F.slice(a, at + 1, F.coalesce(F.get(starts, k + 1), F.size(a)) - at))
+    return own.select(stem, let(F.col("items"), lambda a: let(first(a), lambda starts: cut(a, starts))).alias("pages"))
+
+
 def model_documents(items: DataFrame, stem: str = "stem") -> DataFrame:
     """(path, json): items (stem, page, idx, type, bbox, angle, content, score) to a document for each stem, pages in order."""
     item = F.struct("type", F.col("bbox").cast("array<double>").alias("bbox"), F.col("angle").cast("int").alias("angle"), "content", F.col("score").cast("double").alias("score"))
-    pages = items.groupBy(stem, "page").agg(F.array_sort(F.collect_list(F.struct("idx", item.alias("item")))).alias("items"))
-    pages = pages.select(stem, "page", F.transform("items", lambda x: x["item"]).alias("items"))
-    whole = pages.groupBy(stem).agg(F.array_sort(F.collect_list(F.struct("page", "items"))).alias("pages"))
-    return whole.select(F.concat(F.col(stem), F.lit("_model.json")).alias("path"), F.to_json(F.transform("pages", lambda p: p["items"])).alias("json"))
+    whole = _by_page(items, stem, item)
+    return whole.select(F.concat(F.col(stem), F.lit("_model.json")).alias("path"), F.to_json(F.transform("pages", lambda p: F.transform(p, lambda x: x["item"]))).alias("json"))
 
 
 def middle_documents(blocks: DataFrame, stem: str = "stem") -> DataFrame:
     """(path, json): blocks (stem, page, idx, type, text, confidence) to a document for each stem."""
     block = F.struct("type", "text", F.col("confidence").cast("double").alias("confidence"))
-    pages = blocks.groupBy(stem, "page").agg(F.array_sort(F.collect_list(F.struct("idx", block.alias("block")))).alias("b"))
-    pages = pages.select(stem, F.struct(F.col("page").alias("page_idx"), F.transform("b", lambda x: x["block"]).alias("para_blocks")).alias("p"))
-    whole = pages.groupBy(stem).agg(F.array_sort(F.collect_list("p")).alias("pdf_info"))
-    return whole.select(F.concat(F.col(stem), F.lit("_middle.json")).alias("path"), F.to_json(F.struct("pdf_info")).alias("json"))
+    whole = _by_page(blocks, stem, block)
+    info = F.transform("pages", lambda p: F.struct(F.get(p, 0)["page"].alias("page_idx"), F.transform(p, lambda x: x["item"]).alias("para_blocks")))
+    return whole.select(F.concat(F.col(stem), F.lit("_middle.json")).alias("path"), F.to_json(F.struct(info.alias("pdf_info"))).alias("json"))
 
 
 def stemmed(files: DataFrame, path: str = "path") -> DataFrame:
@@ -48,9 +55,11 @@ def confidence_by_stem(files: DataFrame) -> DataFrame:
     """For each content list of files (path, json): stem, n and mean of the scores in its middle and model documents;
     0 and null where there are none."""
     own = stemmed(files)
-    scores = walked_scores(own.where("kind <> 'content_list'"), "stem", "json").groupBy("id").agg(F.count("*").alias("n"), F.avg("score").alias("mean"))
-    lists = own.where("kind = 'content_list'").select("stem").distinct()
-    return lists.join(scores.withColumnRenamed("id", "stem"), "stem", "left").fillna(0, ["n"])
+    scores = walked_scores(own.where("kind <> 'content_list'"), "stem", "json").select(F.col("id").alias("stem"), "score", F.lit(False).alias("listed"))
+    lists = own.where("kind = 'content_list'").select("stem", F.lit(None).cast("double").alias("score"), F.lit(True).alias("listed"))
+    # lists and scores meet in one aggregate: half of it is done before the shuffle, and nothing is sorted
+    both = lists.unionByName(scores).groupBy("stem").agg(F.count("score").alias("n"), F.avg("score").alias("mean"), F.max("listed").alias("listed"))
+    return both.where("listed").select("stem", "n", "mean")
 
 
 def decoded_packets(packets: DataFrame, samples: Column) -> tuple[DataFrame, DataFrame]:

@@ -18,7 +18,7 @@ def confidence_of_sidecars(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").withColumns({"stem": F.concat(F.lit("out/"), F.col("l_orderkey").cast("string")), "page": F.col("l_linenumber") % 2, "idx": F.col("l_partkey")})
     items = lines.select("stem", "page", "idx", F.lit("text").alias("type"), F.array(F.lit(0), F.lit(0), F.col("l_linenumber"), F.lit(1)).alias("bbox"), F.lit(0).alias("angle"), F.lit("x").alias("content"), F.col("l_discount").alias("score"), "l_orderkey")
     blocks = lines.select("stem", "page", "idx", F.lit("text").alias("type"), F.lit("y").alias("text"), F.col("l_tax").alias("confidence"), "l_orderkey")
-    lists = lines.select(F.concat("stem", F.lit("_content_list.json")).alias("path"), F.lit("[]").alias("json")).distinct()
+    lists = lines.select("l_orderkey").distinct().select(F.concat(F.lit("out/"), F.col("l_orderkey").cast("string"), F.lit("_content_list.json")).alias("path"), F.lit("[]").alias("json"))
     files = D.model_documents(items.where("l_orderkey % 2 = 0")).unionByName(D.middle_documents(blocks.where("l_orderkey % 3 = 0"))).unionByName(lists)
     return D.confidence_by_stem(files).select("stem", "n", F.round("mean", 6).alias("mean"))
 

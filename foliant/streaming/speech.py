@@ -168,14 +168,16 @@ def segment_stream(frames: DataFrame, params: Params | None = None, idle: int |
             yield rows(key, flush(v)[1])
             return
         out: list[tuple] = []
-        new = pd.concat(list(batches)).sort_values("frame")
+        new = [w for b in batches for w in zip(b["frame"].tolist(), b["rms"].tolist())]
         over = False
-        behind = new["frame"] <= seen
-        if behind.any():
-            out.append(("ERROR", v.number, int(new["frame"][behind].min()), int(new["frame"][behind].max()), 0, False))
-        new = new[~behind].drop_duplicates("frame")
-        for frame, rms in zip(new["frame"], new["rms"]):
-            seen, over = int(frame), rms < 0
+        behind = [f for f, _ in new if f <= seen]
+        if behind:
+            out.append(("ERROR", v.number, min(behind), max(behind), 0, False))
+        # of windows with one time the loudest; an end comes after its sound
+        for frame, rms in sorted((w for w in new if w[0] > seen), key=lambda w: (w[0], w[1] < 0, -w[1])):
+            if frame == seen and rms >= 0:
+                continue
+            seen, over = frame, rms < 0
             if over:
                 out += flush(v)[1] if rms > CANCEL else []
                 v = Voice()
@@ -189,7 +191,8 @@ def segment_stream(frames: DataFrame, params: Params | None = None, idle: int |
             state.update((*v, seen))
             if idle:
                 state.setTimeoutDuration(idle)
-        yield rows(key, out)
+        if out:
+            yield rows(key, out)
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
     return frames.groupBy("clip").applyInPandasWithState(work, OUT.format(frames.schema["clip"].dataType.simpleString()), STATE, "append", timeout)

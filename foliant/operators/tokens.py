@@ -38,8 +38,9 @@ def bpe(c: Column, ranks: dict[tuple[str, str], int]) -> Column:
 
     @F.arrow_udf(T.ArrayType(T.StringType()))
     def merged(tokens: pa.Array) -> pa.Array:
-        known: dict[str, list[str]] = {}
-        return pa.array([None if t is None else known.setdefault(t, merge(list(t), ranks)) for t in tokens.to_pylist()], pa.list_(pa.string()))
+        values = tokens.dictionary_encode()
+        known = pa.array([None if t is None else merge(list(t), ranks) for t in values.dictionary.to_pylist()], pa.list_(pa.string()))
+        return known.take(values.indices)
 
     return merged(c)
 

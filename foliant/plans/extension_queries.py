@@ -46,9 +46,11 @@ def distances_of_whole_texts(spark, sf_dir):
     stretches = firsts.select("lang", "stretch", F.lag("stretch").over(ends).alias("before"))
     behind = firsts.alias("f").join(stretches.alias("s"), F.col("f.lang").eqNullSafe(F.col("s.lang")) & (F.col("f.stretch") == F.col("s.stretch"))).select(F.col("f.lang").alias("l"), "before", "first")
     joined = rows.join(behind, F.col("next").isNull() & F.col("lang").eqNullSafe(F.col("l")) & (F.col("stretch") == F.col("before")), "left")
-    pairs = joined.select("doc_id", "t", F.coalesce("next.t", "first.t").alias("u")).where("u IS NOT NULL").repartition("doc_id")
-    out = pairs.select("doc_id", edit.long_distance(F.col("t"), F.col("u")).alias("distance"), edit.edit_counts(F.col("t"), F.col("u")).alias("e"))
-    return out.select("doc_id", "distance", (F.col("e.replaced") + F.col("e.added") + F.col("e.removed")).alias("edits"), (F.col("e.added") - F.col("e.removed")).alias("longer"))
+    # texts differ much in length: many parts, whose number Spark does not lessen
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    pairs = joined.select("doc_id", "t", F.coalesce("next.t", "first.t").alias("u")).where("u IS NOT NULL").repartition(parts, "doc_id")
+    out = pairs.select("doc_id", edit.distance_and_edits(F.col("t"), F.col("u")).alias("e"))
+    return out.select("doc_id", "e.distance", (F.col("e.replaced") + F.col("e.added") + F.col("e.removed")).alias("edits"), (F.col("e.added") - F.col("e.removed")).alias("longer"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_discount * 10 AS score FROM lineitem WHERE l_discount * 10 <= 1 UNION ALL SELECT l_orderkey, l_linenumber, l_tax FROM lineitem")
